@@ -29,16 +29,19 @@ def salted_join(
     salts: int = DEFAULT_SALTS,
     share: float = HOT_SHARE,
     min_rows: int = HOT_MIN_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Equi join whose hot keys are spread over ``salts`` tasks.
 
     ``lookup`` rows of hot keys are replicated once per salt, all other rows go
     through once.  The salt is a hash of the row itself, so a retried task
     produces the same rows again.  ``how`` is ``inner``, ``left``, ``left_semi``
-    or ``left_anti``.
+    or ``left_anti``.  ``hot`` may pass the hot keys where ``big`` is itself the
+    result of joins that keep its rows, so that counting does not repeat them.
     """
     # The number of hot keys is bounded by 1 / share, which is what allows the broadcast.
-    hot = F.broadcast(hot_keys(big, key, share, min_rows).withColumn("_hot", F.lit(True)))
+    found = hot if hot is not None else hot_keys(big, key, share, min_rows)
+    hot = F.broadcast(found.withColumn("_hot", F.lit(True)))
     hashable = [c for c, t in big.dtypes if not t.startswith("map") and t != "variant"]
     row_salt = F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")
     left = big.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), row_salt).otherwise(F.lit(0))).drop("_hot")

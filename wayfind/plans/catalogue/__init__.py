@@ -1,6 +1,7 @@
 """Catalogue of runnable queries over the test tables, one family per module."""
 
 from wayfind.plans.catalogue import (  # noqa: F401  (importing registers the queries)
+    graph_queries,
     text_queries,
 )
 from wayfind.plans.catalogue.registry import ORACLES, QUERIES
