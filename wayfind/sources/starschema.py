@@ -424,8 +424,8 @@ def with_ctes(names: list[str] | tuple[str, ...], body: str, extra: dict[str, st
 
     for name in names:
         visit(name)
-    parts = [f"{name} AS ({CTES[name][1]})" for name in ordered]
-    parts += [f"{name} AS ({sql})" for name, sql in (extra or {}).items()]
+    parts = [f"{name} AS MATERIALIZED ({CTES[name][1]})" for name in ordered]
+    parts += [f"{name} AS MATERIALIZED ({sql})" for name, sql in (extra or {}).items()]
     return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
 
 
