@@ -2,6 +2,7 @@
 
 from wayfind.plans.catalogue import (  # noqa: F401  (importing registers the queries)
     graph_queries,
+    maintenance_queries,
     ranking_queries,
     text_queries,
     usage_queries,
