@@ -16,6 +16,7 @@ from wayfind.operators import summaries as sm
 from wayfind.operators import symbols as sy
 from wayfind.plans import search as kw
 from wayfind.plans.query import strict_only, tokenize
+from wayfind.session import cut_lineage
 from wayfind.sources.config import Settings
 from wayfind.sources.index import SearchIndex
 from wayfind.sources.profile import Profile
@@ -38,10 +39,6 @@ class HybridAnswer:
     primary_owner: DataFrame
     confidence: DataFrame
 
-    def release(self) -> None:
-        self.files.unpersist()
-        self.keyword.release()
-
 
 def keyword_candidates(answer: kw.Answer, profile: Profile, limit: int) -> DataFrame:
     """Ranked files as fusion candidates (rank from 1)."""
@@ -82,20 +79,20 @@ def hybrid_search(
     answer = kw.keyword_search(index, text, settings, profile, max(settings.max_results, limit), limit)
     plan = answer.plan
     rules, noise, low = rules or [], profile.noise_files(), profile.low_signal_terms()
-    keyword = keyword_candidates(answer, profile, limit)
+    keyword = cut_lineage(keyword_candidates(answer, profile, limit))
     empty = index.spark.createDataFrame([], "chunk_id string, path string, score double, rank int, guard_reason string")
     vectors, suppressed = empty, empty
     if mode == "keyword":
         fused = fu.apply_rules(keyword, rules, plan.tokens, plan.query_profile)
         fused = fused.select("rank", "path", "score", F.lit("keyword").alias("retrieval"))
     else:
-        vectors = vector_candidates(index, text, settings).persist()
+        vectors = cut_lineage(vector_candidates(index, text, settings))
         fused, suppressed = _fused(keyword, vectors, answer, settings, rules, noise, low, mode)
     fused = _with_pack_files(fused, pack_files or profile.pack_files_for_intents(list(plan.tokens)))
     if settings.final_order_by_score:
         fused = fused.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc_nulls_last(), "rank")))
     files = fu.pins_first(fused, plan.pins).withColumn("path_norm", normalized_path(F.col("path")))
-    files = files.withColumn("rank", F.col("rank") - 1).persist()
+    files = cut_lineage(files.withColumn("rank", F.col("rank") - 1))
     return _evidence(index, answer, files, vectors, suppressed, settings, profile, mode, max_files or settings.max_files)
 
 
@@ -112,7 +109,7 @@ def _fused(keyword, vectors, answer, settings, rules, noise, low, mode):
         if not have_vectors:
             same = fu.code_first(keyword.withColumn("retrieval", F.lit("keyword")), plan.query_profile, size)
             return same.select(*columns), vectors.select("chunk_id", "path", "score", "rank", F.lit("").alias("guard_reason"))
-        held = vectors.withColumn("ok", fu.matches_lock(lock))
+        held = cut_lineage(vectors.withColumn("ok", fu.matches_lock(lock)))
         any_ok = held.agg(F.coalesce(F.max("ok"), F.lit(False)).alias("a")).scalar()
         effective = held.where(F.col("ok") | ~any_ok).withColumn("rank", F.row_number().over(Window.orderBy("rank")))
         scope = fu.candidate_scope(effective)
@@ -120,14 +117,14 @@ def _fused(keyword, vectors, answer, settings, rules, noise, low, mode):
         allowed = keyword.withColumn("guard_reason", gate).where(fu.is_allowed(F.col("guard_reason")))
         score = fu.semantic_score("near", scope, lock, plan.tokens, plan.query_profile, plan.identifiers, rules, noise, low)
         rated = allowed.withColumn("near", fu.vector_list(effective)).withColumn("fusion_score", score)
-        placed = rated.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("fusion_score"), "rank"))).drop("near")
+        placed = cut_lineage(rated.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("fusion_score"), "rank"))).drop("near"))
         tail = vectors.withColumn("retrieval", F.lit("vector")).select("rank", "path", "score", "retrieval", "source_type", "source")
         none_allowed = placed.isEmpty()
         chosen = tail if none_allowed else placed.withColumn("retrieval", F.lit("semantic+keyword")).select("rank", "path", "score", "retrieval", "source_type", "source")
         dropped = held.where(~F.col("ok") & any_ok).select("chunk_id", "path", "score", "rank", F.lit("dominant-module-lock").alias("guard_reason"))
         return fu.code_first(chosen, plan.query_profile, size).select(*columns), dropped
     reason = fu.vector_gate(fu.candidate_scope(keyword), lock, plan.query_profile, plan.identifiers, settings.require_scope_match)
-    gated = vectors.withColumn("guard_reason", reason)
+    gated = cut_lineage(vectors.withColumn("guard_reason", reason))
     allowed = gated.where(fu.is_allowed(F.col("guard_reason"))).withColumn("rank", F.row_number().over(Window.orderBy("rank")))
     suppressed = gated.where(~fu.is_allowed(F.col("guard_reason"))).select("chunk_id", "path", "score", "rank", "guard_reason")
     fused = fu.fuse(
@@ -171,11 +168,11 @@ def _evidence(index, answer, files, vectors, suppressed, settings, profile, mode
     ).select("s.*").withColumn("score", F.lit(0.0))
     # the short list of an answer: hits of the keyword pass first, then injected ones
     pool = kept.select("label", "kind", "path", F.col("graph_line").cast("int").alias("line"), "score").unionByName(first)
-    pool = pool.orderBy(F.desc("score"), "path", F.asc_nulls_first("line"), "label").limit(80)
-    if kept.isEmpty() and first.isEmpty():
+    pool = cut_lineage(pool.orderBy(F.desc("score"), "path", F.asc_nulls_first("line"), "label").limit(80))
+    if pool.isEmpty():
         pool = answer.symbols.select("label", "kind", "path", F.col("graph_line").cast("int").alias("line"), "score")
     symbols, blocks = kw.enriched_symbols(pool, files, index.source_lines, plan, settings, profile, plan.affirmed)
-    owner = _owner(symbols, plan, profile)
+    owner = cut_lineage(_owner(symbols, plan, profile))
     locations = kw.locations_of(symbols)
     edges = sm.restrict_to_paths(answer.dependencies, files, ["source_file", "target_file"])
     related = answer.related.join(F.broadcast(paths), normalized_path(F.col("path")) == F.col("path_norm"), "left_semi")

@@ -1,8 +1,10 @@
 """Keyword search: one query against the index, as a set of DataFrames.
 
-The matching documents are cut to the file candidates (some hundred rows) early;
-these and the ranked files are persisted, because every part of an answer
-joins to them.  Everything after that cut is small whatever the index holds.
+The matching documents are cut to the file candidates (some hundred rows) early.
+These short lists, and the ranked files, hint documents, symbols and edges after
+them, are checkpointed in the shared folder: every later part joins to them, so
+without the cut each part would carry the plans of all parts before it.
+Everything after the first cut is small whatever the index holds.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from wayfind.operators import symbols as sy
 from wayfind.operators.scoring import score_documents, score_reasons
 from wayfind.operators.skew import first_per_key, ranked_top
 from wayfind.plans.query import QueryPlan, clean_query, plan_query
+from wayfind.session import cut_lineage
 from wayfind.sources.config import Settings
 from wayfind.sources.index import SearchIndex
 from wayfind.sources.profile import Profile
@@ -44,10 +47,6 @@ class Answer:
     facts: DataFrame
     confidence: DataFrame
 
-    def release(self) -> None:
-        for part in (self.results, self.files):
-            part.unpersist()
-
 
 def _order() -> list[Column]:
     return [F.desc("score"), F.asc("doc_id")]
@@ -162,13 +161,13 @@ def enriched_symbols(
     order = [F.desc("owner_score"), F.asc_nulls_first("line"), F.asc("path"), F.asc("label")]
     owner = profile.adjust_primary_owner_score(sy.owner_score(plan, F.col("file_rank"), identifiers), plan, normalized_path(F.col("path")))
     placed = scored.withColumn("owner_score", owner)
-    placed = placed.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    placed = cut_lineage(placed.withColumn("place", F.row_number().over(Window.orderBy(*order))))
     first = ranked.where(F.col("rank") == 0).select("path_norm").scalar()
     slots = sy.reserve_top_file(placed, first, "place").drop("line_status")
-    checked = sy.verify_symbols(slots, lines, ["slot"], settings.line_window)
+    checked = cut_lineage(sy.verify_symbols(slots, lines, ["slot"], settings.line_window))
     blocks = sy.code_blocks(checked.where(F.col("line").isNotNull()), lines, ["slot"], settings.block_before, settings.block_after)
     joined = checked.join(blocks.withColumn("has_block", F.lit(True)), "slot", "left")
-    budget = sy.within_block_budget(joined, F.coalesce("has_block", F.lit(False)), "slot", settings.max_blocks)
+    budget = cut_lineage(sy.within_block_budget(joined, F.coalesce("has_block", F.lit(False)), "slot", settings.max_blocks))
     symbols = budget.select("slot", "label", "kind", "path", "line", "graph_line", "line_status", "line_delta", "score", "file_rank", "gets_block")
     from wayfind.functions.paths import code_block_id
 
@@ -198,15 +197,15 @@ def keyword_search(
     max_results, max_files = max_results or settings.max_results, max_files or settings.max_files
     scored = score_documents(index.documents, index.doc_terms, plan, profile, index.doc_files)
     count = max(max_results, settings.file_candidate_documents)
-    results = fl.candidate_documents(scored, _order(), count).persist()
+    results = cut_lineage(fl.candidate_documents(scored, _order(), count))
     companions = g.owner_companions(index.doc_related, index.doc_edges.join(results.select("doc_id"), "doc_id", "left_semi"))
     ranked = fl.ranked_files(
         results.drop("text"), index.doc_files, plan, profile, companions, max_files, settings.max_files_per_document
     )
     evidence = fl.pack_evidence(fl.per_pack_peaks(results, index.doc_files.join(results.select("doc_id"), "doc_id", "left_semi")))
-    files = fl.rebalance(ranked, evidence).withColumn("path_norm", normalized_path(F.col("path"))).persist()
+    files = cut_lineage(fl.rebalance(cut_lineage(ranked), evidence).withColumn("path_norm", normalized_path(F.col("path"))))
 
-    hints = hint_documents(index, results, scored, files, settings)
+    hints = cut_lineage(hint_documents(index, results, scored, files, settings))
     paths = F.broadcast(files.select("path_norm"))
     symbols = index.doc_symbols.join(paths, normalized_path(F.col("source_file")) == F.col("path_norm"), "left_semi")
     symbols = symbols.join(hints, "doc_id").withColumnRenamed("source_file", "path").select(
@@ -214,12 +213,12 @@ def keyword_search(
     )
     hits = sy.symbol_hits(symbols, plan, ["seq", "owner_doc", "pos"], per_path=8, identifiers=plan.identifiers,
                           strict=tuple(i for i in plan.identifiers if i in _strict(plan)))
-    hits = fallback_symbols(hits, files, index.source_lines)
+    hits = cut_lineage(fallback_symbols(cut_lineage(hits), files, index.source_lines))
     symbol_rows, blocks = enriched_symbols(hits, files, index.source_lines, plan, settings, profile)
     edges = index.doc_edges.join(hints.select("doc_id", "score", (-F.col("score")).alias("seq")), "doc_id").withColumnRenamed("doc_id", "owner_doc")
-    chain = g.dependency_chain(edges, files, plan, ["seq", "owner_doc", "pos"])
+    chain = cut_lineage(g.dependency_chain(edges, files, plan, ["seq", "owner_doc", "pos"]))
     related = g.pad_with_ranked(g.related_files(related_mentions(index, hints), files, plan), files.select("path", "rank"))
-    owner = primary_owner(symbol_rows, plan, profile)
+    owner = cut_lineage(primary_owner(symbol_rows, plan, profile))
     locations = locations_of(symbol_rows)
     top_score = results.agg(F.max("score").alias("m")).scalar()
     base = cl.raw_score_confidence(F.coalesce(top_score, F.lit(0.0)), settings.confidence_scale)

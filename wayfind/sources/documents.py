@@ -7,6 +7,7 @@ Files, symbols, edges and related files are separate tables keyed by doc_id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -167,9 +168,27 @@ def _unique_edges(df: DataFrame, keys: list[str]) -> DataFrame:
     return first_per_key(marked, [*keys, "relation", "_k1", "_k2", "_k3"], [F.col("pos")], columns).drop("_k1", "_k2", "_k3")
 
 
-def graph_documents(graphs: DataFrame, settings: Settings) -> Loaded:
+@dataclass
+class GraphTables:
+    """Nodes, edges and resolved cross-file hints of all graphs; written once, used by both graph loaders."""
+
+    graphs: DataFrame
+    nodes: DataFrame
+    edges: DataFrame
+    hints: DataFrame
+
+
+def graph_tables(graphs: DataFrame, settings: Settings, stage: Callable[[str, DataFrame], DataFrame]) -> GraphTables:
+    """``stage`` writes a table and reads it back, so that parsing and resolution run once."""
+    heads = stage("graphs", graphs.select("path", "length", F.size("nodes").alias("node_count"), F.size("links").alias("edge_count")))
+    nodes = stage("graph_nodes", graph_nodes(graphs, settings))
+    edges = stage("graph_edges", graph_edges(graphs, settings))
+    return GraphTables(heads, nodes, edges, stage("graph_hints", resolved_hints(nodes, edges, settings)))
+
+
+def graph_documents(tables: GraphTables, settings: Settings) -> Loaded:
     """One document per graph: node and edge lines, first files, facts, symbols and edges."""
-    nodes, edges = graph_nodes(graphs, settings), graph_edges(graphs, settings)
+    graphs, nodes, edges = tables.graphs, tables.nodes, tables.edges
     head = nodes.where(F.col("pos") < C.MAX_GRAPH_NODES)
     tail = edges.where(F.col("pos") < C.MAX_GRAPH_EDGES)
     node_lines = head.where(F.col("label") != "").select(
@@ -186,7 +205,7 @@ def graph_documents(graphs: DataFrame, settings: Settings) -> Loaded:
     facts = top_per_key(stated.select("graph", "pos", fact.alias("fact")), ["graph"], [F.col("pos")], C.MAX_FACTS).groupBy("graph").agg(
         F.array_sort(F.collect_list(F.struct("pos", "fact"))).alias("f")
     ).select("graph", tx.ordered_distinct_ci(F.transform("f", lambda x: x["fact"])).alias("facts"))
-    meta = _named(graphs.select("path", "length", F.size("nodes").alias("node_count"), F.size("links").alias("edge_count")), settings)
+    meta = _named(graphs, settings)
     joined = meta.join(texts.withColumnRenamed("graph", "path"), "path").join(facts.withColumnRenamed("graph", "path"), "path", "left")
     docs = joined.select(
         pt.stable_id(F.col("path")).alias("doc_id"), "path",
@@ -201,7 +220,7 @@ def graph_documents(graphs: DataFrame, settings: Settings) -> Loaded:
         pt.stable_id(F.col("graph")).alias("doc_id"), (F.col("rn") - 1).alias("pos"), "path"
     )
     symbols = _symbols(nodes, settings, ["graph"], F.col("graph"), None)
-    hints = _unique_edges(resolved_hints(nodes, edges, settings), ["graph"])
+    hints = _unique_edges(tables.hints, ["graph"])
     capped = top_per_key(hints, ["graph"], [F.col("pos")], C.MAX_DEPENDENCY_HINTS)
     doc_edges = capped.withColumn("doc_id", pt.stable_id(F.col("graph"))).drop("graph", "rn")
     return Loaded(docs, files, symbols, doc_edges)
@@ -225,18 +244,22 @@ def _symbols(nodes: DataFrame, settings: Settings, keys: list[str], graph: Colum
     )
 
 
-def chunk_graph_documents(graphs: DataFrame, settings: Settings) -> Loaded:
+def chunk_graph_documents(tables: GraphTables, settings: Settings, stage: Callable[[str, DataFrame], DataFrame]) -> Loaded:
     """One document per source file of a graph (secondary graphs; central ones if configured)."""
-    named = _named(graphs, settings)
+    named = _named(tables.graphs.where(F.col("path").rlike(r"(^|/)graph\.json$")), settings)
     if not settings.chunk_central_graph:
         named = named.where(F.col("source_level") == "secondary")
-    nodes, edges = graph_nodes(named, settings), graph_edges(named, settings)
+    wanted = named.select(F.col("path").alias("graph"))
+    nodes, edges, hints = (t.join(wanted, "graph", "left_semi") for t in (tables.nodes, tables.edges, tables.hints))
     with_file = nodes.where(F.col("source_file") != "")
     first_files = top_per_key(with_file.select("graph", "source_file").distinct(), ["graph"], [F.col("source_file")], C.MAX_GRAPH_CHUNKS).drop("rn")
     kept = with_file.join(first_files, ["graph", "source_file"], "left_semi")
     scoped_nodes, scoped_edges = _scoped(nodes, edges)
     owned = g.edges_by_file(scoped_nodes, scoped_edges, ["graph", "pos"], ["graph", "pos"]).withColumnRenamed("path", "source_file")
-    owned = owned.join(first_files, ["graph", "source_file"], "left_semi").join(edges.drop("source_file"), ["graph", "pos"])
+    owned = stage(
+        "edges_by_file",
+        owned.join(first_files, ["graph", "source_file"], "left_semi").join(edges.drop("source_file"), ["graph", "pos"]),
+    )
     keys = ["graph", "source_file"]
     node_rows = top_per_key(kept, keys, [F.col("pos")], C.MAX_CHUNK_NODES).drop("rn")
     edge_rows = top_per_key(owned, keys, [F.col("pos")], C.MAX_CHUNK_EDGES).drop("rn")
@@ -266,7 +289,6 @@ def chunk_graph_documents(graphs: DataFrame, settings: Settings) -> Loaded:
     ).where(F.trim("text") != "")
     files = docs.select("doc_id", F.lit(0).alias("pos"), F.col("source_file").alias("path"))
     symbols = _symbols(node_rows, settings, keys, F.col("graph"), F.col("source_file"))
-    hints = resolved_hints(nodes, edges, settings)
     anchored = g.anchored_hints(hints).join(
         first_files.withColumnRenamed("source_file", "anchor"), ["graph", "anchor"], "left_semi"
     )
@@ -326,7 +348,7 @@ def source_lines(spark: SparkSession, base: str, settings: Settings) -> DataFram
         .load(base).where(F.col("length") <= settings.max_text_bytes)
     )
     path = relative_path(F.col("path"), base)
-    texts = raw.select(path.alias("path"), F.decode("content", F.lit("UTF-8")).alias("text")).where(~is_ignored(F.col("path"), settings))
+    texts = raw.select(path.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")).where(~is_ignored(F.col("path"), settings))
     return texts.select("path", F.posexplode(tx.lines_of(F.col("text"))).alias("i", "text")).select(
         "path", (F.col("i") + 1).cast("bigint").alias("line_no"), "text"
     )

@@ -39,14 +39,6 @@ class SearchIndex:
     def spark(self) -> SparkSession:
         return self.documents.sparkSession
 
-    def write(self, folder: str) -> None:
-        """Overwrite all tables.  Terms are range-partitioned and sorted, so a query skips row groups by term."""
-        for field in fields(self):
-            table: DataFrame = getattr(self, field.name)
-            if field.name == "doc_terms":
-                table = table.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-            table.write.mode("overwrite").parquet(f"{folder}/{field.name}")
-
     @classmethod
     def read(cls, spark: SparkSession, folder: str) -> SearchIndex:
         return cls(**{f.name: spark.read.parquet(f"{folder}/{f.name}") for f in fields(cls)})
@@ -61,48 +53,66 @@ def related_from_edges(doc_edges: DataFrame) -> DataFrame:
 
 
 def build_index(
-    spark: SparkSession, base: str, settings: Settings | None = None, source_base: str | None = None, with_vectors: bool = True
+    spark: SparkSession, base: str, folder: str, settings: Settings | None = None, source_base: str | None = None, with_vectors: bool = True
 ) -> SearchIndex:
-    """All tables of an index from a folder of packs, docs and live sources (lazy until written)."""
+    """Builds and writes all tables of an index from a folder of packs, docs and live sources.
+
+    Every table is written once and the tables after it are derived from what was
+    written, so nothing is parsed or resolved twice and a lost executor repeats
+    one table, not the whole build.
+    """
     settings = settings or Settings()
-    listing = list_files(spark, base, settings)
+
+    def stage(name: str, table: DataFrame) -> DataFrame:
+        table.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    listing = stage("listing", list_files(spark, base, settings))
     texts = list_files(spark, base, settings, glob="*.{md,txt,json}", with_text=True)
     is_graph = F.col("path").rlike(r"(^|/)graph\.json$") | F.col("path").endswith(".enrichment.json")
-    loaded = [docs.text_documents(texts.where(~is_graph), settings), docs.route_documents(spark, base, settings)]
-    graphs = docs.read_graphs(spark, base, settings)
-    enriched = docs.read_graphs(spark, base, settings, "*.enrichment.json")
-    loaded += [docs.graph_documents(graphs.unionByName(enriched), settings), docs.chunk_graph_documents(graphs, settings)]
-
-    def united(name: str, schema: str | None = None) -> DataFrame:
-        parts = [getattr(x, name) for x in loaded if getattr(x, name) is not None]
-        if schema:
-            names = [c.strip().split(" ")[0] for c in schema.split(",")]
-            parts = [p.select(*names) for p in parts]
+    graphs = docs.read_graphs(spark, base, settings).unionByName(docs.read_graphs(spark, base, settings, "*.enrichment.json"))
+    tables = docs.graph_tables(graphs, settings, stage)
+    loaded = [
+        docs.text_documents(texts.where(~is_graph), settings),
+        docs.route_documents(spark, base, settings),
+        docs.graph_documents(tables, settings),
+        docs.chunk_graph_documents(tables, settings, stage),
+    ]
+
+    def united(name: str, columns: list[str]) -> DataFrame:
+        parts = [getattr(x, name).select(*columns) for x in loaded if getattr(x, name) is not None]
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
         return out
 
-    documents = united("documents").select(*docs.DOCUMENT_COLUMNS).dropDuplicates(["doc_id"])
-    doc_files = united("doc_files").select("doc_id", F.col("pos").cast("int").alias("pos"), "path")
-    doc_symbols, doc_edges = united("doc_symbols", SYMBOL_SCHEMA), united("doc_edges", EDGE_SCHEMA)
+    def names(schema: str) -> list[str]:
+        return [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    documents = stage("documents", united("documents", docs.DOCUMENT_COLUMNS).dropDuplicates(["doc_id"]))
+    doc_files = stage("doc_files", united("doc_files", ["doc_id", "pos", "path"]).withColumn("pos", F.col("pos").cast("int")))
+    stage("doc_symbols", united("doc_symbols", names(SYMBOL_SCHEMA)))
+    doc_edges = stage("doc_edges", united("doc_edges", names(EDGE_SCHEMA)))
+    stage("doc_related", related_from_edges(doc_edges))
+    # range-partitioned and sorted by term: a query skips all row groups but those of its terms
+    terms = build_doc_terms(documents, doc_files)
+    stage("doc_terms", terms.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
+    stage("source_lines", docs.source_lines(spark, source_base or base, settings))
     chunks = chunk_documents(documents, "doc_id", "text")
     if with_vectors:
-        vectors = vec.hash_embeddings(chunks, "chunk_id", "text", settings.dimensions)
-        chunks = chunks.join(vectors, "chunk_id")
+        texts_of = stage("chunk_texts", chunks)
+        chunks = texts_of.join(vec.hash_embeddings(texts_of, "chunk_id", "text", settings.dimensions), "chunk_id")
     else:
         chunks = chunks.withColumn("vector", F.lit(None).cast("array<double>"))
+    stage("chunks", chunks)
     report = discovery_report(listing, list(settings.roots))
     # a one-row table: sources, their newest change, and how the vectors were made
     meta = listing.agg(
         F.count(F.lit(1)).alias("source_files"), F.max(F.unix_micros("modified") / F.lit(1e6)).alias("latest_source"),
         F.current_timestamp().alias("created_at"), F.lit("hash").alias("embedding_backend"), F.lit(settings.dimensions).alias("dimensions"),
     ).withColumn("discovery_status", report.agg(overall_status(report).alias("s")).scalar())
-    return SearchIndex(
-        documents=documents, doc_terms=build_doc_terms(documents, doc_files), doc_files=doc_files, doc_symbols=doc_symbols,
-        doc_edges=doc_edges, doc_related=related_from_edges(doc_edges), source_lines=docs.source_lines(spark, source_base or base, settings),
-        chunks=chunks, meta=meta,
-    )
+    stage("meta", meta)
+    return SearchIndex.read(spark, folder)
 
 
 def index_summary(index: SearchIndex) -> DataFrame:

@@ -72,7 +72,7 @@ def list_files(
     if with_text:
         # the length filter is pushed into the scan: larger files are never read
         files = files.where(F.col("length") <= settings.max_text_bytes)
-        columns.append(F.decode("content", F.lit("UTF-8")).alias("text"))
+        columns.append(F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     return files.select(*columns).withColumn("kind", root_kind(F.col("path"), chosen, settings)).where(F.col("kind").isNotNull())
 
 
