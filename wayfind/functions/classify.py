@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,16 @@ def starts_upper(label: Column) -> Column:
     return (first != F.lower(first)) & (first == F.upper(first))
 
 
+def bind(body: Callable[[Column], Column], **inputs: Column) -> Column:
+    """Evaluates inputs once and hands them to a long expression.
+
+    Conditions nest and are copied by filter push-down; without this every copy
+    would repeat the expressions of its inputs.
+    """
+    row = F.struct(*[value.alias(name) for name, value in inputs.items()])
+    return F.get(F.transform(F.array(row), body), F.lit(0))
+
+
 # --------------------------------------------------------------------------
 # Symbols
 # --------------------------------------------------------------------------
@@ -37,9 +49,13 @@ def symbol_kind(label: Column, source_file: Column, declared: Column | None = No
     ``declared`` is the keyword of the declaration found in live source (or null);
     it settles type-versus-component questions for TypeScript labels.
     """
-    name = F.trim(label)
-    path = F.lower(source_file)
     keyword = declared if declared is not None else F.lit(None).cast("string")
+    return bind(
+        lambda b: _symbol_kind(b["name"], b["path"], b["keyword"]), name=F.trim(label), path=F.lower(source_file), keyword=keyword
+    )
+
+
+def _symbol_kind(name: Column, path: Column, keyword: Column) -> Column:
     is_type = keyword.isin("type", "interface", "enum")
     tsx = (
         F.when(name.endswith("Props") | is_type, F.lit("dto_type"))
@@ -73,7 +89,12 @@ def symbol_kind(label: Column, source_file: Column, declared: Column | None = No
 
 def kind_from_source(path: Column, name: Column, line_text: Column) -> Column:
     """Kind of a symbol found in a live source line."""
-    p = F.lower(slashed(path))
+    return bind(
+        lambda b: _kind_from_source(b["path"], b["name"], b["line"]), path=F.lower(slashed(path)), name=name, line=line_text
+    )
+
+
+def _kind_from_source(p: Column, name: Column, line_text: Column) -> Column:
     is_class = line_text.contains("class ")
 
     def either(class_kind: str, other: str) -> Column:
@@ -108,7 +129,11 @@ def symbol_name(label: Column, kind: Column) -> Column:
 
 def is_low_value_symbol(label: Column, kind: Column) -> Column:
     """Empty names, CONSTANT_CASE names, and UI labels that are not identifiers."""
-    name = symbol_name(label, kind)
+    return bind(lambda b: bind(lambda c: _is_low_value(c["name"], c["kind"]), name=symbol_name(b["label"], b["kind"]), kind=b["kind"]),
+                label=label, kind=kind)
+
+
+def _is_low_value(name: Column, kind: Column) -> Column:
     not_identifier = kind.isin("ui_function", "ui_component") & ~name.rlike("^[A-Za-z_][A-Za-z0-9_]*$")
     return (name == "") | ((F.upper(name) == name) & name.contains("_")) | not_identifier
 

@@ -21,6 +21,16 @@ def raw_search_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(humps_split), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def explode_costly(values: Column) -> Column:
+    """Explode for arrays that are expensive to compute (tokenisers, patterns).
+
+    A plain explode makes the optimizer add "array is not null and not empty" in
+    front, which computes the array two more times per row.  The outer form does
+    not; an empty array gives one null, which callers filter.
+    """
+    return F.explode_outer(values)
+
+
 def is_search_token(token: Column) -> Column:
     return (F.length(token) >= 2) & ~token.isin(*C.STOP_WORDS)
 

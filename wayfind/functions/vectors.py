@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfind import constants as C
-from wayfind.functions.text import embedding_tokens
+from wayfind.functions.text import embedding_tokens, explode_costly
 
 
 def dot(left: Column, right: Column) -> Column:
@@ -52,7 +52,7 @@ def hash_embedding_cells(docs: DataFrame, key: str, text: str, dimensions: int =
     tokens = docs.select(F.col(key), embedding_tokens(F.col(text)).alias("tokens"))
     terms = tokens.select(
         key,
-        F.explode(
+        explode_costly(
             F.concat(
                 F.transform("tokens", lambda t: F.struct(t.alias("term"), F.lit(1.0).alias("weight"))),
                 F.when(
@@ -67,7 +67,7 @@ def hash_embedding_cells(docs: DataFrame, key: str, text: str, dimensions: int =
                 ).otherwise(F.array().cast("array<struct<term:string,weight:double>>")),
             )
         ).alias("t"),
-    ).select(key, "t.term", "t.weight")
+    ).select(key, "t.term", "t.weight").where(F.col("term").isNotNull())
     cells = (
         terms.select(
             key,

@@ -46,10 +46,10 @@ def field_texts(documents: DataFrame, doc_files: DataFrame | None = None) -> Dat
 def build_doc_terms(documents: DataFrame, doc_files: DataFrame | None = None) -> DataFrame:
     """Inverted table (term, doc_id, field, tf); counts are combined map-side."""
     raw = field_texts(documents, doc_files).select(
-        "doc_id", "field", F.explode(tx.raw_search_tokens(F.col("content"))).alias("token")
+        "doc_id", "field", tx.explode_costly(tx.raw_search_tokens(F.col("content"))).alias("token")
     )
     kept = raw.where(tx.is_search_token(F.col("token")))
-    terms = kept.select("doc_id", "field", F.explode(tx.token_forms(F.col("token"))).alias("term"))
+    terms = kept.select("doc_id", "field", tx.explode_costly(tx.token_forms(F.col("token"))).alias("term"))
     return terms.groupBy("term", "doc_id", "field").agg(F.count(F.lit(1)).alias("tf"))
 
 

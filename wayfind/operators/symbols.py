@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from wayfind import constants as C
 from wayfind.functions import classify as cl
 from wayfind.functions.paths import code_block_id, normalized_path, owner_path_score, slashed, source_line_number
-from wayfind.functions.text import search_tokens
+from wayfind.functions.text import explode_costly, search_tokens
 from wayfind.operators.graph import distinctive_hits
 from wayfind.operators.skew import first_per_key, top_per_key
 from wayfind.plans.query import QueryPlan
@@ -53,9 +53,9 @@ def name_occurrences(source_lines: DataFrame) -> DataFrame:
         return F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(shape).alias("shape")))
 
     found = F.flatten(F.array(*[of_shape(shape, pattern) for shape, pattern in OCCURRENCE_PATTERNS.items()]))
-    return source_lines.select("path", "line_no", F.explode(F.array_distinct(found)).alias("o")).select(
-        "path", "o.name", "o.shape", "line_no"
-    )
+    return source_lines.select("path", "line_no", explode_costly(F.array_distinct(found)).alias("o")).where(
+        F.col("o").isNotNull()
+    ).select("path", "o.name", "o.shape", "line_no")
 
 
 def searched_name(label: Column) -> Column:
@@ -175,7 +175,8 @@ def code_blocks(hits: DataFrame, source_lines: DataFrame, keys: list[str], befor
 
 def source_symbols(source_lines: DataFrame, limit: int = 6) -> DataFrame:
     """Symbols declared in live lines, best ``limit`` per file by (priority, line)."""
-    path = F.lower(slashed(F.col("path")))
+    path = F.col("_p")
+    lines = source_lines.select("path", "line_no", "text", F.lower(slashed(F.col("path"))).alias("_p"))
     script = path.rlike(r"\.(tsx|ts|js)$")
 
     def names(patterns: tuple[str, ...]) -> Column:
@@ -183,8 +184,8 @@ def source_symbols(source_lines: DataFrame, limit: int = 6) -> DataFrame:
         return F.filter(F.array_distinct(F.array(*found)), lambda n: n != "")
 
     candidates = F.when(script, names(C.TS_DECLARATIONS)).when(path.endswith(".cs"), names(C.CS_DECLARATIONS))
-    rows = source_lines.select("path", "line_no", "text", F.explode(candidates).alias("name"))
-    rows = rows.withColumn("kind", cl.kind_from_source(F.col("path"), F.col("name"), F.col("text")))
+    rows = lines.select("path", "_p", "line_no", "text", explode_costly(candidates).alias("name")).where(F.col("name").isNotNull())
+    rows = rows.withColumn("kind", cl.kind_from_source(F.col("_p"), F.col("name"), F.col("text")))
     rows = rows.where(~cl.is_low_value_symbol(F.col("name"), F.col("kind")))
     bare = F.ltrim("text")
     tsx = path.endswith(".tsx")

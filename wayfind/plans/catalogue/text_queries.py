@@ -228,7 +228,7 @@ def score_multipliers(t: StarTables) -> DataFrame:
 )
 def token_frequency(t: StarTables) -> DataFrame:
     """Corpus and document frequency of every search token."""
-    tokens = t.read("documents").select("doc_id", F.explode(tx.search_tokens(F.col("text"))).alias("term"))
+    tokens = t.read("documents").select("doc_id", tx.explode_costly(tx.search_tokens(F.col("text"))).alias("term")).where(F.col("term").isNotNull())
     per_doc = tokens.groupBy("term", "doc_id").count()
     return per_doc.groupBy("term").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("docs"))
 
@@ -241,7 +241,8 @@ def embedding_token_counts(t: StarTables) -> DataFrame:
     """Frequencies under the embedding tokeniser."""
     return (
         t.read("documents")
-        .select(F.explode(tx.embedding_tokens(F.col("text"))).alias("token"))
+        .select(tx.explode_costly(tx.embedding_tokens(F.col("text"))).alias("token"))
+        .where(F.col("token").isNotNull())
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -330,7 +331,7 @@ def normalized_text(t: StarTables) -> DataFrame:
 )
 def extracted_facts(t: StarTables) -> DataFrame:
     """Statement-like lines of every document."""
-    facts = t.read("documents").select("doc_id", F.posexplode(tx.fact_lines(F.col("text"))).alias("pos", "fact"))
+    facts = t.read("documents").select("doc_id", F.posexplode_outer(tx.fact_lines(F.col("text"))).alias("pos", "fact")).where(F.col("fact").isNotNull())
     return facts.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "fact")
 
 
@@ -352,7 +353,7 @@ def best_snippets(t: StarTables) -> DataFrame:
     """Three best matching lines of every document."""
     docs = t.read("documents").select("doc_id", "text", tx.fact_lines(F.col("text")).alias("facts"))
     snippets = tx.best_snippets(F.col("facts"), F.col("text"), list(PLAN.tokens))
-    return docs.select("doc_id", F.posexplode(snippets).alias("pos", "line")).select(
+    return docs.select("doc_id", F.posexplode_outer(snippets).alias("pos", "line")).where(F.col("line").isNotNull()).select(
         "doc_id", (F.col("pos") + 1).cast("bigint").alias("rank"), "line"
     )
 
@@ -384,7 +385,7 @@ WHERE length(token) >= 3 AND token NOT IN {sql_in(C.STOP_WORDS + C.OWNER_EXCLUDE
 )
 def informative_tokens(t: StarTables) -> DataFrame:
     """Tokens of the query log that count towards confidence."""
-    tokens = t.read("conversations").select(F.explode(tx.search_tokens(F.col("text"))).alias("token"))
+    tokens = t.read("conversations").select(tx.explode_costly(tx.search_tokens(F.col("text"))).alias("token"))
     return tokens.where(cl.is_informative(F.col("token"))).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -349,7 +349,7 @@ def source_lines(spark: SparkSession, base: str, settings: Settings) -> DataFram
     )
     path = relative_path(F.col("path"), base)
     texts = raw.select(path.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")).where(~is_ignored(F.col("path"), settings))
-    return texts.select("path", F.posexplode(tx.lines_of(F.col("text"))).alias("i", "text")).select(
+    return texts.select("path", F.posexplode_outer(tx.lines_of(F.col("text"))).alias("i", "text")).select(
         "path", (F.col("i") + 1).cast("bigint").alias("line_no"), "text"
     )
 
