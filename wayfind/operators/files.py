@@ -272,14 +272,18 @@ def per_pack_peaks(results: DataFrame, doc_files: DataFrame) -> DataFrame:
 
 
 def pack_evidence(peaks: DataFrame) -> DataFrame:
-    """(path, evidence): peaks in descending order, each further pack counting for less."""
-    nth = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("peak"), F.asc("pack_key")))
-    weight = F.lit(C.PACK_PEAK_WEIGHT_FLOOR)
-    chain = F.when(F.lit(False), weight)
-    for index, value in enumerate(C.PACK_PEAK_WEIGHTS, start=1):
-        chain = chain.when(F.col("nth") == index, F.lit(value))
-    # one row per (file, pack): the window holds the packs of one file
-    return peaks.withColumn("nth", nth).groupBy("path").agg(F.sum(F.col("peak") * chain.otherwise(weight)).alias("evidence"))
+    """(path, evidence): peaks in descending order, each further pack counting for less.
+
+    All peaks count with the floor weight (a plain sum); only the few that weigh more
+    are ranked, so a file listed by very many packs is pruned before the shuffle.
+    """
+    from wayfind.operators.skew import top_per_key
+
+    base = peaks.groupBy("path").agg(F.sum(F.col("peak") * C.PACK_PEAK_WEIGHT_FLOOR).alias("base"))
+    first = top_per_key(peaks, ["path"], [F.desc("peak"), F.asc("pack_key")], len(C.PACK_PEAK_WEIGHTS), rank="nth")
+    extra = cl.lookup({i: w - C.PACK_PEAK_WEIGHT_FLOOR for i, w in enumerate(C.PACK_PEAK_WEIGHTS, start=1)}, F.col("nth"), 0.0)
+    more = first.groupBy("path").agg(F.sum(F.col("peak") * extra).alias("more"))
+    return base.join(more, "path").select("path", (F.col("base") + F.col("more")).alias("evidence"))
 
 
 def rebalance(ranked: DataFrame, evidence: DataFrame, window: int = C.RESCORE_WINDOW, margin: float = C.RESCORE_MARGIN) -> DataFrame:

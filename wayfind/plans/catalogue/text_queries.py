@@ -191,19 +191,16 @@ def field_term_index(t: StarTables) -> DataFrame:
     "phrase_bonus",
     with_ctes(
         ["docs"],
-        f"""SELECT doc_id, CAST((CASE WHEN contains(lower(title),'the ') THEN 20 ELSE 0 END) + (CASE WHEN contains(lower(path),'the ') THEN 20 ELSE 0 END)
-  + (CASE WHEN contains(lower(module),'the ') THEN 20 ELSE 0 END) + (CASE WHEN contains(lower(pack),'the ') THEN 20 ELSE 0 END)
-  + (CASE WHEN contains(lower(array_to_string({sql_facts('text')},' ')),'the ') THEN 20 ELSE 0 END) AS DOUBLE) AS bonus FROM docs""",
+        f"""SELECT doc_id, CAST((CASE WHEN contains(lower(title),'that') THEN 20 ELSE 0 END) + (CASE WHEN contains(lower(path),'that') THEN 20 ELSE 0 END)
+  + (CASE WHEN contains(lower(module),'that') THEN 20 ELSE 0 END) + (CASE WHEN contains(lower(pack),'that') THEN 20 ELSE 0 END)
+  + (CASE WHEN contains(lower(array_to_string({sql_facts('text')},' ')),'that') THEN 20 ELSE 0 END) AS DOUBLE) AS bonus FROM docs""",
     ),
 )
 def phrase_bonus(t: StarTables) -> DataFrame:
     """Phrase containment bonus over the five phrase fields."""
     from dataclasses import replace
 
-    class Phrase(type(PLAN)):
-        phrase = "the "
-
-    plan = Phrase(**{**replace(PLAN, identifiers=()).__dict__})
+    plan = replace(PLAN, text=" That ", identifiers=())
     facts = F.lower(F.array_join("facts", " "))
     return indexed_documents(t).select("doc_id", scoring.containment_score(plan, facts_text=facts).alias("bonus"))
 
