@@ -13,6 +13,7 @@ from wayfind.operators import files as fl
 from wayfind.operators import fusion as fu
 from wayfind.operators import graph as g
 from wayfind.operators.skew import ranked_top
+from wayfind.session import cut_lineage
 from wayfind.plans.catalogue.graph_queries import ENDPOINTS, ORDER, cross_file_hints, sql_owner_path
 from wayfind.plans.catalogue.registry import query
 from wayfind.plans.catalogue.settings import MODULE_VOCABULARY, NOISE_FILES, PLAN, PROFILE
@@ -113,10 +114,10 @@ def top_specific_packs(t: StarTables) -> DataFrame:
 )
 def file_contributions(t: StarTables) -> DataFrame:
     """Score of every (document, file) pair of every matching document."""
-    scored = scored_documents(t)
+    scored = cut_lineage(scored_documents(t).drop("text", "facts", "title"))  # used for the packs and for the rows
     packs = fl.top_specific_packs(ranked_top(scored, by_score(), 80))
     rows = scored.withColumn("source", F.col("path"))
-    with_id = fl.with_top_packs(rows.drop("path", "text"), packs).join(t.doc_files(), "doc_id")
+    with_id = fl.with_top_packs(rows.drop("path"), packs).join(t.doc_files(), "doc_id")
     return with_id.select("doc_id", "path", F.round(fl.file_contribution(PLAN, PROFILE), 4).alias("contribution"))
 
 
@@ -135,7 +136,8 @@ RANKED_FILE_CTES = {
 
 
 def candidates(t: StarTables) -> DataFrame:
-    return fl.candidate_documents(scored_documents(t).withColumn("source", F.col("path")), by_score())
+    """File candidates, checkpointed as in a search: at most some hundred rows, joined many times."""
+    return cut_lineage(fl.candidate_documents(scored_documents(t).withColumn("source", F.col("path")), by_score()))
 
 
 @query(
@@ -303,7 +305,7 @@ def as_candidates(df: DataFrame, t: StarTables) -> DataFrame:
 
 
 def keyword_candidates(t: StarTables) -> DataFrame:
-    return as_candidates(ranked_top(scored_documents(t), by_score(), 20), t)
+    return cut_lineage(as_candidates(ranked_top(scored_documents(t), by_score(), 20), t))
 
 
 def vector_candidates(t: StarTables) -> DataFrame:
@@ -312,7 +314,7 @@ def vector_candidates(t: StarTables) -> DataFrame:
     top = fu.vector_search(indexed, similarity, 12).select(F.col("vec_id").alias("doc_id"), "score", "rank")
     # documents are read only for the twelve that were found
     named = t.documents().join(F.broadcast(top), "doc_id").withColumn("snippet", F.substring("text", 1, 900)).drop("text")
-    return as_candidates(named, t)
+    return cut_lineage(as_candidates(named, t))
 
 
 @query("keyword_lock", with_ctes(DOCS, "SELECT * FROM lock", FUSION_CTES))
