@@ -132,6 +132,8 @@ NEGATION_PATTERN = (
 )
 NEGATION_WINDOW_CHARS = 40
 SOURCE_LINE_EXTENSIONS = r"(?i)\.(cs|tsx|ts|js|json|sql|md|yaml|yml)$"
+# A line with one of these states where a fact came from, and is no fact itself.
+PROVENANCE_MARKERS = ("source:", "last verified", "graphify-out/")
 CODE_FILE_PATTERN = r"\.(cs|tsx|ts|js)$"
 KNOWN_FILE_PATTERN = r"\.(cs|tsx|ts|js|json|sql|md|yaml|yml)$"
 DECLARATION_KEYWORDS = ("type", "interface", "class", "function", "const", "let", "var", "enum")

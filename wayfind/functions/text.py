@@ -131,16 +131,12 @@ def source_file_lines(text: Column, limit: int = C.MAX_SOURCE_FILES) -> Column:
 
 def fact_lines(text: Column, limit: int = C.MAX_FACTS) -> Column:
     """Statement-like lines: bullets, key/value pairs, arrows, assignments."""
+    markers = F.array(*[F.lit(marker) for marker in C.PROVENANCE_MARKERS])
     lines = F.transform(lines_of(text), stripped)
     long_enough = F.filter(lines, lambda line: ~is_markup_line(line) & (F.length(line) >= 25))
     short = F.transform(long_enough, lambda line: clipped(line, 400))
     no_provenance = F.filter(
-        short,
-        lambda line: ~(
-            F.lower(line).contains("source:")
-            | F.lower(line).contains("last verified")
-            | F.lower(line).contains("graphify-out/")
-        ),
+        short, lambda line: ~F.exists(markers, lambda marker: F.contains(F.lower(line), marker))
     )
     stated = F.filter(
         no_provenance,

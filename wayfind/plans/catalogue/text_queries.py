@@ -35,6 +35,10 @@ def sql_lines(x: str) -> str:
     return _LINES.format(x=x)
 
 
+def _provenance(marker: str) -> str:
+    return f"contains(lower(y),'{marker}')"
+
+
 def sql_facts(x: str) -> str:
     lines = f"list_transform({sql_lines(x)}, lambda y: {sql_strip('y')})"
     kept = (
@@ -43,8 +47,8 @@ def sql_facts(x: str) -> str:
     )
     clipped = f"list_transform({kept}, lambda y: CASE WHEN length(y) > 400 THEN substr(y,1,397) || '...' ELSE y END)"
     stated = (
-        f"list_filter({clipped}, lambda y: NOT (contains(lower(y),'source:') OR contains(lower(y),'last verified')"
-        " OR contains(lower(y),'graphify-out/')) AND (starts_with(y,'-') OR starts_with(y,'*') OR contains(y,':')"
+        f"list_filter({clipped}, lambda y: NOT ({' OR '.join(_provenance(m) for m in C.PROVENANCE_MARKERS)}) AND"
+        " (starts_with(y,'-') OR starts_with(y,'*') OR contains(y,':')"
         " OR contains(y,'->') OR contains(y,'=')))"
     )
     return sql_distinct_ci(f"list_transform(({stated})[1:25], lambda y: regexp_replace(y, '^[-* ]+|[-* ]+$', '', 'g'))")
