@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfind.llm.mixing import mix_documents
+from wayfind.llm.personal_data import find_personal_data
 from wayfind.llm.quality_rules import STATS, judge_documents
 from wayfind.llm.sharding import shard_documents
+from wayfind.llm.token_file import token_digests
 from wayfind.llm.url_filter import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +86,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdicts of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return judge_documents(docs, table(spark, sf_dir, "labels")).select("doc_id", *STATS, "base_failed", "kept")
+
+
+@query("op1_rans_tokens")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids in a rANS file, read back."""
+    return token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+@query("op3_personal_data")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: base spans and those the span classifier adds."""
+    return find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
