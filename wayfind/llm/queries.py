@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfind.llm.mixing import mix_documents
+from wayfind.llm.multi_index import link_vectors
 from wayfind.llm.personal_data import find_personal_data
 from wayfind.llm.quality_rules import STATS, judge_documents
 from wayfind.llm.sharding import shard_documents
@@ -98,3 +99,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text: base spans and those the span classifier adds."""
     return find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op5_multi_index")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors within their labels."""
+    return link_vectors(table(spark, sf_dir, "embeddings"))
