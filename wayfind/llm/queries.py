@@ -14,6 +14,7 @@ from wayfind.llm.quality_rules import STATS, judge_documents
 from wayfind.llm.sharding import shard_documents
 from wayfind.llm.token_file import token_digests
 from wayfind.llm.url_filter import filter_urls
+from wayfind.llm.weighted_minhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +106,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate vectors within their labels."""
     return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_weighted_minhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document among near-duplicates."""
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
