@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wayfind.llm.mixing import mix_documents
 from wayfind.llm.multi_index import link_vectors
 from wayfind.llm.personal_data import find_personal_data
+from wayfind.llm.piece_lattice import decode_documents, encode_documents, load_model
 from wayfind.llm.quality_rules import STATS, judge_documents
 from wayfind.llm.sharding import shard_documents
 from wayfind.llm.token_file import token_digests
@@ -112,3 +114,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of every document among near-duplicates."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op6_piece_lattice")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every whole text, and the text they decode to, as checksums."""
+    model = load_model(public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
+    return decode_documents(encoded, model).select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"),
+        F.crc32(F.encode("decoded", "UTF-8")).alias("text_crc32"),
+    )
