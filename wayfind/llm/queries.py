@@ -14,6 +14,7 @@ from wayfind.llm.personal_data import find_personal_data
 from wayfind.llm.piece_lattice import decode_documents, encode_documents, load_model
 from wayfind.llm.quality_rules import STATS, judge_documents
 from wayfind.llm.sharding import shard_documents
+from wayfind.llm.suffix_dedup import remove_repeats
 from wayfind.llm.token_file import token_digests
 from wayfind.llm.url_filter import filter_urls
 from wayfind.llm.weighted_minhash import near_duplicates
@@ -125,3 +126,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"),
         F.crc32(F.encode("decoded", "UTF-8")).alias("text_crc32"),
     )
+
+
+@query("op7_suffix_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages cut from every whole text."""
+    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
