@@ -45,6 +45,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_of(df: DataFrame) -> Column:
+    """The whole row as one struct, so that own columns beside it cannot clash with its names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def split_rank(df: DataFrame, keys: list[str], code: str, name: str, ties: list[Column] | None = None) -> DataFrame:
     """Adds ``name``: the rank from 0 of every row within its group, ordered by the hash column ``code``.
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import WORD, split_rank, written
+from wayfind.llm.common import WORD, row_of, split_rank, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
@@ -69,7 +69,7 @@ def multipliers(hist: DataFrame, targets: DataFrame, most: int = MOST) -> DataFr
     state = written(
         targets.select(
             "source", "mean", "target", full.alias("full"),
-            F.log(F.greatest(F.col("target") / F.col("source_size"), F.lit(1e-12))).alias("lam"),
+            F.log(F.greatest(F.try_divide("target", "source_size"), F.lit(1e-12))).alias("lam"),
             F.lit(-1e6).alias("low"), F.lit(1e6).alias("high"), (full | (F.col("source_size") == 0)).alias("done"),
         ), "mix-state",
     )
@@ -167,6 +167,6 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: i
 def apply_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The documents of the mix: every row as often as it has copies."""
     _, plan = plan_mix(written(document_sizes(docs), "mix-documents"), weights, most)
-    inner = docs.select(F.struct(*docs.columns).alias("_row"), "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id").alias("code"))
+    inner = docs.select(row_of(docs).alias("_row"), "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id").alias("code"))
     rows = _on_source(inner, plan, "size")
     return rows.select("_row", F.explode(F.array_repeat(F.lit(0), _copies().cast("int")))).select("_row.*")

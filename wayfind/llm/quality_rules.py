@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfind.llm.common import free_name, written
+from wayfind.llm.common import free_name, row_of, written
 from wayfind.llm.texts import MIX, octets, scramble, window_codes, window_owner, word_codes
 
 MIN_WORDS, WINDOW, MAX_REPEAT = 10, 5, 20
@@ -190,6 +190,6 @@ def judge_documents(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, le
 
 def keep_documents(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, level: float = LEVEL) -> DataFrame:
     """The documents that the rules keep, with their columns."""
-    rows = docs.select("doc_id", "lang", "text", F.struct(*docs.columns).alias("_row"))
+    rows = docs.select("doc_id", "lang", "text", row_of(docs).alias("_row"))
     table, cutoffs = calibrate(with_stats(docs.select("doc_id", "lang", "text")).drop("text"), labels, limit, level)
     return verdicts(with_stats(rows), table, cutoffs).where("_kept").select("_row.*")

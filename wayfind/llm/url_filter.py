@@ -191,6 +191,6 @@ def _joined(parts: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     probes = urls.withColumn("rule", F.explode(keys)).withColumn("code", F.xxhash64("rule"))
     best = probes.join(rules, ["code", "rule"]).groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.length("rule")).alias("_w"))
     kept = parts.drop("rule", "verdict")
-    return kept.join(best, ["host", "path"], "left").select(
-        *kept.columns, F.col("_w.rule").alias("rule"), F.coalesce("_w.verdict", F.lit(default)).alias("verdict")
-    )
+    joined = kept.alias("k").join(best.alias("b"), ["host", "path"], "left")
+    own = [F.col(f"k.`{c}`") for c in kept.columns]
+    return joined.select(*own, F.col("b._w.rule").alias("rule"), F.coalesce("b._w.verdict", F.lit(default)).alias("verdict"))
