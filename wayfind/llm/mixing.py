@@ -112,7 +112,8 @@ def group_copies(hist: DataFrame, targets: DataFrame, solved: DataFrame, most: i
     rows = _on_source(_on_source(hist, targets.select("source", "mean", "target")), solved)
     tilt = F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0)))
     rate = F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("full"), F.lit(float(most))).otherwise(F.least(F.lit(float(most)), tilt))
-    rows = rows.withColumn("rate", rate).withColumn("whole", F.floor("rate").cast("long"))
+    rows = rows.withColumn("rate", F.round(rate, 9))  # sums in another order give other last digits
+    rows = rows.withColumn("whole", F.floor("rate").cast("long"))
     rows = rows.withColumn("extra", F.floor((F.col("rate") - F.col("whole")) * F.col("n")).cast("long"))
     room = (F.col("size") > 0) & (F.col("whole") < most) & (F.col("extra") < F.col("n"))
     taken = F.col("size") * (F.col("n") * F.col("whole") + F.col("extra"))
