@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wayfind import constants as C
+from wayfind.functions.arrays import once, running_sums
 from wayfind.functions.text import ordered_distinct_ci, search_tokens, stripped
 
 _WORDS = "(?U)" + C.IDENTIFIER_PATTERN
@@ -54,24 +55,15 @@ def named_files(text: Column) -> Column:
 def negated_identifiers(text: Column) -> Column:
     """Lower-cased identifiers with a negation cue within the character window on either side."""
     window = C.NEGATION_WINDOW_CHARS
-    separators = F.split(text, _WORDS)
-    words = _mentions(text)
-    starts = F.aggregate(
-        F.zip_with(separators, words, lambda gap, word: F.struct(gap.alias("gap"), word.alias("word"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,word:string>>").alias("out")),
-        lambda acc, item: F.when(
-            item["word"].isNull(), acc
-        ).otherwise(
-            F.struct(
-                (acc["at"] + F.length(item["gap"]) + F.length(item["word"])).alias("at"),
-                F.concat(
-                    acc["out"],
-                    F.array(F.struct((acc["at"] + F.length(item["gap"])).alias("start"), item["word"].alias("word"))),
-                ).alias("out"),
-            )
-        ),
-        lambda acc: acc["out"],
-    )
+    gaps = F.transform(F.split(text, _WORDS), F.length)
+
+    def placed(bound: Column) -> Column:
+        words = bound["words"]
+        lengths = F.transform(words, F.length)
+        ends = running_sums(F.zip_with(F.slice(bound["gaps"], 1, F.size(words)), lengths, lambda gap, size: gap + size))
+        return F.zip_with(words, ends, lambda word, end: F.struct((end - F.length(word)).alias("start"), word.alias("word")))
+
+    starts = once(F.struct(_mentions(text).alias("words"), gaps.alias("gaps")), placed)
 
     def negated(item: Column) -> Column:
         begin = F.greatest(F.lit(0), item["start"] - window)

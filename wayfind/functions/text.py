@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wayfind import constants as C
+from wayfind.functions.arrays import first_of_equal
 
 # --------------------------------------------------------------------------
 # Tokenisers.  There are three on purpose: search, embedding and path names.
@@ -106,14 +107,7 @@ def first_useful_lines(text: Column, limit: int = 4) -> Column:
 
 def ordered_distinct_ci(values: Column) -> Column:
     """First-wins distinct of an array, comparing lower-cased."""
-    lowered = F.transform(values, F.lower)
-    return F.transform(
-        F.filter(
-            F.transform(values, lambda value, i: F.struct(i.alias("i"), value.alias("v"))),
-            lambda item: F.array_position(lowered, F.lower(item["v"])) == item["i"] + 1,
-        ),
-        lambda item: item["v"],
-    )
+    return first_of_equal(values, F.lower)
 
 
 # --------------------------------------------------------------------------

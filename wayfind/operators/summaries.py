@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from wayfind import constants as C
 from wayfind.functions.classify import source_priority
-from wayfind.functions.paths import normalized_path
+from wayfind.functions.paths import any_of, normalized_path
 from wayfind.functions.text import first_useful_lines
 from wayfind.operators.dedup import distinct_ci
 from wayfind.operators.skew import ranked_top
 
 
-def _by_priority(docs: DataFrame, limit: int) -> DataFrame:
-    return ranked_top(docs.withColumn("priority", source_priority(F.col("source_type"))), [F.desc("priority"), F.asc("doc_id")], limit)
+def _by_priority(docs: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` documents with their ``rank``; without limit all, ranked by an orderable pair instead of a number."""
+    rated = docs.withColumn("priority", source_priority(F.col("source_type")))
+    if limit is None:
+        return rated.withColumn("rank", F.struct((-F.col("priority")).alias("place"), F.col("doc_id").alias("doc_id")))
+    return ranked_top(rated, [F.desc("priority"), F.asc("doc_id")], limit)
 
 
 def module_documents(documents: DataFrame, module: str, pack: str | None = None, limit: int = 12) -> DataFrame:
@@ -30,7 +34,7 @@ def module_documents(documents: DataFrame, module: str, pack: str | None = None,
     return both.withColumn("best", F.min("tier").over(Window.partitionBy())).where(F.col("tier") == F.col("best")).drop("tier", "best")
 
 
-def pack_documents(documents: DataFrame, pack: str, module: str | None = None, limit: int = 20) -> DataFrame:
+def pack_documents(documents: DataFrame, pack: str, module: str | None = None, limit: int | None = 20) -> DataFrame:
     """Documents of a pack, or with the pack name in their path, by source priority."""
     wanted = pack.strip().lower()
     found = documents.where((F.lower("pack") == wanted) | F.lower("path").contains(wanted))
@@ -66,12 +70,15 @@ def summary_texts(ranked_docs: DataFrame, limit: int = 5) -> DataFrame:
 
 
 def restrict_to_paths(df: DataFrame, paths: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows any of whose path columns is in ``paths`` (a ranked list, one ``path_norm`` column)."""
-    small = F.broadcast(paths.select("path_norm").distinct())
-    ends = F.array_distinct(F.array(*[normalized_path(F.col(c)) for c in columns]))
-    numbered = df.withColumn("_row", F.struct(*df.columns)).withColumn("_end", F.explode(ends))
-    hit = numbered.join(small, F.col("_end") == F.col("path_norm"), "left_semi")
-    return hit.select("_row").distinct().select("_row.*")
+    """Rows any of whose path columns is in ``paths`` (a ranked list, one ``path_norm`` column); equal rows all stay."""
+    small = F.broadcast(paths.select("path_norm").where(F.col("path_norm").isNotNull()).distinct())
+    rows, flags = df, []
+    for i, column in enumerate(columns):
+        flag = f"_hit{i}"
+        end = small.select(F.col("path_norm").alias(f"_end{i}"), F.lit(True).alias(flag))
+        rows = rows.join(end, normalized_path(F.col(column)) == F.col(f"_end{i}"), "left")
+        flags.append(F.coalesce(F.col(flag), F.lit(False)))
+    return rows.where(any_of(flags)).select(*df.columns)
 
 
 def uncovered_packs(packs: DataFrame, doc_paths: DataFrame, retrieved: DataFrame) -> DataFrame:

@@ -217,13 +217,15 @@ def totals(events: DataFrame, outcomes: DataFrame) -> DataFrame:
     return left.join(of_outcomes.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
-def context_savings(events: DataFrame, file_chars: DataFrame, window: int = C.SAVINGS_SAMPLE_WINDOW) -> DataFrame:
-    """Delivered versus full-file characters for the latest ``window`` events (one row per event).
+def context_savings(events: DataFrame, file_chars: DataFrame, window: int | None = None) -> DataFrame:
+    """Delivered versus full-file characters, one row per event, over the whole log.
 
-    The window is the feature (a recent sample); the files are joined by path only for it.
+    ``window`` restricts it to that many latest events (``SAVINGS_SAMPLE_WINDOW`` is the usual recent sample).
     """
-    recent = events.orderBy(F.desc("ts"), F.desc("event_id")).limit(window).where(F.col("context_chars").isNotNull())
-    paths = recent.select("event_id", "context_chars", F.explode("top_files").alias("path"))
+    if window is not None:
+        events = events.orderBy(F.desc("ts"), F.desc("event_id")).limit(window)
+    measured = events.where(F.col("context_chars").isNotNull())
+    paths = measured.select("event_id", "context_chars", F.explode("top_files").alias("path"))
     sized = paths.join(file_chars.select("path", "chars"), "path", "left")
     per_event = sized.groupBy("event_id", "context_chars").agg(F.sum(F.coalesce("chars", F.lit(0))).alias("baseline_chars"))
     saved = F.round(F.lit(100.0) * (1 - F.col("context_chars") / F.col("baseline_chars")), 1)

@@ -339,12 +339,12 @@ def pack_summary_files(t: StarTables) -> DataFrame:
     with_ctes(
         ["docs"],
         f"""SELECT fact FROM (SELECT rank, pos, fact FROM (SELECT rank, unnest(f) AS fact, generate_subscripts(f, 1) AS pos FROM (SELECT rank, {sql_facts('text')} AS f FROM (
-  SELECT *, row_number() OVER (ORDER BY {_PRIO_SQL} DESC, doc_id) AS rank FROM docs WHERE pack = 'knowledge' OR contains(lower(path),'knowledge') QUALIFY rank <= 2000))) QUALIFY row_number() OVER (PARTITION BY lower(fact) ORDER BY rank, pos) = 1 ORDER BY rank, pos LIMIT 40)""",
+  SELECT *, row_number() OVER (ORDER BY {_PRIO_SQL} DESC, doc_id) AS rank FROM docs WHERE pack = 'knowledge' OR contains(lower(path),'knowledge')))) QUALIFY row_number() OVER (PARTITION BY lower(fact) ORDER BY rank, pos) = 1 ORDER BY rank, pos LIMIT 40)""",
     ),
 )
 def pack_summary_facts(t: StarTables) -> DataFrame:
     """Distinct facts of a pack's documents, first forty."""
-    docs = sm.pack_documents(indexed_documents(t), "knowledge", limit=2000)
+    docs = sm.pack_documents(indexed_documents(t), "knowledge", limit=None)
     return sm.summary_facts(docs).select("fact")
 
 
@@ -375,11 +375,11 @@ def answer_edges(t: StarTables) -> DataFrame:
 
 @query(
     "files_without_symbols",
-    with_ctes(["files", "symbols"], "SELECT file_key FROM files WHERE path NOT IN (SELECT path FROM symbols WHERE line % 50 = 0)"),
+    with_ctes(["files", "symbols"], "SELECT file_key FROM files WHERE path NOT IN (SELECT path FROM symbols WHERE NOT suffix(label, '()'))"),
 )
 def files_without_symbols(t: StarTables) -> DataFrame:
-    """Files that lack a symbol hit and need one from live source (anti join)."""
-    hit = t.symbols().where(F.col("line") % 50 == 0).select("path")
+    """Files without a type symbol, which need one from live source (anti join)."""
+    hit = t.symbols().where(~F.col("label").endswith("()")).select("path")
     return t.files().join(hit, "path", "left_anti").select("file_key")
 
 
@@ -410,8 +410,8 @@ def uncovered_packs(t: StarTables) -> DataFrame:
     with_ctes(
         ["files", "symbols"],
         """SELECT topic_id, overruled FROM (SELECT o_orderkey AS topic_id, o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN 'unknown' ELSE '.Order' || o_orderkey || '()' END AS m, path FROM orders JOIN files ON o_custkey = file_key) t,
-LATERAL (SELECT m <> 'unknown' AND ((EXISTS (SELECT 1 FROM ps WHERE ps.path = t.path) AND NOT EXISTS (SELECT 1 FROM pl WHERE pl.path = t.path AND pl.label = lower(m))) OR (NOT EXISTS (SELECT 1 FROM ps WHERE ps.path = t.path) AND o_custkey % 2 <> 0)) AS overruled)""",
-        {"pl": "SELECT DISTINCT path, lower(label) AS label FROM symbols WHERE line % 3 = 0", "ps": "SELECT DISTINCT path FROM pl"},
+LATERAL (SELECT m <> 'unknown' AND ((EXISTS (SELECT 1 FROM ps WHERE ps.path = t.path) AND NOT EXISTS (SELECT 1 FROM pl WHERE pl.path = t.path AND pl.label = lower(m))) OR (NOT EXISTS (SELECT 1 FROM ps WHERE ps.path = t.path) AND NOT suffix(t.path, '.cs'))) AS overruled)""",
+        {"pl": "SELECT DISTINCT path, lower(label) AS label FROM symbols WHERE suffix(label, '()')", "ps": "SELECT DISTINCT path FROM pl"},
     ),
 )
 def verified_topics(t: StarTables) -> DataFrame:
@@ -420,8 +420,8 @@ def verified_topics(t: StarTables) -> DataFrame:
     topics = t.read("orders").join(t.files(), F.col("o_custkey") == F.col("file_key")).select(
         F.col("o_orderkey").alias("topic_id"), F.col("path").alias("primary_file"), method.alias("entry_method"), F.lit(True).alias("file_match")
     )
-    hits = t.symbols().where(F.col("line") % 3 == 0)
-    offered = t.files().where(F.col("file_key") % 2 == 0)
+    hits = t.symbols().where(F.col("label").endswith("()"))
+    offered = t.files().where(F.col("path").endswith(".cs"))
     return sm.verified_topics(topics, hits, offered).select("topic_id", "overruled")
 
 

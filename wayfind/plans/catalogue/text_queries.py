@@ -453,12 +453,26 @@ def identifier_corroboration(t: StarTables) -> DataFrame:
     return one.select("conv_id", "turn", "identifier", F.round(strength, 6).alias("strength"))
 
 
+_ACCENTED = "À-ÖØ-öø-ÿ"
+#: The text with every word that has an accented letter blanked out, so that positions stay.
+_MASKED = f"""array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9_{_ACCENTED}]+|[^A-Za-z0-9_{_ACCENTED}]+'),
+  lambda t: CASE WHEN regexp_matches(t, '[{_ACCENTED}]') THEN repeat(' ', length(t)) ELSE t END), '')"""
+_MENTION = "'\\b[A-Za-z_][A-Za-z0-9_.]{2,}\\b'"
+_CUE = r"""'(?i)\b(?:not|never|without|except|excluding|neither|nor)\b|n''t\b|\brather than\b|\binstead of\b|\bno longer\b'"""
+
+
 @query(
     "negated_identifiers",
-    None,
+    f"""WITH m AS (SELECT conv_id, turn, text, regexp_extract_all(masked, {_MENTION}) AS words, string_split_regex(masked, {_MENTION}) AS gaps FROM (SELECT conv_id, turn, text, {_MASKED} AS masked FROM conversations)),
+w AS (SELECT conv_id, turn, text, unnest(words) AS word, unnest(gaps[1:len(words)]) AS gap, generate_subscripts(words, 1) AS pos FROM m),
+p AS (SELECT *, sum(length(gap) + length(word)) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS stop FROM w),
+n AS (SELECT conv_id, turn, lower(word) AS word FROM p
+  WHERE regexp_matches(substr(text, CAST(greatest(0, stop - length(word) - 40) AS INT) + 1, CAST(stop + 40 - greatest(0, stop - length(word) - 40) AS INT)), {_CUE})),
+d AS (SELECT DISTINCT conv_id, turn, unnest(list_filter([word] || string_split(word, '.'), lambda x: x <> '')) AS name FROM n)
+SELECT conv_id, turn, coalesce(names, '') AS negated FROM conversations LEFT JOIN (SELECT conv_id, turn, string_agg(name, '|' ORDER BY name) AS names FROM d GROUP BY ALL) USING (conv_id, turn)""",
 )
 def negated_identifiers(t: StarTables) -> DataFrame:
-    """Identifiers of logged queries that have a negation cue nearby (rows only; fixture-tested)."""
+    """Identifiers of logged queries that have a negation cue nearby."""
     return t.read("conversations").select(
         "conv_id", "turn", F.array_join(F.array_sort(ids.negated_identifiers(F.col("text"))), "|").alias("negated")
     )

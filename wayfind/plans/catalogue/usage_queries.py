@@ -239,8 +239,8 @@ def usage_totals(t: StarTables) -> DataFrame:
 _CHARS = "SELECT path, 500 + length(path) * 100 AS chars FROM (SELECT DISTINCT unnest(top_files) AS path FROM event_log)"
 _SAVED = {
     "chars": _CHARS,
-    "saved": f"""SELECT event_id, context_chars, CAST(sum(chars) AS BIGINT) AS baseline_chars FROM (
-  SELECT event_id, context_chars, unnest(top_files) AS path FROM (SELECT * FROM event_log ORDER BY ts DESC, event_id DESC LIMIT {C.SAVINGS_SAMPLE_WINDOW})) JOIN chars USING (path) GROUP BY ALL""",
+    "saved": """SELECT event_id, context_chars, CAST(sum(chars) AS BIGINT) AS baseline_chars FROM (
+  SELECT event_id, context_chars, unnest(top_files) AS path FROM event_log WHERE context_chars IS NOT NULL) JOIN chars USING (path) GROUP BY ALL""",
 }
 
 
@@ -251,7 +251,7 @@ def file_sizes(t: StarTables) -> DataFrame:
 
 @query("context_savings", with_ctes(["event_log"], "SELECT event_id, context_chars, baseline_chars, round(100.0::DOUBLE * (1 - context_chars / baseline_chars), 1) AS saved_percent FROM saved", _SAVED))
 def context_savings(t: StarTables) -> DataFrame:
-    """Delivered against full-file characters for the recent sample."""
+    """Delivered against full-file characters for every event of the log."""
     return u.context_savings(t.event_log(), file_sizes(t))
 
 

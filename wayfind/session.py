@@ -27,16 +27,24 @@ def build_session(app_name: str = "wayfind", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process (``local-cluster`` is not)."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` wins.  Only where it is unset (tests, local runs)
-    a temporary folder is created, because there is one machine then.
+    ``spark.checkpoint.dir`` wins.  Where it is unset, only a local master gets
+    a temporary folder, because there is one machine then; on a cluster the files
+    would lie on the disks of single executors, so that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not configured and not is_local(spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     folder = configured or tempfile.mkdtemp(prefix="wayfind-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
