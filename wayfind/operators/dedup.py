@@ -40,7 +40,8 @@ def suffix_dedup(df: DataFrame, path: str, order: list[Column]) -> DataFrame:
     keyed = df.withColumn("_path", normalized_path(F.col(path)))
     # the path itself closes the order, so that no two paths share a rank
     rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col("_path").alias("p"))
-    keyed = keyed.withColumn("_rank", rank)
+    # written once: a sum that is computed again may differ in its last digit, and the ranks are joined on below
+    keyed = cut_lineage(keyed.withColumn("_rank", rank))
     best = cut_lineage(keyed.groupBy("_path").agg(F.min("_rank").alias("_rank")))
     shorter = best.select(F.col("_path").alias("a"), F.col("_rank").alias("ra"), F.explode(proper_suffixes(F.col("_path"))).alias("b"))
     half = shorter.join(best.select(F.col("_path").alias("b"), F.col("_rank").alias("rb")), "b")

@@ -21,22 +21,23 @@ from wayfind.functions.paths import (
     slashed,
 )
 from wayfind.functions.text import search_tokens
-from wayfind.operators.dedup import suffix_dedup_short
+from wayfind.operators.dedup import suffix_dedup
 from wayfind.operators.graph import distinctive_hits
 from wayfind.plans.query import QueryPlan
 from wayfind.sources.profile import Profile
 
 
-def candidate_documents(scored: DataFrame, order: list[Column], count: int = 50) -> DataFrame:
-    """Ranked file candidates: all matches if they are at most ten times ``count``, else ``count``.
+def candidate_documents(scored: DataFrame, order: list[Column], leading: int = 500, max_documents: int | None = None) -> DataFrame:
+    """All matching documents, with ``rank`` from 1 for the ``leading`` ones (the rest have none).
 
-    Adds ``rank`` from 1.  At most 10 x count + 1 rows leave the take-ordered step,
-    so the window over them is small by construction.
+    Only the leading rows are ordered (take-ordered, then a window over them), so the
+    matches are never sorted as a whole.  ``max_documents`` keeps that many instead.
     """
-    top = scored.orderBy(*order).limit(10 * count + 1)
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    total = F.count(F.lit(1)).over(Window.partitionBy())
-    return ranked.withColumn("_n", total).where((F.col("_n") <= 10 * count) | (F.col("rank") <= count)).drop("_n")
+    first = scored.orderBy(*order).limit(max_documents or leading).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    if max_documents is not None:
+        return first
+    # at most ``leading`` ids and ranks
+    return scored.join(F.broadcast(first.select("doc_id", "rank")), "doc_id", "left")
 
 
 def top_specific_packs(results: DataFrame, limit: int = 4, window: int = 80) -> DataFrame:
@@ -188,7 +189,7 @@ def pinned_contributions(spark, plan: QueryPlan) -> DataFrame:
 
         own = set(tokenize(path.replace("\\", "/").replace("/", " ")))
         matched = sum(1 for w in words if w in own)
-        rows.append((path, 100_000_000.0 - index * 1_000_000.0 + min(matched, 9) * 50_000.0, "pinned-owner"))
+        rows.append((path, 100_000_000.0 - index * 1_000_000.0 + min(matched, 9) * 50_000.0, "deterministic-owner-routing-confidence"))
     return spark.createDataFrame(rows, "path string, contribution double, source string")
 
 
@@ -248,7 +249,7 @@ def ranked_files(
         totals = parts.groupBy("path").agg(F.sum("contribution").alias("score"))
         parts = parts.unionByName(companion_contributions(totals, results, doc_files, companions, plan, packs))
     order = [F.desc("score"), F.asc("path")]
-    unique = suffix_dedup_short(sum_by_file(parts), "path", [-F.col("score"), F.col("path")])
+    unique = suffix_dedup(sum_by_file(parts), "path", [-F.col("score"), F.col("path")])
     top = unique.orderBy(*order).limit(max_files)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
 

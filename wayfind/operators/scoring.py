@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wayfind import constants as C
 from wayfind.functions import text as tx
-from wayfind.functions.classify import lit_array, lookup
+from wayfind.functions.classify import lookup
 from wayfind.functions.paths import any_of, contains_any
 from wayfind.plans.query import QueryPlan
 from wayfind.sources.profile import Profile
@@ -54,40 +54,37 @@ def build_doc_terms(documents: DataFrame, doc_files: DataFrame | None = None) ->
 
 
 def term_scores(doc_terms: DataFrame, plan: QueryPlan) -> DataFrame:
-    """(doc_id, term_score): field weight x capped tf, once per occurrence of the token in the query."""
+    """(doc_id, gain): field weight x capped tf, once per occurrence of the token in the query; one row per hit."""
     counts = plan.token_counts()
     hits = doc_terms.where(F.col("term").isin(*counts))
     weight = lookup(C.FIELD_WEIGHTS, F.col("field"), 0.0)
     times = lookup({t: float(n) for t, n in counts.items()}, F.col("term"), 0.0)
-    gain = weight * F.least(F.col("tf"), F.lit(C.TF_CAP)) * times
-    return hits.groupBy("doc_id").agg(F.sum(gain).alias("term_score"))
+    return hits.select("doc_id", (weight * F.least(F.col("tf"), F.lit(C.TF_CAP)) * times).alias("gain"))
 
 
-def containment_score(plan: QueryPlan, files_text: Column | None = None, facts_text: Column | None = None) -> Column:
-    """Phrase and identifier bonuses of one document row (narrow, no shuffle).
+def containment(documents: DataFrame, plan: QueryPlan) -> DataFrame:
+    """(doc_id, gain, named<i>, told<i>): phrase bonus, and which identifiers the fields and the text contain.
 
-    ``files_text`` / ``facts_text`` are lower-cased haystacks of those fields.
+    A narrow pass over the documents; only rows with something to say leave it, without their text.
     """
 
     def lowered(name: str) -> Column:
         return F.lower(F.coalesce(F.col(name), F.lit("")))
 
     haystack = {name: lowered(name) for name in ("title", "path", "module", "pack", "text")}
-    haystack["facts"] = facts_text if facts_text is not None else F.lit("")
-    haystack["files"] = files_text if files_text is not None else F.lit("")
-    total = F.lit(0.0)
+    haystack["facts"] = F.lower(F.array_join("facts", " ")) if "facts" in documents.columns else F.lit("")
+    haystack["files"] = F.lit("")
+    gain = F.lit(0.0)
     if len(plan.phrase) >= 4:
         for name in C.PHRASE_FIELDS:
-            total = total + F.when(haystack[name].contains(plan.phrase), F.lit(C.PHRASE_BONUS)).otherwise(F.lit(0.0))
-    for identifier in plan.identifiers:
+            gain = gain + F.when(haystack[name].contains(plan.phrase), F.lit(C.PHRASE_BONUS)).otherwise(F.lit(0.0))
+    flags: list[Column] = []
+    for i, identifier in enumerate(plan.identifiers):
         word = identifier.lower()
-        named = any_of([haystack[name].contains(word) for name in ("path", "files", "title")])
-        total = total + (
-            F.when(named, F.lit(C.IDENTIFIER_FIELD_BONUS))
-            .when(haystack["text"].contains(word), F.lit(C.IDENTIFIER_TEXT_BONUS))
-            .otherwise(F.lit(0.0))
-        )
-    return total
+        flags.append(any_of([haystack[name].contains(word) for name in ("path", "title")]).cast("int").alias(f"named{i}"))
+        flags.append(haystack["text"].contains(word).cast("int").alias(f"told{i}"))
+    rows = documents.select("doc_id", gain.alias("gain"), *flags)
+    return rows.where(any_of([F.col(c) > 0 for c in rows.columns[1:]]))
 
 
 def score_multipliers(plan: QueryPlan) -> list[tuple[str, Column, float]]:
@@ -157,12 +154,11 @@ def score_reasons(plan: QueryPlan) -> Column:
     return F.slice(F.array_compact(F.array(*fired)), 1, 6)
 
 
-def matched_files_text(doc_files: DataFrame, plan: QueryPlan) -> DataFrame:
-    """(doc_id, file_hits): identifiers found in any listed file, as a set bounded by the query."""
-    words = [w.lower() for w in plan.identifiers]
-    found = [F.when(F.lower("path").contains(w), F.lit(w)) for w in words]
-    hits = doc_files.select("doc_id", F.explode(F.array_compact(F.array(*found)) if found else lit_array([])).alias("w"))
-    return hits.groupBy("doc_id").agg(F.collect_set("w").alias("file_hits"))
+def file_mentions(doc_files: DataFrame, plan: QueryPlan) -> DataFrame:
+    """(doc_id, named<i>): identifiers found in a listed file."""
+    flags = [F.lower("path").contains(w.lower()).cast("int").alias(f"named{i}") for i, w in enumerate(plan.identifiers)]
+    rows = doc_files.select("doc_id", *flags)
+    return rows.where(any_of([F.col(c) > 0 for c in rows.columns[1:]]))
 
 
 def score_documents(
@@ -172,14 +168,26 @@ def score_documents(
     profile: Profile | None = None,
     doc_files: DataFrame | None = None,
 ) -> DataFrame:
-    """Documents with ``score`` > 0.  One shuffle on doc_id for the terms, one join on doc_id."""
-    base = documents.join(term_scores(doc_terms, plan), "doc_id", "left")
-    files_text = None
+    """Documents with ``score`` > 0, without ``text`` and ``facts`` (join those for the rows that are shown).
+
+    Term hits, containment and file mentions are narrow rows that meet in one aggregate on doc_id; the documents that
+    match are then joined without their texts.
+    """
+    parts = [term_scores(doc_terms, plan)]
+    if plan.identifiers or len(plan.phrase) >= 4:
+        parts.append(containment(documents, plan))
     if doc_files is not None and plan.identifiers:
-        base = base.join(matched_files_text(doc_files, plan), "doc_id", "left")
-        files_text = F.coalesce(F.array_join("file_hits", " "), F.lit(""))
-    facts_text = F.lower(F.array_join("facts", " ")) if "facts" in documents.columns else None
-    additive = F.coalesce("term_score", F.lit(0.0)) + containment_score(plan, files_text, facts_text)
-    scored = base.withColumn("_additive", additive).where(F.col("_additive") > 0)
-    out = scored.withColumn("score", apply_multipliers(F.col("_additive"), plan, profile))
-    return out.drop("_additive", "term_score", "file_hits").where(F.col("score") > 0)
+        parts.append(file_mentions(doc_files, plan))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    count = range(len(plan.identifiers))
+    flags = [F.max(f"{name}{i}").alias(f"{name}{i}") for name in ("named", "told") for i in count]
+    met = rows.groupBy("doc_id").agg(F.coalesce(F.sum("gain"), F.lit(0.0)).alias("_additive"), *flags)
+    additive = F.col("_additive")
+    for i in count:
+        named, told = F.coalesce(F.col(f"named{i}"), F.lit(0)) > 0, F.coalesce(F.col(f"told{i}"), F.lit(0)) > 0
+        additive = additive + F.when(named, F.lit(C.IDENTIFIER_FIELD_BONUS)).when(told, F.lit(C.IDENTIFIER_TEXT_BONUS)).otherwise(F.lit(0.0))
+    met = met.select("doc_id", additive.alias("_additive")).where(F.col("_additive") > 0)
+    scored = documents.drop("text", "facts").join(met, "doc_id")
+    return scored.withColumn("score", apply_multipliers(F.col("_additive"), plan, profile)).drop("_additive").where(F.col("score") > 0)

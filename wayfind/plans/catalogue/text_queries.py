@@ -205,8 +205,8 @@ def phrase_bonus(t: StarTables) -> DataFrame:
     from dataclasses import replace
 
     plan = replace(PLAN, text=" That ", identifiers=())
-    facts = F.lower(F.array_join("facts", " "))
-    return indexed_documents(t).select("doc_id", scoring.containment_score(plan, facts_text=facts).alias("bonus"))
+    found = scoring.containment(indexed_documents(t), plan).select("doc_id", F.col("gain").alias("bonus"))
+    return t.documents().select("doc_id").join(found, "doc_id", "left").fillna(0.0, ["bonus"])
 
 
 @query(

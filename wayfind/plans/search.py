@@ -196,11 +196,11 @@ def keyword_search(
         raise ValueError("Query had no searchable terms.")
     max_results, max_files = max_results or settings.max_results, max_files or settings.max_files
     scored = score_documents(index.documents, index.doc_terms, plan, profile, index.doc_files)
-    count = max(max_results, settings.file_candidate_documents)
-    results = cut_lineage(fl.candidate_documents(scored, _order(), count))
+    scored = cut_lineage(scored)  # scored once; the candidates and the hints read it
+    results = cut_lineage(fl.candidate_documents(scored, _order()))
     companions = g.owner_companions(index.doc_related, index.doc_edges.join(results.select("doc_id"), "doc_id", "left_semi"))
     ranked = fl.ranked_files(
-        results.drop("text"), index.doc_files, plan, profile, companions, max_files, settings.max_files_per_document
+        results, index.doc_files, plan, profile, companions, max_files, settings.max_files_per_document
     )
     evidence = fl.pack_evidence(fl.per_pack_peaks(results, index.doc_files.join(results.select("doc_id"), "doc_id", "left_semi")))
     files = cut_lineage(fl.rebalance(cut_lineage(ranked), evidence).withColumn("path_norm", normalized_path(F.col("path"))))
@@ -223,11 +223,14 @@ def keyword_search(
     top_score = results.agg(F.max("score").alias("m")).scalar()
     base = cl.raw_score_confidence(F.coalesce(top_score, F.lit(0.0)), settings.confidence_scale)
     routing = results.where(F.col("rank") <= max_results).unionByName(results.where(F.col("rank") <= 80))
-    shown = results.where(F.col("rank") <= max_results).select(
+    leading = results.where(F.col("rank") <= max_results)
+    texts = index.documents.select("doc_id", "text", "facts").join(F.broadcast(leading.select("doc_id")), "doc_id", "left_semi")
+    leading = leading.join(texts, "doc_id")
+    shown = leading.select(
         "rank", "doc_id", "title", "kind", "module", "pack", "path", "source", "source_type", F.round("score", 2).alias("score"), "facts",
         best_snippets(F.col("facts"), F.col("text"), list(plan.tokens)).alias("snippets"), score_reasons(plan).alias("reasons"),
     )
-    facts = results.where(F.col("rank") <= max_results).select(
+    facts = leading.select(
         "rank", F.posexplode(F.slice("facts", 1, 4)).alias("pos", "fact"), "source", "source_type"
     ).orderBy("rank", "pos").limit(20)
     confidence = confidence_of(base, plan, owner, blocks, symbol_rows, locations, chain, files)
