@@ -23,18 +23,18 @@ def check(encoded, texts, model) -> None:
     assert sorted((str(r.doc_id), r.ids, r.decoded) for r in rows) == sorted((str(d), LIBRARY.encode(t), LIBRARY.decode(LIBRARY.encode(t))) for d, t in texts)
 
 
-@pytest.mark.parametrize("limit", [1 << 28, 0])
-def test_ids_equal_the_library(documents, texts, model, limit):
-    check(encode_documents(documents, model, max_shipped_bytes=limit), texts, model)
+@pytest.mark.parametrize("block_bytes", [32 << 20, 20_000])
+def test_ids_equal_the_library(documents, texts, model, block_bytes):
+    check(encode_documents(documents, model, block_bytes=block_bytes), texts, model)
 
 
-@pytest.mark.parametrize("limit", [1 << 28, 0])
-def test_odd_rows(odd, odd_rows, empty, model, limit):
+@pytest.mark.parametrize("block_bytes", [32 << 20, 1000])
+def test_odd_rows(odd, odd_rows, empty, model, block_bytes):
     texts = [(r[0], r[1] or "") for r in odd_rows]
-    encoded = encode_documents(odd, model, max_shipped_bytes=limit)
+    encoded = encode_documents(odd, model, block_bytes=block_bytes)
     assert encoded.columns == [*odd.columns, "ids"]
     check(encoded, texts, model)
-    assert encode_documents(odd, model, "kept", limit).columns == [c for c in odd.columns if c != "kept"] + ["kept"]
+    assert encode_documents(odd, model, "kept").columns == [c for c in odd.columns if c != "kept"] + ["kept"]
     assert encode_documents(empty, model).count() == 0
 
 

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wayfind.session import is_local
+
 #: ASCII white space of the contracts; everything else belongs to words.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows one task may rank; larger groups are cut into hash buckets first.
@@ -22,7 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not is_local(spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     folder = "file://" + tempfile.mkdtemp(prefix="wayfind-llm-")
     spark.conf.set("spark.checkpoint.dir", folder)

@@ -26,6 +26,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -140,13 +141,14 @@ def decode_block(data: bytes, table: Table, slots: np.ndarray | None = None, che
 class Encoder:
     """Encodes texts with a tokenizers file.
 
-    With byte-level pre-tokenising a space between two non-spaces always starts a new pre-token, so a text is the sequence
-    of its chunks between such spaces; chunks seen before are looked up in a memo of bounded size.  Other tokenizers get
-    whole texts.
+    With byte-level pre-tokenising a space or a line end between two non-spaces always starts a new pre-token, so a text is
+    the sequence of its chunks between those; chunks seen before are looked up in a memo of bounded size.  A chunk that
+    starts a line keeps the line end, any other one stands for itself with a space in front.  Texts with other white space
+    are only cut at spaces between non-spaces.  Other tokenizers get whole texts.
     """
 
-    UNSAFE = re.compile(r"\s | \s| \Z|\A ")
     CUT = re.compile(r"(?<=\S) (?=\S)")
+    PAIRS = ("  ", " \n", "\n ", "\n\n")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -167,17 +169,25 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if "\n" not in c and not c[-1].isspace()] if len(self.newline) == 1 else []
-        for low in range(0, len(plain), 2000):  # many chunks in one call, told apart by line ends between them
+        plain = [c for c in chunks if "\n" not in c[1:] and not c[-1].isspace()] if len(self.newline) == 1 else []
+        for low in range(0, len(plain), 2000):  # many chunks in one call, told apart by the line ends before them
             some = plain[low : low + 2000]
-            ids = np.array(self._ids([" " + "\n ".join(some)])[0], np.uint32)
-            parts = np.split(ids, np.flatnonzero(ids == self.newline[0]))
-            for chunk, part in zip(some, parts, strict=True):
-                self._add(chunk, part[1:].tolist() if part[0] == self.newline[0] else part.tolist())
+            ids = np.array(self._ids(["".join(c if c[0] == "\n" else "\n " + c for c in some)])[0], np.uint32)
+            edge = np.append(np.flatnonzero(ids == self.newline[0]), len(ids)).tolist()
+            every = ids.tolist()
+            for i, (chunk, at) in enumerate(zip(some, edge, strict=False)):
+                self._add(chunk, every[at + (chunk[0] != "\n") : edge[i + 1]])
         rest = [c for c in chunks if c not in self.memo]
-        for chunk, ids in zip(rest, self._ids([" " + c for c in rest]), strict=True):
+        for chunk, ids in zip(rest, self._ids([c if c[0] == "\n" else " " + c for c in rest]), strict=True):
             self._add(chunk, ids)
 
+    def _chunks(self, text: str) -> list[str]:
+        """The head of the text, then its chunks."""
+        ends = text[:1].isspace() or text[-1:].isspace()
+        if ends or any(p in text for p in self.PAIRS) or not text.replace("\n", "").isprintable():
+            return self.CUT.split(text)
+        return text.replace("\n", " \n").split(" ")
+
     def _add(self, chunk: str, ids: list[int]) -> None:
         self.memo[chunk] = len(self.memo)
         self.flat.extend(ids)
@@ -194,14 +204,15 @@ class Encoder:
         chunks: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            parts = self.CUT.split(text) if self.UNSAFE.search(text) else text.split(" ")
+            parts = self._chunks(text)
             heads.append(parts[0])
             chunks += parts[1:]
             counts[i] = len(parts) - 1
-        new = list({c for c in chunks if c not in self.memo})
-        self._learn(new)
+        at = np.fromiter(map(self.memo.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(at < 0).tolist()
+        self._learn(list(dict.fromkeys(chunks[i] for i in new)))
+        at[new] = [self.memo[chunks[i]] for i in new]
         first = self._ids(heads)
-        at = np.fromiter(map(self.memo.__getitem__, chunks), np.int64, len(chunks))
         ends, flat = np.frombuffer(self.ends, np.uint64).astype(np.int64), np.frombuffer(self.flat, np.uint32)
         size, begin = ends[at + 1] - ends[at], ends[at]
         total = np.concatenate([[0], np.cumsum(size)])
