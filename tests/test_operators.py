@@ -61,16 +61,24 @@ def test_query_plan():
     assert [pq.coerce_bool(v, True) for v in ("off", "Yes", None, 0)] == [False, True, True, False]
 
 
-def test_chunks_follow_the_cursor_rules():
-    assert list(chunks.chunk_texts("")) == []
-    assert list(chunks.chunk_texts("x")) == ["x"]
-    text = "a" * 3300
-    assert [len(c) for c in chunks.chunk_texts(text)] == [3200, 300]
-    cut = "b" * 3000 + ". " + "c" * 400
-    first, second = chunks.chunk_texts(cut)
+def chunk_texts(text, overlap=200):
+    return [text[b:e].strip() for b, e in chunks.chunk_spans(text, 3200, overlap, 200)]
+
+
+def test_chunks_end_at_the_best_boundary():
+    assert chunk_texts("") == []
+    assert chunk_texts("x") == ["x"]
+    assert [len(c) for c in chunk_texts("a" * 3300)] == [3200, 300]
+    first, second = chunk_texts("b" * 3000 + ". " + "c" * 400)
     assert first == "b" * 3000 + "." and second.startswith("b" * 199 + ".")
-    # a tail below the minimum is dropped
-    assert len(list(chunks.chunk_texts("d" * 3200 + "e" * 10, overlap=0))) == 1
+
+
+def test_a_short_tail_lengthens_the_last_chunk():
+    assert chunk_texts("d" * 3200 + "e" * 100, overlap=0) == ["d" * 3200 + "e" * 100]
+    text = ("word " * 700 + "\n## part\n") * 3 + "tail"
+    assert chunk_texts(text)[-1].endswith("tail")
+    covered = {i for b, e in chunks.chunk_spans(text, 3200, 200, 200) for i in range(b, e)}
+    assert covered == set(range(len(text)))
 
 
 def test_hash_embedding_is_unit_length_and_hashed(spark):

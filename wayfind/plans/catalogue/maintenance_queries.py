@@ -42,15 +42,18 @@ _SPLIT = (
 @query(
     "chunk_documents",
     f"""WITH RECURSIVE n AS MATERIALIZED (SELECT doc_id, {_NORMAL} AS x FROM documents),
-rec(doc_id, cur, ord, chunk, emitted, done, total) AS (
-  SELECT doc_id, 0::BIGINT, 0, ''::VARCHAR, false, false, length(x)::BIGINT FROM n WHERE x <> ''
+rec(doc_id, start, stop, cur, done, total) AS (
+  SELECT doc_id, -1::BIGINT, 0::BIGINT, 0::BIGINT, false, length(x)::BIGINT FROM n WHERE x <> ''
   UNION ALL
-  SELECT doc_id, greatest(e - 200, cur + 1), ord + emit::INT, body, emit, e >= total, total FROM (SELECT *, length(body) >= 200 OR ord = 0 AS emit FROM (
-    SELECT *, regexp_replace(CASE WHEN sp THEN substr(w, 1, split) ELSE w END, '^\\s+|\\s+$', '', 'g') AS body, CASE WHEN sp THEN cur + split ELSE least(total, cur + 3200) END AS e FROM (
+  SELECT doc_id, cur, e, greatest(e - 200, cur + 1), e >= total, total FROM (
+    SELECT *, CASE WHEN sp THEN cur + split ELSE least(total, cur + 3200) END AS e FROM (
       SELECT *, cur + 3200 < total AND split >= 200 AS sp FROM (SELECT *, {_SPLIT} AS split FROM (
-        SELECT r.*, substr(n.x, r.cur + 1, 3200) AS w FROM rec r JOIN n USING (doc_id) WHERE NOT r.done)))))
-)
-SELECT doc_id, ord - 1 AS ord, length(chunk)::BIGINT AS chars, md5(chunk) AS digest FROM rec WHERE emitted""",
+        SELECT r.*, substr(n.x, r.cur + 1, 3200) AS w FROM rec r JOIN n USING (doc_id) WHERE NOT r.done))))
+),
+pieces AS (SELECT doc_id, x, start, stop, length(regexp_replace(substr(x, start + 1, stop - start), '^\\s+|\\s+$', '', 'g')) AS own FROM rec JOIN n USING (doc_id) WHERE start >= 0),
+joined AS (SELECT *, sum(CASE WHEN own >= 200 OR start = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start) AS g FROM pieces)
+SELECT doc_id, CAST(g - 1 AS INT) AS ord, length(chunk)::BIGINT AS chars, md5(chunk) AS digest FROM (
+  SELECT doc_id, g, regexp_replace(substr(any_value(x), min(start) + 1, max(stop) - min(start)), '^\\s+|\\s+$', '', 'g') AS chunk FROM joined GROUP BY doc_id, g)""",
 )
 def chunk_documents(t: StarTables) -> DataFrame:
     """Overlapping chunks of every document."""
