@@ -21,9 +21,10 @@ from wayfind.functions.paths import (
     slashed,
 )
 from wayfind.functions.text import search_tokens
-from wayfind.operators.dedup import suffix_dedup
+from wayfind.operators.dedup import suffix_dedup_short
 from wayfind.operators.graph import distinctive_hits
 from wayfind.plans.query import QueryPlan
+from wayfind.session import cut_lineage
 from wayfind.sources.profile import Profile
 
 
@@ -236,6 +237,21 @@ def companion_contributions(
     return rows.select("path", bonus.alias("contribution"), F.lit("owner-group-completeness").alias("source"))
 
 
+def _leading_distinct(files: DataFrame, order: list[Column], count: int) -> DataFrame:
+    """The leading files without those that a better one spells out or shortens.
+
+    Whether a file stays depends only on better ones, so a leading part of the list decides its own files; the part
+    grows until it holds ``count`` of them or is the whole list.
+    """
+    size = 8 * count
+    while True:
+        head = cut_lineage(files.orderBy(*order).limit(size))
+        unique = suffix_dedup_short(head, "path", [-F.col("score"), F.col("path")])
+        if unique.count() >= count or head.count() < size:
+            return unique
+        size *= 4
+
+
 def ranked_files(
     results: DataFrame, doc_files: DataFrame, plan: QueryPlan, profile: Profile | None = None,
     companions: DataFrame | None = None, max_files: int = 25, max_files_per_document: int = 0,
@@ -249,8 +265,7 @@ def ranked_files(
         totals = parts.groupBy("path").agg(F.sum("contribution").alias("score"))
         parts = parts.unionByName(companion_contributions(totals, results, doc_files, companions, plan, packs))
     order = [F.desc("score"), F.asc("path")]
-    unique = suffix_dedup(sum_by_file(parts), "path", [-F.col("score"), F.col("path")])
-    top = unique.orderBy(*order).limit(max_files)
+    top = _leading_distinct(sum_by_file(parts), order, max_files).orderBy(*order).limit(max_files)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
 
 
