@@ -8,7 +8,8 @@ The cutoff of the score is chosen per stratum (language) on the other half, the
 most lenient to stricter ones; a cutoff holds if the exact (Clopper-Pearson) upper bound of the share of good documents
 above it is at most ``limit``, and testing stops at the first that does not.  That fixed sequence needs no correction within
 a stratum; across strata the error level is divided by their number (Bonferroni).  So with probability ``1 - level`` no
-stratum loses more than ``limit`` of its good documents.  A stratum with too few labels rejects nothing.
+stratum loses more than ``limit`` of its good documents.  A stratum with too few labels rejects nothing, and no cutoff goes
+below ``EVIDENCE``: what is not clearly bad stays, even where the bound would allow more.
 
 Null text has no words and fails the base rule; null languages form a stratum.  Labels without a quality are left out, and
 where an id has several, the document counts as good only if all say so.  Rows that repeat an id are judged one by one.
@@ -27,10 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayfind.llm.common import free_name, row_of, written
-from wayfind.llm.texts import MIX, octets, scramble, window_codes, window_owner, word_codes
+from wayfind.llm.texts import MIX, octets, scramble, slices, window_codes, window_owner, word_codes
 
 MIN_WORDS, WINDOW, MAX_REPEAT = 10, 5, 20
-LIMIT, LEVEL = 0.05, 0.05
+LIMIT, LEVEL = 0.02, 0.05
+EVIDENCE = 2.0  # least log odds for which a document may be rejected at all
 BINS = 16
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMPTOMS = ("symbols", "capitals", "shouts", "dup_lines", "repeats", "long_words")
@@ -93,8 +95,7 @@ def with_stats(docs: DataFrame) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for part in slices(batch, "text"):
                 stats = text_stats(octets(part.column(names.index("text"))))
                 own = pa.StructArray.from_arrays([pa.array(stats[k], pa.int64()) for k in (*STATS, *SYMPTOMS)], names=[*STATS, *SYMPTOMS])
                 yield pa.RecordBatch.from_arrays([*part.columns, own], names=[*names, name])
@@ -167,7 +168,7 @@ def calibrate(stats: DataFrame, labels: DataFrame, limit: float = LIMIT, level:
 
     def choose(part: pd.DataFrame) -> pd.DataFrame:  # one row per score step of a stratum
         cutoff = choose_cutoff(part["score"].tolist(), [int(n) for n in part["n"]], limit, level / strata)
-        return pd.DataFrame({"lang": part["lang"].iloc[:1], "cutoff": [cutoff]})
+        return pd.DataFrame({"lang": part["lang"].iloc[:1].tolist(), "cutoff": pd.array([cutoff], "Float64")})
 
     cutoffs = held.groupBy("lang").applyInPandas(choose, "lang string, cutoff double")
     return table, written(cutoffs, "quality-cutoffs")
@@ -177,7 +178,8 @@ def verdicts(measured: DataFrame, table: list[tuple[str, int, float]], cutoffs:
     """``measured`` with ``_failed`` and ``_kept``; a stratum without cutoff keeps all that pass the base rule."""
     rows = measured.alias("m").join(cutoffs.alias("c"), F.col("m.lang").eqNullSafe(F.col("c.lang")), "left")
     failed = base_failed("m._stats")
-    kept = ~failed & ~F.coalesce((score(table, "m._stats") >= F.col("c.cutoff")) & (F.col("c.cutoff") > 0), F.lit(False))
+    bad = F.col("c.cutoff").isNotNull() & (score(table, "m._stats") >= F.greatest(F.col("c.cutoff"), F.lit(EVIDENCE)))
+    kept = ~failed & ~F.coalesce(bad, F.lit(False))
     return rows.select("m.*", failed.alias("_failed"), kept.alias("_kept"))
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 ONE = np.uint64(1)
@@ -19,6 +22,19 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def slices(batch: pa.RecordBatch, column: str, rows: int = 512, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of the batch of at most ``rows`` rows and about ``size`` bytes of text, so that memory stays even."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    filled = np.cumsum(lengths)
+    low = 0
+    while low < batch.num_rows:
+        before = filled[low] - lengths[low]
+        high = min(low + rows, int(np.searchsorted(filled, before + size, "right")))
+        high = max(high, low + 1)
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def octets(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of every text; null is empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfind.llm.common import shared_folder
+from wayfind.llm.texts import slices
 
 SCALE = 20
 LOWEST = 1 << 31
@@ -256,8 +257,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, segmen
         lengths: list[np.ndarray] = []
         coder = encoder(tokenizer)
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                some = batch.slice(low, 256)
+            for some in slices(batch, "text", 256):
                 texts = ["" if t is None else t for t in some.column(1).to_pylist()]
                 flat, sizes = coder.encode(texts)
                 ends = np.cumsum(sizes)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.llm.common import components, free_name, written
-from wayfind.llm.texts import MIX, octets, scramble, window_codes, window_owner, word_codes
+from wayfind.llm.texts import MIX, octets, scramble, slices, window_codes, window_owner, word_codes
 
 WIDTH, THRESHOLD, ESTIMATE = 5, 0.8, 0.6
 BANDS, ROWS = 14, 4
@@ -141,8 +141,7 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for batch in batches:
-        for low in range(0, batch.num_rows, rows):
-            part = batch.slice(low, rows)
+        for part in slices(batch, "text", rows):
             yield part, octets(part.column("text"))
 
 
