@@ -13,8 +13,11 @@ Characters without a piece become their UTF-8 bytes' pieces (or the unknown id i
 ``LONG`` characters, for which a fold over arrays would be quadratic, are merged with a heap instead (BPE) or folded the same
 way in numpy (unigram); results are equal.
 
-The dictionary (unit, ids) goes to the tasks as a mapped file if it has at most ``max_shipped_bytes``; beyond that the units of all
-documents are exploded and joined with it.  Both give the same rows.
+Documents travel as blocks: a task packs consecutive rows, all columns, into compressed record batches of about ``BLOCK_BYTES``
+of text.  A block asks for the ids of its distinct units, packed per part (a hash of the unit); parts make their units distinct,
+encode them through the lattice and answer in the order of the question; blocks look their units up in the answers.  So neither
+words nor ids cross a shuffle once per occurrence, nothing is gathered on the driver, and the two uses of the blocks and of the
+questions share their exchanges.
 
 Null and empty texts have no pieces.  Repeated rows are encoded one by one.  Models that normalise texts beyond escaping
 spaces and one space in front are refused.
@@ -23,28 +26,29 @@ spaces and one space in front are refused.
 from __future__ import annotations
 
 import heapq
-import mmap
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark import SparkFiles
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfind.llm.common import free_name, written
 from wayfind.llm.personal_data import bind
-from wayfind.llm.url_filter import ship
 
 SPACE = "▁"
 LONG = 120
-MAX_SHIPPED_BYTES = 256 << 20
+BLOCK_BYTES, PART_BYTES = 4 << 20, 16 << 20  # of text
+SEED = 42  # of Spark's xxhash64
 STEP = 64  # an edge is numbered start * STEP + length; longer than any piece
 LOWEST = -1e300
+ID_BITS, ID_MASK = 20, (1 << 20) - 1
+APART = 1 << 30  # rank of a pair that is no piece
 
 
 @dataclass(frozen=True)
@@ -62,13 +66,27 @@ class Model:
     def longest(self) -> int:
         return max(map(len, self.pieces))
 
+    @property
+    def scores(self) -> list[float]:
+        """The distinct scores, best first; a piece's rank is the place of its score."""
+        return sorted({s for _, s in self.pieces.values()}, reverse=True)
+
 
 def make_model(pieces: dict[str, tuple[int, float]], bytes_of: tuple[bytes, ...], byte_ids: tuple[int, ...], unknown: int, kind: str) -> Model:
     if max(map(len, pieces)) >= STEP or any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces):
         raise ValueError("pieces of 64 characters or with an inner space are not supported")
-    joined = "".join(sorted({c for p in pieces if len(p) > 1 for c in p if c != SPACE}))
-    inside = "[" + "".join(re.escape(c) for c in joined) + "]" if joined else r"[^\s\S]"
-    return Model(pieces, bytes_of, byte_ids, unknown, kind, rf"(?s){SPACE}*{inside}+|{SPACE}+|.")
+    inside = {c for p in pieces if len(p) > 1 for c in p if c != SPACE}
+    letters = {c for c in inside if c.isalpha()}
+    # signs that no piece has behind a letter: a unit ends before them, so that a word with a comma is no unit of its own
+    behind = {b for p in pieces for a, b in zip(p, p[1:], strict=False) if a in letters}
+    signs = inside - letters - behind
+    rest = inside - letters - signs
+    a, o, po = _class(letters), _class(rest), _class(signs | rest)
+    return Model(pieces, bytes_of, byte_ids, unknown, kind, rf"(?s){SPACE}*(?:{po}*{a}+(?:{o}{po}*{a}*)*|{po}+)|{SPACE}+|.")
+
+
+def _class(chars: set[str]) -> str:
+    return "[" + "".join(re.escape(c) for c in sorted(chars)) + "]" if chars else r"[^\s\S]"
 
 
 _MODELS: dict[tuple[str, str], Model] = {}
@@ -113,50 +131,48 @@ def _fallback_ids(model: Model, char: Column) -> Column:
     return F.transform(at, lambda i: F.get(table, F.conv(F.substring(codes, i, F.lit(2)), 16, 10).cast("int")))
 
 
+def _known_id(found: Column, start: Column, size: Column) -> Column:
+    return F.try_element_at(found, start * STEP + size).bitwiseAND(ID_MASK).cast("int")
+
+
 def _merge(unit: Column, edges: Column, model: Model) -> Column:
     """Ids by merging: every step joins the adjacent pair whose piece scores best, the leftmost of equals.
 
-    The state is one row per symbol: where it starts, its length, and the score of joining it with the next one.
+    A symbol is one number: the rank of the piece it makes with its successor, where it starts (9 bits) and its length
+    (7 bits).  So the least number is the pair to join, and the state is a plain array.
     """
 
     def run(bound: Column) -> Column:
         text, found = bound["unit"], bound["edges"]
 
-        def rating(start: Column, size: Column) -> Column:
-            return F.coalesce(F.try_element_at(found, start * STEP + size)["score"], F.lit(LOWEST))
+        def symbol(start: Column, size: Column, pair: Column) -> Column:
+            known = F.shiftright(F.try_element_at(found, start * STEP + pair), ID_BITS)
+            return F.shiftleft(F.coalesce(known, F.lit(APART)), 16) + start * 128 + size
 
         n = F.length(text)
-        first = F.transform(
-            F.sequence(F.lit(1), n),
-            lambda i: F.struct(i.alias("at"), F.lit(1).alias("size"), F.when(i < n, rating(i, F.lit(2))).otherwise(LOWEST).alias("join")),
-        )
+        first = F.transform(F.sequence(F.lit(1), n), lambda i: symbol(i, F.lit(1), F.when(i < n, 2)))
 
         def step(acc: Column, _: Column) -> Column:
             def join(b: Column) -> Column:
-                symbols, at = b["s"], b["i"]  # joins the symbols at - 1 and at (from 0)
-                left, right = F.get(symbols, at - 1), F.get(symbols, at)
-                before, after = F.get(symbols, at - 2), F.get(symbols, at + 1)
-                size = left["size"] + right["size"]
-                new = F.struct(
-                    left["at"].alias("at"), size.alias("size"),
-                    F.when(after.isNotNull(), rating(left["at"], size + after["size"])).otherwise(LOWEST).alias("join"),
-                )
-                changed = F.struct(before["at"].alias("at"), before["size"].alias("size"), rating(before["at"], before["size"] + size).alias("join"))
-                head = F.when(before.isNotNull(), F.concat(F.slice(symbols, 1, at - 2), F.array(changed))).otherwise(F.slice(symbols, 1, F.lit(0)))
-                return F.concat(head, F.array(new), F.slice(symbols, at + 2, F.size(symbols)))
-
-            def choose(b: Column) -> Column:
-                place = F.array_position(b["s"]["join"], b["best"]).cast("int")
-                return bind(F.struct(b["s"].alias("s"), place.alias("i")), join)
-
-            best = F.array_max(acc["join"])
-            return F.when(best <= LOWEST, acc).otherwise(bind(F.struct(acc.alias("s"), best.alias("best")), choose))
+                symbols, best, place = b["s"], b["best"], b["place"]
+                start = F.shiftright(best, 7).bitwiseAND(511).cast("int")
+                size = (best.bitwiseAND(127) + F.get(symbols, place).bitwiseAND(127)).cast("int")
+                before, after = F.get(symbols, place - 2), F.get(symbols, place + 1)
+                new = symbol(start, size, size + after.bitwiseAND(127).cast("int"))
+                at, length = F.shiftright(before, 7).bitwiseAND(511).cast("int"), before.bitwiseAND(127).cast("int")
+                both = F.array_compact(F.array(symbol(at, length, length + size), new))  # without a predecessor the first is null
+                return F.concat(F.slice(symbols, 1, F.greatest(place - 2, F.lit(0))), both, F.slice(symbols, place + 2, F.size(symbols)))
+
+            best = F.array_min(acc)
+            chosen = F.struct(acc.alias("s"), best.alias("best"), F.array_position(acc, best).cast("int").alias("place"))
+            return F.when(best >= (APART << 16), acc).otherwise(bind(chosen, join))
 
         symbols = F.aggregate(F.sequence(F.lit(1), n), first, step)
 
         def ids(x: Column) -> Column:
-            known = F.try_element_at(found, x["at"] * STEP + x["size"])["id"]
-            return F.when(known.isNotNull(), F.array(known)).otherwise(_fallback_ids(model, F.substring(text, x["at"], x["size"])))
+            start, size = F.shiftright(x, 7).bitwiseAND(511).cast("int"), x.bitwiseAND(127).cast("int")
+            known = _known_id(found, start, size)
+            return F.when(known.isNotNull(), F.array(known)).otherwise(_fallback_ids(model, F.substring(text, start, size)))
 
         return F.flatten(F.transform(symbols, ids))
 
@@ -168,12 +184,16 @@ def _viterbi(unit: Column, edges: Column, model: Model) -> Column:
 
     A character without a piece costs more than any piece, as in the library.
     """
-    lowest = min(s for _, s in model.pieces.values()) - 10.0
+    lowest = model.scores[-1] - 10.0
+    scores = F.array(*[F.lit(float(x)) for x in model.scores])
 
     def run(bound: Column) -> Column:
         text, found = bound["unit"], bound["edges"]
         zero = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start")))
 
+        def score(start: Column, size: Column) -> Column:
+            return F.get(scores, F.shiftright(F.try_element_at(found, start * STEP + size), ID_BITS).cast("int"))
+
         def reach(acc: Column, end: Column) -> Column:
             starts = F.sequence(F.greatest(F.lit(1), end - model.longest + 1), end)
             rated = F.transform(
@@ -181,7 +201,7 @@ def _viterbi(unit: Column, edges: Column, model: Model) -> Column:
                 lambda s: F.struct(
                     (
                         F.get(acc, s - 1)["score"]
-                        + F.coalesce(F.try_element_at(found, s * STEP + (end - s + 1))["score"], F.when(s == end, lowest).otherwise(LOWEST))
+                        + F.coalesce(score(s, end - s + 1), F.when(s == end, lowest).otherwise(LOWEST))
                     ).alias("score"),
                     s.alias("start"),
                 ),
@@ -203,7 +223,7 @@ def _viterbi(unit: Column, edges: Column, model: Model) -> Column:
         path = bind(F.struct(F.aggregate(F.sequence(F.lit(1), F.length(text)), zero, reach).alias("best")), back)
 
         def ids(x: Column) -> Column:
-            known = F.try_element_at(found, x["start"] * STEP + x["size"])["id"]
+            known = _known_id(found, x["start"], x["size"])
             return F.when(known.isNotNull(), F.array(known)).otherwise(_fallback_ids(model, F.substring(text, x["start"], x["size"])))
 
         return F.flatten(F.transform(path, ids))
@@ -264,137 +284,169 @@ def _path_ids(unit: str, path: list[tuple[int, int]], model: Model) -> list[int]
     return out
 
 
-def distinct_units(docs: DataFrame, model: Model) -> DataFrame:
-    """(unit) once each; a task drops repeats within its batches first."""
-    pattern = model.unit
+def _packed(table: pa.Table | pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def _one(name: str, values: pa.Array) -> pa.Table:
+    return pa.table({name: values})
+
+
+def pack_blocks(block_bytes: int):
+    """Rows (block, rows): consecutive rows of a task, together about ``block_bytes`` of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number, held, kept = TaskContext.get().partitionId(), 0, 0, []
+
+        def out() -> pa.RecordBatch:
+            data = _packed(pa.Table.from_batches(kept).combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + number], pa.int64()), pa.array([data], pa.binary())], names=["block", "rows"])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = re.compile(pattern)
         for batch in batches:
-            for low in range(0, batch.num_rows, 2048):
-                seen: set[str] = set()
-                for text in batch.column("text").slice(low, 2048).to_pylist():
-                    seen.update(units_of(text or "", find))
-                yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], names=["unit"])
+            lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+            edges = np.flatnonzero(np.diff(np.cumsum(lengths) // block_bytes, prepend=0)).tolist()
+            for low, high in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+                if low == high:
+                    continue
+                kept.append(batch.slice(low, high - low))
+                held += int(lengths[low:high].sum())
+                if held >= block_bytes:
+                    yield out()
+                    number, held, kept = number + 1, 0, []
+        if kept:
+            yield out()
+
+    return run, "block long, rows binary"
+
+
+class _Block:
+    """The rows of a block, the number of every unit in its texts, and its questions per part."""
+
+    def __init__(self, table: pa.Table, pattern: str, parts: int) -> None:
+        self.rows = pa.concat_tables([_unpacked(x) for x in table.column("rows").to_pylist()])
+        find, number = re.compile(pattern), {}
+        which, counts = [], []
+        for text in self.rows.column("text").to_pylist():
+            units = units_of(text or "", find)
+            counts.append(len(units))
+            which.append(np.fromiter((number.setdefault(u, len(number)) for u in units), np.int32, len(units)))
+        self.which = np.concatenate(which) if which else np.zeros(0, np.int32)
+        self.edge = np.append(0, np.cumsum(counts))
+        units = list(number)
+        codes = np.fromiter((xxhash.xxh64_intdigest(u.encode(), SEED) for u in units), np.uint64, len(units)).view(np.int64)
+        part = codes % parts
+        self.order = np.array(sorted(range(len(units)), key=lambda i: (part[i], units[i])), np.int64)
+        part = part[self.order]
+        edge = np.flatnonzero(np.diff(part, prepend=-1))
+        self.asked = [(int(part[i]), [units[k] for k in self.order[i:j]]) for i, j in zip(edge, np.append(edge[1:], len(part)), strict=True)]
+
+
+def ask(pattern: str, parts: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        asked = _Block(table, pattern, parts).asked
+        data = [_packed(_one("unit", pa.array(units, pa.string()))) for _, units in asked]
+        pa.default_memory_pool().release_unused()
+        block = pa.array([key[0].as_py()] * len(asked), pa.int64())
+        return pa.table({"part": pa.array([p for p, _ in asked], pa.int32()), "block": block, "units": pa.array(data, pa.binary())})
+
+    return run, "part int, block long, units binary"
+
+
+def distinct_units():
+    """(unit) of one part, once each."""
+
+    def run(table: pa.Table) -> pa.Table:
+        units = pa.chunked_array([c for x in table.column("units").to_pylist() for c in _unpacked(x).column("unit").chunks], pa.string())
+        return _one("unit", units.unique())
+
+    return run, "unit string"
+
+
+def answer(model: Model):
+    """Ids of the asked units, in the order of the question; units too long for a fold are encoded here."""
+    slow = merge_long if model.kind == "bpe" else viterbi_long
 
-    return docs.select("text").mapInArrow(rows, "unit string").distinct()
+    def run(asked: pa.Table, known: pa.Table) -> pa.Table:
+        units = known.column("unit").to_pylist()
+        place = {u: i for i, u in enumerate(units)}
+        ids = known.column("ids").combine_chunks()
+        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+        ids = ids.cast(pa.list_(pa.int32()))
+        open_ = np.flatnonzero(pc.is_null(ids).to_numpy(zero_copy_only=False)).tolist()
+        if open_:
+            place.update((units[i], len(units) + k) for k, i in enumerate(open_))
+            ids = pa.concat_arrays([ids, pa.array([slow(units[i], model) for i in open_], pa.list_(pa.int32()))])
+        out = []
+        for data in asked.column("units").to_pylist():
+            at = [place[u] for u in _unpacked(data).column("unit").to_pylist()]
+            out.append(_packed(_one("ids", ids.take(pa.array(at, pa.int64())))))
+        return pa.table({"block": asked.column("block"), "part": asked.column("part"), "ids": pa.array(out, pa.binary())})
+
+    return run, "block long, part int, ids binary"
+
+
+def look_up(pattern: str, parts: int, column: str):
+    """The rows of a block with the ids of their texts."""
+
+    def run(table: pa.Table, replies: pa.Table) -> pa.Table:
+        block = _Block(table, pattern, parts)
+        found = dict(zip(replies.column("part").to_pylist(), replies.column("ids").to_pylist(), strict=True))
+        lists = [_unpacked(found[p]).column("ids").combine_chunks() for p, _ in block.asked]
+        lists = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in lists]
+        size = np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists]) if lists else np.zeros(0, np.int64)
+        flat = np.concatenate([x.flatten().to_numpy() for x in lists]) if lists else np.zeros(0, np.int32)
+        begin = np.append(0, np.cumsum(size))
+        at = np.empty(len(block.order), np.int64)
+        at[block.order] = np.arange(len(block.order))
+        at = at[block.which]
+        total = np.append(0, np.cumsum(size[at]))
+        ids = flat[np.repeat(begin[at] - total[:-1], size[at]) + np.arange(total[-1])] if len(at) else np.zeros(0, np.int32)
+        pa.default_memory_pool().release_unused()
+        rows = pa.LargeListArray.from_arrays(pa.array(total[block.edge], pa.int64()), pa.array(ids, pa.int32())).cast(pa.list_(pa.int32()))
+        return block.rows.append_column(column, rows)
+
+    return run
 
 
 def lattice(units: DataFrame, model: Model) -> DataFrame:
-    """(unit, edges): the pieces found among its substrings, as a map from start * STEP + length to id and score."""
+    """(unit, edges): the pieces found among its substrings, as a map from start * STEP + length to rank and id in one number."""
     spark = units.sparkSession
-    table = pa.table({"piece": list(model.pieces), "id": [i for i, _ in model.pieces.values()], "score": [s for _, s in model.pieces.values()]})
-    pieces = spark.createDataFrame(table).select("piece", F.col("id").cast("int"), "score")  # one row per piece of the vocabulary
-    n = F.length("unit")
-
-    def ends(i: Column) -> Column:
-        sizes = F.sequence(F.lit(1), F.least(F.lit(model.longest), n - i + 1))
-        return F.transform(sizes, lambda k: F.struct((i * STEP + k).alias("edge"), F.substring("unit", i, k).alias("piece")))
-
+    rank = {x: i for i, x in enumerate(model.scores)}
+    table = pa.table({"piece": list(model.pieces), "value": [(rank[x] << ID_BITS) + i for i, x in model.pieces.values()]})
+    pieces = spark.createDataFrame(table)  # one row per piece of the vocabulary
     # units come hash-partitioned from their distinct, so the grouping below needs no further exchange; a unit above LONG
     # has no substrings here, and one row of every unit stays even if nothing is found
-    spans = F.when(n <= LONG, F.flatten(F.transform(F.sequence(F.lit(1), n), ends)))
-    edges = units.select("unit", F.explode_outer(spans).alias("x")).select("unit", "x.edge", "x.piece")
-    met = edges.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | F.coalesce(F.col("edge") == STEP + 1, F.lit(True)))
-    entry = F.struct("edge", F.struct("id", "score"))
-    return met.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.when(F.col("id").isNotNull(), entry))).alias("edges"))
-
+    n = F.length("unit")
+    starts = units.select("unit", n.alias("n"), F.explode_outer(F.when(n <= LONG, F.sequence(F.lit(1), n))).alias("start"))
+    sizes = F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("n") - F.col("start") + 1))
+    spans = starts.select("unit", "start", F.explode_outer(F.when(F.col("start").isNotNull(), sizes)).alias("size"))
+    edges = spans.select("unit", (F.col("start") * STEP + F.col("size")).alias("edge"), F.substring("unit", F.col("start"), F.col("size")).alias("piece"))
+    met = edges.join(F.broadcast(pieces), "piece", "left").where(F.col("value").isNotNull() | F.coalesce(F.col("edge") == STEP + 1, F.lit(True)))
+    entry = F.struct("edge", "value")
+    return met.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.when(F.col("value").isNotNull(), entry))).alias("edges"))
 
-def dictionary(docs: DataFrame, model: Model) -> DataFrame:
-    """(unit, ids) of all units of the documents."""
-    fold = _merge if model.kind == "bpe" else _viterbi
-    folded = lattice(distinct_units(docs, model), model)
-    ids = F.when(F.length("unit") <= LONG, fold(F.col("unit"), F.col("edges"), model))
-    found = written(folded.select("unit", ids.alias("ids")), "pieces")
-    slow = merge_long if model.kind == "bpe" else viterbi_long
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [slow(u, model) for u in batch.column("unit").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(ids, pa.list_(pa.int32()))], names=["unit", "ids"])
-
-    return found.where("ids is not null").unionByName(found.where("ids is null").mapInArrow(rows, "unit string, ids array<int>"))
-
-
-def _pack(table: pa.Table, seed: int) -> bytes | None:
-    """Sorted digests, ends and ids; None if two units share a digest."""
-    digests = np.fromiter((xxhash.xxh64_intdigest(u.as_buffer(), seed) for u in table.column("unit").combine_chunks().cast(pa.binary())), np.uint64)
-    order = np.argsort(digests)
-    if (digests[order][1:] == digests[order][:-1]).any():
-        return None
-    lists = table.column("ids").combine_chunks().take(pa.array(order))
-    ends = np.append(0, np.cumsum(np.diff(lists.offsets.to_numpy()))).astype(np.int64)
-    ids = lists.flatten().to_numpy().astype(np.int32)
-    return np.array([len(digests), seed], np.int64).tobytes() + digests[order].tobytes() + ends.tobytes() + ids.tobytes()
-
-
-class _Shipped:
-    def __init__(self, path: str) -> None:
-        with open(path, "rb") as file:
-            data = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
-        n, self.seed = (int(x) for x in np.frombuffer(data, np.int64, 2))
-        self.digests = np.frombuffer(data, np.uint64, n, 16)
-        self.ends = np.frombuffer(data, np.int64, n + 1, 16 + 8 * n)
-        self.ids = np.frombuffer(data, np.int32, -1, 24 + 16 * n)
-
-    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids one after another, ids of each unit)"""
-        number: dict[str, int] = {}
-        which = np.fromiter((number.setdefault(u, len(number)) for u in units), np.int64, len(units))
-        wanted = np.fromiter((xxhash.xxh64_intdigest(u.encode(), self.seed) for u in number), np.uint64, len(number))
-        at = np.searchsorted(self.digests, wanted)[which] if len(number) else which
-        begin, size = self.ends[at], self.ends[at + 1] - self.ends[at]
-        total = np.append(0, np.cumsum(size))
-        return self.ids[np.repeat(begin - total[:-1], size) + np.arange(total[-1])], size
-
-
-def encode_documents(docs: DataFrame, model: Model, column: str = "ids", max_shipped_bytes: int = MAX_SHIPPED_BYTES) -> DataFrame:
+def encode_documents(docs: DataFrame, model: Model, column: str = "ids", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with the piece ids of ``text`` in ``column``, which replaces a column of that name."""
     docs = docs.drop(column)
-    known = dictionary(docs, model)
-    n, ids = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
-    if 16 * n + 4 * ids > max_shipped_bytes:
-        return _joined(docs, known, model, column)
-    table = known.toArrow()  # at most max_shipped_bytes of digests and ids
-    data = next(x for x in (_pack(table, seed) for seed in range(100)) if x is not None) if n else None
-    name = ship(docs.sparkSession, data) if data else None
-    names, pattern = docs.columns, model.unit
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = int(max(1, -(-size // max(block_bytes, PART_BYTES))))
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.ArrayType(T.IntegerType()))])
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = re.compile(pattern)
-        held = _Shipped(SparkFiles.get(name)) if name else None
-        for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                each = [units_of(t or "", find) for t in part.column(names.index("text")).to_pylist()]
-                edge = np.append(0, np.cumsum([len(u) for u in each]))
-                flat, size = held.encode([u for us in each for u in us]) if held else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-                ends = np.append(0, np.cumsum(size))[edge]
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*names, column])
-
-    return docs.mapInArrow(rows, schema)
-
-
-def _joined(docs: DataFrame, known: DataFrame, model: Model, column: str) -> DataFrame:
-    """Without shipping: the units of all documents meet the dictionary in an equi join and are grouped by row again."""
-    key = free_name(docs, "_key")
-    rows = written(docs.withColumn(key, F.expr("uuid()")), "piece-documents")
-    pattern = model.unit
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = re.compile(pattern)
-        for batch in batches:
-            for k, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                units = units_of(text or "", find)
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(units), pa.string()), pa.array(range(len(units)), pa.int64()), pa.array(units, pa.string())], names=["key", "at", "unit"])
-
-    units = rows.select(F.col(key).alias("key"), "text").mapInArrow(split, "key string, at long, unit string")
-    met = units.join(known, "unit").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("all"))
-    met = met.select(F.col("key").alias(key), F.flatten(F.transform("all", lambda x: x["ids"])).alias(column))
-    empty = F.array().cast("array<int>")
-    return rows.join(met, key, "left").select(*docs.columns, F.coalesce(F.col(column), empty).alias(column))
+    blocks = docs.mapInArrow(*pack_blocks(block_bytes)).groupBy("block")
+    asked = blocks.applyInArrow(*ask(model.unit, parts)).groupBy("part")
+    folded = lattice(asked.applyInArrow(*distinct_units()).distinct(), model)
+    fold = _merge if model.kind == "bpe" else _viterbi
+    ids = F.when(F.length("unit") <= LONG, fold(F.col("unit"), F.col("edges"), model))
+    known = folded.select(F.pmod(F.xxhash64("unit"), F.lit(parts)).cast("int").alias("part"), "unit", ids.alias("ids"))
+    replies = asked.cogroup(known.groupBy("part")).applyInArrow(*answer(model))
+    return blocks.cogroup(replies.groupBy("block")).applyInArrow(look_up(model.unit, parts, column), schema)
 
 
 def decode_documents(encoded: DataFrame, model: Model, column: str = "ids", text: str = "decoded") -> DataFrame:
