@@ -13,7 +13,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfind.llm.common import shared_folder
+from wayfind.llm.common import shared_folder, small_batches
 from wayfind.llm.mixing import apply_mix
 from wayfind.llm.personal_data import redact
 from wayfind.llm.piece_lattice import encode_documents, load_model
@@ -25,11 +25,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or lie above their stratum's cutoff go."""
+    small_batches(spark)
     return keep_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every class of near-duplicates stays."""
+    small_batches(spark)
     return drop_near_duplicates(docs)
 
 
@@ -45,6 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the piece ids of their texts."""
+    small_batches(spark)
     return encode_documents(docs, load_model(public_tokenizers.path("piece_bpe_32k.model")), "piece_ids")
 
 

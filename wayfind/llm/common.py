@@ -31,6 +31,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a thousand rows: with whole texts in them, ten thousand take too much of an executor's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession

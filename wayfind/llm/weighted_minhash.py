@@ -36,7 +36,7 @@ BANDS, ROWS = 14, 4
 SAMPLES = BANDS * ROWS
 BUCKETS, LEAST_IDF, FULL_SHARE = 1 << 16, 0.8, 0.1
 GRID = 16  # weight steps per doubling
-TABLE_BITS = 15
+TABLE_BITS = 13
 CHUNK = 1024
 _U = np.uint64
 
@@ -180,23 +180,11 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
     return np.rint(np.log2(idf) * GRID).astype(np.int64)
 
 
-_SAMPLERS: dict[bytes, Sampler] = {}
-
-
-def sampler(levels: np.ndarray) -> Sampler:
-    """The last one is kept per Python worker."""
-    key = levels.tobytes()
-    if key not in _SAMPLERS:
-        _SAMPLERS.clear()
-        _SAMPLERS[key] = Sampler(levels)
-    return _SAMPLERS[key]
-
-
 def sketches(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     """(doc_id, p, q, n_words, sketch) of every document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sampler(levels)
+        own = Sampler(levels)
         for part, texts in _parts(batches):
             owners, keys, times, prints = shingles(texts)
             drawn = own.sketch(owners, keys, own.steps(keys, times), len(texts))
@@ -311,7 +299,7 @@ def _vectors(texts: DataFrame, levels: np.ndarray) -> DataFrame:
     grid = 2.0 ** (1 / GRID)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sampler(levels)
+        own = Sampler(levels)
         for part, some in _parts(batches, 64):
             owners, keys, times, _ = shingles(some)
             weights = grid ** own.steps(keys, times).astype(np.float64)
