@@ -43,7 +43,7 @@ from wayfind.llm.personal_data import bind
 
 SPACE = "▁"
 LONG = 120
-BLOCK_BYTES, PART_BYTES = 4 << 20, 16 << 20  # of text
+BLOCK_BYTES, PART_BYTES = 6 << 20, 16 << 20  # of text
 SEED = 42  # of Spark's xxhash64
 STEP = 64  # an edge is numbered start * STEP + length; longer than any piece
 LOWEST = -1e300
@@ -441,7 +441,10 @@ def encode_documents(docs: DataFrame, model: Model, column: str = "ids", block_b
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.ArrayType(T.IntegerType()))])
     blocks = docs.mapInArrow(*pack_blocks(block_bytes)).groupBy("block")
     asked = blocks.applyInArrow(*ask(model.unit, parts)).groupBy("part")
-    folded = lattice(asked.applyInArrow(*distinct_units()).distinct(), model)
+    # a fixed number of partitions: coalesced into few, the grouping of the edges would spill
+    tasks = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    units = asked.applyInArrow(*distinct_units()).repartition(tasks, "unit").distinct()
+    folded = lattice(units, model)
     fold = _merge if model.kind == "bpe" else _viterbi
     ids = F.when(F.length("unit") <= LONG, fold(F.col("unit"), F.col("edges"), model))
     known = folded.select(F.pmod(F.xxhash64("unit"), F.lit(parts)).cast("int").alias("part"), "unit", ids.alias("ids"))
