@@ -1,11 +1,12 @@
 from __future__ import annotations
 
+import math
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from wayfind.llm.mixing import apply_mix, mix_documents
+from wayfind.llm.mixing import FITS, apply_mix, mix_documents
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -55,6 +56,22 @@ def test_skewed_sources_near_their_targets(spark):
     check(mix_documents(rows).collect(), 0.005)
 
 
+def test_size_classes_get_copies_at_their_rates(spark):
+    """Every word count occurs once, so nothing is left of a rate that is rounded down by word count."""
+    rows = spark.range(900).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source"),
+        F.repeat(F.lit("w "), (F.col("id") + 1).cast("int")).alias("text"),
+    )
+    out = mix_documents(rows).collect()
+    check(out, 0.005)
+    for source in ("s0", "s1", "s2"):
+        own = sorted((r for r in out if r.source == source), key=lambda r: r.size)
+        assert all(math.floor(r.rate) <= r.copies <= math.ceil(r.rate) for r in own)
+        for low in range(0, 300, 30):
+            some = own[low : low + 30]
+            assert abs(sum(r.copies for r in some) - sum(r.rate for r in some)) <= 1 + FITS
+
+
 def test_odd_rows(odd, odd_rows, empty):
     rows = mix_documents(odd).collect()
     assert len(rows) == len(odd_rows)

@@ -8,9 +8,11 @@ closest to 1 in relative entropy.  Their dual is convex in one multiplier per so
 tilted: ``rate = min(most, exp(multiplier * words / mean words))``.  Newton steps (kept inside a shrinking bracket) run as
 aggregates over (source, words, documents), a table that counts all documents.
 
-Copies: documents of equal source and words have equal rates, so each such group gets its whole copies and, for the rest,
-as many extra copies as fit; the leftover words of a source are given to its smallest groups first.  Extra copies go to the
-documents with the lowest hash of the id, so reruns agree.
+Copies: every document gets its rate rounded down or up.  The fractions are summed over a source in order of words and an
+extra copy is due whenever the sum passes a half (systematic rounding), so that the documents of any range of word counts get
+their rates to within one copy, and a source misses its target by no more than its longest document.  ``FITS`` single copies
+are then moved to come nearer.  Documents of equal source and words have equal rates; the extra copies among them go to the
+lowest hashes of the id, so reruns agree.
 
 Null text counts as no words; documents without words keep one copy and take nothing.  Rows that repeat an id within a
 source and word count get equal copies.  A source whose target equals ``most`` times its words takes all of it.
@@ -27,6 +29,10 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 STEPS = 60
 TOLERANCE = 1e-9
+#: Single copies per source that may be given or taken back after rounding.
+FITS = 2
+#: Rates are fixed to this many digits: sums in another order give other last digits.
+DIGITS = 9
 
 
 def word_count(text: Column) -> Column:
@@ -112,23 +118,27 @@ def group_copies(hist: DataFrame, targets: DataFrame, solved: DataFrame, most: i
     rows = _on_source(_on_source(hist, targets.select("source", "mean", "target")), solved)
     tilt = F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0)))
     rate = F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("full"), F.lit(float(most))).otherwise(F.least(F.lit(float(most)), tilt))
-    rows = rows.withColumn("rate", F.round(rate, 9))  # sums in another order give other last digits
-    rows = rows.withColumn("whole", F.floor("rate").cast("long"))
-    rows = rows.withColumn("extra", F.floor((F.col("rate") - F.col("whole")) * F.col("n")).cast("long"))
-    room = (F.col("size") > 0) & (F.col("whole") < most) & (F.col("extra") < F.col("n"))
-    taken = F.col("size") * (F.col("n") * F.col("whole") + F.col("extra"))
+    rows = rows.withColumn("rate", F.round(rate, DIGITS)).withColumn("whole", F.floor("rate").cast("long"))
+    # the fractions as whole numbers, so that their sums are exact
+    unit = 10**DIGITS
+    part = F.round((F.col("rate") - F.col("whole")) * unit).cast("decimal(20,0)")
     source = Window.partitionBy("source")
-    rows = rows.withColumn("_left", F.col("target") - F.sum(taken).over(source))
     rising = source.orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
-    used = F.sum(F.when(room, F.col("size")).otherwise(0)).over(rising)
-    rows = rows.withColumn("_one", F.when(room & (used <= F.col("_left")), 1).otherwise(0))
-    rows = rows.withColumn("extra", F.col("extra") + F.col("_one"))
-    # one more copy of the size that is nearest to what is still missing, if that helps
-    rows = rows.withColumn("_left", F.col("target") - F.sum(taken).over(source))
-    off = F.abs(F.col("_left") - F.col("size"))
-    nearest = F.min(F.when(room & (off < F.abs("_left")), F.struct(off.alias("off"), F.col("size").alias("size")))).over(source)
-    last = F.when(nearest["size"] == F.col("size"), 1).otherwise(0)
-    return rows.select("source", "size", "n", "rate", "whole", (F.col("extra") + last).alias("extra"))
+    rows = rows.withColumn("_part", part).withColumn("_sum", F.sum(F.col("_part") * F.col("n")).over(rising))
+    upto = F.floor((F.col("_sum") + unit // 2) / unit)
+    before = F.floor((F.col("_sum") - F.col("_part") * F.col("n") + unit // 2) / unit)
+    rows = rows.withColumn("extra", (upto - before).cast("long"))
+    # one copy more or less of the size that is nearest to what is missing or too much, if that helps
+    taken = F.col("size") * (F.col("n") * F.col("whole") + F.col("extra"))
+    for _ in range(FITS):
+        rows = rows.withColumn("_left", F.col("target") - F.sum(taken).over(source))
+        room = F.when(F.col("_left") > 0, F.col("extra") < F.col("n")).otherwise(F.col("extra") > 0)
+        off = F.abs(F.abs("_left") - F.col("size"))
+        helps = (F.col("size") > 0) & (F.col("_part") > 0) & room & (off < F.abs("_left"))
+        nearest = F.min(F.when(helps, F.struct(off.alias("off"), F.col("size").alias("size")))).over(source)
+        step = F.when(nearest["size"] == F.col("size"), F.signum("_left").cast("long")).otherwise(0)
+        rows = rows.withColumn("_step", step).withColumn("extra", F.col("extra") + F.col("_step"))
+    return rows.select("source", "size", "n", "rate", "whole", "extra")
 
 
 def plan_mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> tuple[DataFrame, DataFrame]:
