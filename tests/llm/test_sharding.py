@@ -33,6 +33,20 @@ def test_a_group_of_a_third_is_cut_no_more_than_needed(spark):
     assert row["linked"] == 667 and row["cut"] == 667 - 250
 
 
+def test_small_groups_end_whole_beside_a_hot_group(spark):
+    """A third of the rows is one group, the places of its shard run out; two fifths are in pairs, some in groups of forty."""
+    kind = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("p"), (F.col("id") / 6).cast("long").cast("string")))
+    kind = kind.when(F.col("id") < 1200, F.concat(F.lit("g"), (F.col("id") / 120).cast("long").cast("string")))
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), kind.otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
+    out = shard_documents(rows).collect()
+    texts = [(r.doc_id, r.text) for r in rows.collect()]
+    check(out, texts)
+    text, shards = dict(texts), {}
+    for r in out:
+        shards.setdefault(text[r.doc_id], set()).add(r.shard)
+    assert [t for t, s in shards.items() if len(s) > 1 and t != "hot"] == []
+
+
 def test_odd_rows(odd, odd_rows, empty):
     check(shard_documents(odd).collect(), [(r[0], r[1] or "") for r in odd_rows])
     assert shard_documents(empty).count() == 0
