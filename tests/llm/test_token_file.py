@@ -76,6 +76,16 @@ def test_memo_gives_the_ids_of_whole_texts():
             assert ids.tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_added_tokens_in_texts_keep_their_ids():
+    texts = ["end of page <|endoftext|> next page", "<|endoftext|>", "a<|endoftext|><|endoftext|>b c\n d", "no end here", "<|endoftext |> x", "<| endoftext|> x"]
+    plain, coder = Tokenizer.from_file(PATH), Encoder(PATH)
+    for _ in range(2):
+        flat, sizes = coder.encode(texts)
+        parts = [p.tolist() for p in np.split(flat, np.cumsum(sizes)[:-1])]
+        assert parts == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [p.count(50256) for p in parts] == [1, 1, 2, 0, 0, 0]
+
+
 def test_other_tokenizers_get_whole_texts():
     coder = Encoder(public_tokenizers.path("word_bpe_49k.json"))
     assert not coder.chunked

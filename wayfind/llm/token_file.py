@@ -146,6 +146,9 @@ class Encoder:
     the sequence of its chunks between those; chunks seen before are looked up in a memo of bounded size.  A chunk that
     starts a line keeps the line end, any other one stands for itself with a space in front.  Texts with other white space
     are only cut at spaces between non-spaces.  Other tokenizers get whole texts.
+
+    Added tokens (such as an end-of-text mark) found in a text get their own ids, as in a plain call of the library; a text
+    with one is encoded whole.
     """
 
     CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -155,10 +158,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
         pre = spec["pre_tokenizer"] or {}
         self.chunked = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec["normalizer"]
+        added = [t["content"] for t in spec["added_tokens"]]
+        # one with white space could also arise where chunks meet
+        self.chunked = self.chunked and not any(c.isspace() for t in added for c in t)
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids if self.chunked else []
         self.reset()
 
@@ -205,7 +211,7 @@ class Encoder:
         chunks: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            parts = self._chunks(text)
+            parts = [text] if self.added.search(text) else self._chunks(text)
             heads.append(parts[0])
             chunks += parts[1:]
             counts[i] = len(parts) - 1
