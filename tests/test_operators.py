@@ -169,3 +169,13 @@ def test_group_limit_prunes_before_the_shuffle(spark):
     df = spark.range(1000).withColumn("k", F.col("id") % 2)
     plan = skew.top_per_key(df, ["k"], [F.col("id")], 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_all_statements_and_file_lines_of_a_text_count(spark):
+    facts = ["- a repeated statement of this text"] * 30 + [f"- statement number {i} of a long text" for i in range(40)]
+    files = [f"src/part{i}.cs" for i in range(150)]
+    rows = spark.createDataFrame([("\n".join(facts + files),)], "text string")
+    row = rows.select(tx.fact_lines(F.col("text")).alias("facts"), tx.source_file_lines(F.col("text")).alias("files"), tx.fact_lines(F.col("text"), 3).alias("few")).first()
+    assert row["facts"] == [line[2:] for line in facts[29:]]
+    assert [f for f in row["files"] if f.startswith("src/part")] == files
+    assert row["few"] == row["facts"][:3]

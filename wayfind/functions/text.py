@@ -115,16 +115,17 @@ def ordered_distinct_ci(values: Column) -> Column:
 # --------------------------------------------------------------------------
 
 
-def source_file_lines(text: Column, limit: int = C.MAX_SOURCE_FILES) -> Column:
-    """Lines that name a file, bullets stripped, distinct, at most ``limit``."""
+def source_file_lines(text: Column, limit: int | None = None) -> Column:
+    """Lines that name a file, bullets stripped, distinct; all of them unless a ``limit`` is given."""
     bare = F.transform(lines_of(text), lambda line: F.regexp_replace(stripped(line), "^[-*` ]+|[-*` ]+$", ""))
     named = F.filter(bare, lambda line: line.rlike(C.SOURCE_LINE_EXTENSIONS))
     slashed = F.transform(named, lambda line: F.translate(line, "\\", "/"))
-    return F.slice(ordered_distinct_ci(slashed), 1, limit)
+    distinct = ordered_distinct_ci(slashed)
+    return distinct if limit is None else F.slice(distinct, 1, limit)
 
 
-def fact_lines(text: Column, limit: int = C.MAX_FACTS) -> Column:
-    """Statement-like lines: bullets, key/value pairs, arrows, assignments."""
+def fact_lines(text: Column, limit: int | None = None) -> Column:
+    """Statement-like lines, distinct: bullets, key/value pairs, arrows, assignments; all unless a ``limit`` is given."""
     markers = F.array(*[F.lit(marker) for marker in C.PROVENANCE_MARKERS])
     lines = F.transform(lines_of(text), stripped)
     long_enough = F.filter(lines, lambda line: ~is_markup_line(line) & (F.length(line) >= 25))
@@ -140,8 +141,9 @@ def fact_lines(text: Column, limit: int = C.MAX_FACTS) -> Column:
         | line.contains("->")
         | line.contains("="),
     )
-    facts = F.transform(F.slice(stated, 1, limit), lambda line: F.regexp_replace(line, "^[-* ]+|[-* ]+$", ""))
-    return ordered_distinct_ci(facts)
+    facts = F.transform(stated, lambda line: F.regexp_replace(line, "^[-* ]+|[-* ]+$", ""))
+    distinct = ordered_distinct_ci(facts)
+    return distinct if limit is None else F.slice(distinct, 1, limit)
 
 
 def best_snippets(facts: Column, text: Column, query_tokens: list[str], limit: int = 3) -> Column:
