@@ -179,3 +179,20 @@ def test_all_statements_and_file_lines_of_a_text_count(spark):
     assert row["facts"] == [line[2:] for line in facts[29:]]
     assert [f for f in row["files"] if f.startswith("src/part")] == files
     assert row["few"] == row["facts"][:3]
+
+
+def test_gates_see_whole_chunks_and_all_files(spark):
+    from types import SimpleNamespace
+
+    from wayfind.plans import hybrid
+    from wayfind.sources.config import Settings
+
+    settings, text = Settings(dimensions=16), "refund payment " * 100 + "RefundPolicy"
+    vector = hybrid.query_vector(SimpleNamespace(spark=spark), text, settings)
+    index = SimpleNamespace(
+        spark=spark, chunks=spark.createDataFrame([("c", 1, text, vector)], "chunk_id string, doc_id long, text string, vector array<double>"),
+        documents=spark.createDataFrame([(1, *"pqrstu")], "doc_id long, path string, title string, source string, source_type string, module string, pack string"),
+        doc_files=spark.createDataFrame([(1, i, f"f{i}") for i in range(50)], "doc_id long, pos int, path string"),
+    )
+    row = hybrid.vector_candidates(index, text, settings).first()
+    assert row["snippet"].endswith("RefundPolicy") and len(row["files"]) == 50

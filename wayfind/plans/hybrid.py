@@ -56,14 +56,17 @@ def query_vector(index: SearchIndex, text: str, settings: Settings) -> list[floa
 
 
 def vector_candidates(index: SearchIndex, text: str, settings: Settings) -> DataFrame:
-    """Nearest chunks as fusion candidates: the query is a constant, the scan is narrow."""
+    """Nearest chunks as fusion candidates: the query is a constant, the scan is narrow.
+
+    The gates look at the whole text of a chunk and at all files of its document.
+    """
     weights = query_vector(index, text, settings)
     usable = index.chunks.where(F.col("vector").isNotNull()).select("chunk_id", "doc_id", "vector")
     top = fu.vector_search(usable, vec.dot_with(F.col("vector"), weights), settings.top_k_vector, settings.min_vector_score, "chunk_id")
     small = F.broadcast(top.select("chunk_id", "doc_id", "score", "rank"))
-    texts = index.chunks.join(small.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", F.substring("text", 1, 900).alias("snippet"))
+    texts = index.chunks.join(small.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", F.col("text").alias("snippet"))
     docs = index.documents.select("doc_id", "path", "title", "source", "source_type", "module", "pack")
-    files = index.doc_files.join(small.select("doc_id").distinct(), "doc_id", "left_semi").where(F.col("pos") < 20)
+    files = index.doc_files.join(small.select("doc_id").distinct(), "doc_id", "left_semi")
     lists = files.groupBy("doc_id").agg(F.array_sort(F.collect_set("path")).alias("files"))
     joined = docs.join(small, "doc_id").join(texts, "chunk_id").join(lists, "doc_id", "left")
     return joined.withColumn("files", F.coalesce("files", cl.lit_array([])))
