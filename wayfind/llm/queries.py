@@ -16,6 +16,7 @@ from wayfind.llm.piece_lattice import decode_documents, encode_documents, load_m
 from wayfind.llm.quality_rules import STATS, judge_documents
 from wayfind.llm.sharding import shard_documents
 from wayfind.llm.suffix_dedup import remove_repeats
+from wayfind.llm.token_counts import count_tokens
 from wayfind.llm.token_file import token_digests
 from wayfind.llm.url_filter import filter_urls
 from wayfind.llm.weighted_minhash import near_duplicates
@@ -135,3 +136,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated passages cut from every whole text."""
     cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_array_merge")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every whole text."""
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
