@@ -80,6 +80,18 @@ def split_rank(df: DataFrame, keys: list[str], code: str, name: str, ties: list[
     return ranked.drop("_bucket", "_start")
 
 
+def placed(df: DataFrame, by: list[str], label: str) -> DataFrame:
+    """The rows as a table sorted by ``by`` over all tasks, with ``task`` and ``place``, the position from 0 among all rows.
+
+    Range partitions split any group; only one row per task is broadcast for the starts.
+    """
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("place", F.monotonically_increasing_id())
+    rows = written(rows, label).withColumns({"task": F.shiftright("place", 33).cast("int"), "place": F.col("place").bitwiseAND((1 << 33) - 1)})
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("task").agg(F.count(F.lit(1)).alias("_n")).select("task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return rows.join(F.broadcast(starts), "task").withColumn("place", F.col("place") + F.col("_start")).drop("_start")
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b); the component is its smallest node.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfind.llm.common import small_batches
+from wayfind.llm.manifest import verify_rows
 from wayfind.llm.mixing import mix_documents
 from wayfind.llm.multi_index import link_vectors
 from wayfind.llm.personal_data import find_personal_data
@@ -142,3 +144,64 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every whole text."""
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+#: A table for crc32 of the decimal digits of numbers, made by the usual rule, and the checksum of a number ``{0}`` beside it.
+_CRC_TABLE = """crc_table AS MATERIALIZED (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t
+  FROM range(256) r(i)
+)"""
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: xor(c // 256, crc_table.t[xor(c % 256, b) + 1])), 4294967295)"""
+
+
+def _merkle_sql(levels: int = 8, upper: int = 4) -> str:
+    """Every level as its own table: enough for 16^levels rows of a source and 16^upper sources."""
+    field = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+    leaf = " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        _CRC_TABLE,
+        f"""leaves AS (
+  SELECT doc_id, source, sha256({leaf.format(text="text")}) AS leaf,
+    CASE WHEN {_CRC.format("doc_id")} % 5 = 0 THEN sha256({leaf.format(text=low)}) ELSE sha256({leaf.format(text="text")}) END AS other
+  FROM documents, crc_table
+), trees AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM documents)),
+ranked AS (SELECT l.*, t.tree, row_number() OVER (PARTITION BY t.tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM leaves l JOIN trees t ON l.source IS NOT DISTINCT FROM t.source),
+a0 AS (SELECT tree, pos, leaf AS digest FROM ranked)""",
+    ]
+    for name, n in (("a", levels), ("b", upper)):
+        for k in range(1, n + 1):
+            parts.append(f"""{name}{k} AS (
+  SELECT tree, pos // 16 AS pos, CASE WHEN any_value(many) THEN sha256(string_agg(digest, '' ORDER BY pos)) ELSE any_value(digest) END AS digest
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) > 1 AS many FROM {name}{k - 1}) GROUP BY tree, pos // 16)""")
+        if name == "a":
+            parts.append(f"b0 AS (SELECT 0 AS tree, tree AS pos, digest FROM a{n})")
+    # the siblings of a place on every level: left and right of it, and whether the level exists (more than one node)
+    for name, n in (("a", levels), ("b", upper)):
+        for k in range(n):
+            parts.append(f"""{name}s{k} AS (
+  SELECT x.tree, x.pos, any_value(m.c) > 1 AS deep, coalesce(string_agg(y.digest, '' ORDER BY y.pos) FILTER (y.pos < x.pos), '') AS l,
+    coalesce(string_agg(y.digest, '' ORDER BY y.pos) FILTER (y.pos > x.pos), '') AS r
+  FROM {name}{k} x JOIN {name}{k} y ON x.tree = y.tree AND x.pos // 16 = y.pos // 16
+  JOIN (SELECT tree, count(*) AS c FROM {name}{k} GROUP BY tree) m ON m.tree = x.tree GROUP BY x.tree, x.pos)""")
+    before = "SELECT doc_id, leaf, tree, pos, other AS seen, '' AS proof FROM ranked"
+    step = "CASE WHEN s.deep THEN sha256(s.l || w.seen || s.r) ELSE w.seen END AS seen, CASE WHEN s.deep THEN w.proof || s.l || s.r ELSE w.proof END AS proof"
+    parts.append(f"w0 AS ({before})")
+    for k in range(levels):
+        parts.append(f"w{k + 1} AS (SELECT w.doc_id, w.leaf, w.tree, w.pos, {step} FROM w{k} w JOIN as{k} s ON s.tree = w.tree AND s.pos = w.pos // {16**k})")
+    for k in range(upper):
+        parts.append(f"w{levels + k + 1} AS (SELECT w.doc_id, w.leaf, w.tree, w.pos, {step} FROM w{levels + k} w JOIN bs{k} s ON s.pos = w.tree // {16**k})")
+    return f"""WITH {", ".join(parts)}
+SELECT w.doc_id, w.leaf, a.digest AS subroot, b.digest AS root, sha256(w.proof) AS proof_sha256, w.seen AS folded_root, w.seen = b.digest AS verified
+FROM w{levels + upper} w JOIN a{levels} a ON a.tree = w.tree CROSS JOIN b{upper} b"""
+
+
+@query("op13_interval_manifest", _merkle_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and verification of every document after tampering with a fifth of them."""
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    return verify_rows(table(spark, sf_dir, "documents"), fields, "source", "doc_id", chosen, {"text": lower})
