@@ -15,6 +15,7 @@ from wayfind.llm.mixing import mix_documents
 from wayfind.llm.multi_index import link_vectors
 from wayfind.llm.personal_data import find_personal_data
 from wayfind.llm.piece_lattice import decode_documents, encode_documents, load_model
+from wayfind.llm.prefix_trie import numbered_turns, prefix_trie, with_shared_openings
 from wayfind.llm.quality_rules import STATS, judge_documents
 from wayfind.llm.sharding import shard_documents
 from wayfind.llm.suffix_dedup import remove_repeats
@@ -205,3 +206,47 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
     return verify_rows(table(spark, sf_dir, "documents"), fields, "source", "doc_id", chosen, {"text": lower})
+
+
+_TRIE_SQL = f"""
+WITH {_CRC_TABLE}, own AS (
+  SELECT conv_id, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS code, strlen(coalesce(text, '')) AS n_bytes,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32)) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, {_CRC.format("conv_id")} % 9 AS h, conv_id - (conv_id % 5 + 5) % 5 AS base
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), crc_table
+), opening AS (
+  SELECT c.conv_id, o.pos, o.code, o.n_bytes FROM convs c JOIN own o ON o.conv_id = c.base AND o.pos < c.h
+), rebuilt AS (
+  SELECT * FROM opening
+  UNION ALL
+  SELECT c.conv_id, o.pos - c.h + coalesce(k.n, 0), o.code, o.n_bytes FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.pos >= c.h
+    LEFT JOIN (SELECT conv_id, count(*) AS n FROM opening GROUP BY conv_id) k ON k.conv_id = c.conv_id
+), paths AS (
+  SELECT c.conv_id, coalesce(list(r.code ORDER BY r.pos) FILTER (r.code IS NOT NULL), []) AS codes, coalesce(list(r.n_bytes ORDER BY r.pos) FILTER (r.code IS NOT NULL), []) AS sizes
+  FROM convs c LEFT JOIN rebuilt r ON r.conv_id = c.conv_id GROUP BY c.conv_id
+), prefixes AS (
+  SELECT conv_id, d AS depth, len(codes) = d AS ended, sha256(array_to_string(codes[:d], '')) AS node, sha256(array_to_string(codes[:d - 1], '')) AS above, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS n_bytes
+  FROM (SELECT *, unnest(range(len(codes) + 1)) AS d FROM paths)
+), nodes AS (
+  SELECT depth, node, CASE WHEN depth > 0 THEN any_value(above) END AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n_bytes) AS n_bytes,
+    sha256(coalesce(string_agg(CASE WHEN ended THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM prefixes GROUP BY depth, node
+), counted AS (
+  SELECT n.*, coalesce(k.c, 0) AS n_children FROM nodes n LEFT JOIN (SELECT depth - 1 AS depth, above, count(*) AS c FROM nodes WHERE depth > 0 GROUP BY ALL) k ON k.depth = n.depth AND k.above = n.node
+), pairs AS (
+  SELECT DISTINCT x.depth, x.node, y.depth AS below_depth, y.node AS below FROM prefixes x JOIN prefixes y ON x.conv_id = y.conv_id AND x.depth <= y.depth
+), sums AS (
+  SELECT p.depth, p.node, count(*) FILTER (c.n_children = 0) AS n_leaves, sum((c.n_convs - 1) * c.n_bytes)::BIGINT AS saved_tokens
+  FROM pairs p JOIN counted c ON c.depth = p.below_depth AND c.node = p.below GROUP BY p.depth, p.node
+)
+SELECT c.conv_id, c.depth, u.conv_id AS parent_conv_id, c.n_convs, c.n_children, s.n_leaves, s.saved_tokens, c.ends_sha256
+FROM counted c JOIN sums s ON s.depth = c.depth AND s.node = c.node LEFT JOIN counted u ON u.depth = c.depth - 1 AND u.node = c.above
+"""
+
+
+@query("op12_prefix_trie", _TRIE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt with shared openings."""
+    return prefix_trie(*with_shared_openings(*numbered_turns(table(spark, sf_dir, "conversations"))))
