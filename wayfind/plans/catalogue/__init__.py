@@ -4,6 +4,7 @@ from wayfind.plans.catalogue import (  # noqa: F401  (importing registers the qu
     graph_queries,
     maintenance_queries,
     ranking_queries,
+    repository_queries,
     text_queries,
     usage_queries,
 )
