@@ -21,7 +21,7 @@ from wayfind.operators import graph as g
 from wayfind.operators import symbols as sy
 from wayfind.operators.skew import first_per_key, top_per_key
 from wayfind.sources.config import Settings
-from wayfind.sources.listing import is_ignored, relative_path, root_kind
+from wayfind.sources.listing import is_ignored, only_files, relative_path, root_kind, scanned_path
 
 DOCUMENT_COLUMNS = [
     "doc_id", "path", "title", "text", "source", "source_type", "kind", "module", "pack",
@@ -34,6 +34,8 @@ LINK = (
 )
 GRAPH_SCHEMA = f"nodes array<{NODE}>, links array<{LINK}>, edges array<{LINK}>"
 ROUTE_SCHEMA = "ui_file string, backend_controller string, backend string, route string"
+#: live source files whose lines are indexed
+SOURCE_GLOB = "*.{cs,tsx,ts,js}"
 #: separates the graph a reference belongs to from the reference itself
 _SCOPE = "\u0001"
 
@@ -92,17 +94,17 @@ def text_documents(files: DataFrame, settings: Settings) -> Loaded:
     return Loaded(docs, files_of)
 
 
-def read_graphs(spark: SparkSession, base: str, settings: Settings, glob: str = "graph.json") -> DataFrame:
+def read_graphs(spark: SparkSession, base: str, settings: Settings, glob: str = "graph.json", uris: tuple[str, ...] | None = None) -> DataFrame:
     """(path, length, nodes, links) of graph files; other JSON shapes and broken files drop out."""
     raw = (
         spark.read.schema(GRAPH_SCHEMA).option("multiLine", "true").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob).json(base)
     )
-    shaped = raw.where(F.col("nodes").isNotNull() | F.col("links").isNotNull() | F.col("edges").isNotNull())
+    shaped = only_files(raw, uris).where(F.col("nodes").isNotNull() | F.col("links").isNotNull() | F.col("edges").isNotNull())
     links = F.when(F.size("links") > 0, F.col("links")).otherwise(F.coalesce("edges", F.array().cast(f"array<{LINK}>")))
     nodes = F.coalesce("nodes", F.array().cast(f"array<{NODE}>"))
     rows = shaped.select(
-        relative_path(F.col("_metadata.file_path"), base).alias("path"), F.col("_metadata.file_size").alias("length"),
+        relative_path(scanned_path(), base).alias("path"), F.col("_metadata.file_size").alias("length"),
         nodes.alias("nodes"), links.alias("links"),
     )
     return rows.where(root_kind(F.col("path"), list(settings.roots), settings).isNotNull())
@@ -301,7 +303,9 @@ def chunk_graph_documents(tables: GraphTables, settings: Settings, stage: Callab
     return Loaded(docs, files, symbols, doc_edges)
 
 
-def route_documents(spark: SparkSession, base: str, settings: Settings, glob: str = "dependency-edges.enrichment.json") -> Loaded:
+def route_documents(
+    spark: SparkSession, base: str, settings: Settings, glob: str = "dependency-edges.enrichment.json", uris: tuple[str, ...] | None = None
+) -> Loaded:
     """Route lists (JSON arrays of screen -> backend entries): one document per list."""
     raw = (
         spark.read.schema(ROUTE_SCHEMA).option("multiLine", "true").option("recursiveFileLookup", "true")
@@ -312,8 +316,8 @@ def route_documents(spark: SparkSession, base: str, settings: Settings, glob: st
         return tx.clipped(F.trim(pt.first_non_empty(*[F.col(n) for n in names])), C.ROUTE_FIELD_CHARS)
 
     # the rows of one file come from one task in order
-    entries = raw.select(
-        relative_path(F.col("_metadata.file_path"), base).alias("path"), F.col("_metadata.file_size").alias("length"),
+    entries = only_files(raw, uris).select(
+        relative_path(scanned_path(), base).alias("path"), F.col("_metadata.file_size").alias("length"),
         F.monotonically_increasing_id().alias("pos"), field("ui_file").alias("ui"),
         field("backend_controller", "backend").alias("backend"), field("route").alias("route"),
     ).where(root_kind(F.col("path"), list(settings.roots), settings).isNotNull())
@@ -341,12 +345,10 @@ def route_documents(spark: SparkSession, base: str, settings: Settings, glob: st
     return Loaded(docs, files)
 
 
-def source_lines(spark: SparkSession, base: str, settings: Settings) -> DataFrame:
+def source_lines(spark: SparkSession, base: str, settings: Settings, uris: tuple[str, ...] | None = None) -> DataFrame:
     """(path, line_no, text) of the live source files below a folder."""
-    raw = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{cs,tsx,ts,js}")
-        .load(base).where(F.col("length") <= settings.max_text_bytes)
-    )
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", SOURCE_GLOB).load(base)
+    raw = only_files(found, uris).where(F.col("length") <= settings.max_text_bytes)
     path = relative_path(F.col("path"), base)
     texts = raw.select(path.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")).where(~is_ignored(F.col("path"), settings))
     return texts.select("path", F.posexplode_outer(tx.lines_of(F.col("text"))).alias("i", "text")).select(

@@ -53,10 +53,14 @@ def related_from_edges(doc_edges: DataFrame) -> DataFrame:
 
 
 def build_index(
-    spark: SparkSession, base: str, folder: str, settings: Settings | None = None, source_base: str | None = None, with_vectors: bool = True
+    spark: SparkSession, base: str, folder: str, settings: Settings | None = None, source_base: str | None = None, with_vectors: bool = True,
+    uris: tuple[str, ...] | None = None, source_uris: tuple[str, ...] | None = None,
 ) -> SearchIndex:
     """Builds and writes all tables of an index from a folder of packs, docs and live sources.
 
+    With ``uris`` and ``source_uris`` only the documents of these files and the lines of these sources are built; ``listing`` and
+    ``meta`` always describe all files.
+
     Every table is written once and the tables after it are derived from what was
     written, so nothing is parsed or resolved twice and a lost executor repeats
     one table, not the whole build.
@@ -68,13 +72,13 @@ def build_index(
         return spark.read.parquet(f"{folder}/{name}")
 
     listing = stage("listing", list_files(spark, base, settings))
-    texts = list_files(spark, base, settings, glob="*.{md,txt,json}", with_text=True)
+    texts = list_files(spark, base, settings, glob="*.{md,txt,json}", with_text=True, uris=uris)
     is_graph = F.col("path").rlike(r"(^|/)graph\.json$") | F.col("path").endswith(".enrichment.json")
-    graphs = docs.read_graphs(spark, base, settings).unionByName(docs.read_graphs(spark, base, settings, "*.enrichment.json"))
+    graphs = docs.read_graphs(spark, base, settings, uris=uris).unionByName(docs.read_graphs(spark, base, settings, "*.enrichment.json", uris))
     tables = docs.graph_tables(graphs, settings, stage)
     loaded = [
         docs.text_documents(texts.where(~is_graph), settings),
-        docs.route_documents(spark, base, settings),
+        docs.route_documents(spark, base, settings, uris=uris),
         docs.graph_documents(tables, settings),
         docs.chunk_graph_documents(tables, settings, stage),
     ]
@@ -97,7 +101,7 @@ def build_index(
     # range-partitioned and sorted by term: a query skips all row groups but those of its terms
     terms = build_doc_terms(documents, doc_files)
     stage("doc_terms", terms.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
-    stage("source_lines", docs.source_lines(spark, source_base or base, settings))
+    stage("source_lines", docs.source_lines(spark, source_base or base, settings, source_uris))
     chunks = chunk_documents(documents, "doc_id", "text")
     if with_vectors:
         texts_of = stage("chunk_texts", chunks)

@@ -46,17 +46,27 @@ def is_included(path: Column, kind: str, settings: Settings) -> Column:
     return wanted & ~is_ignored(path, settings)
 
 
+def scanned_path() -> Column:
+    """The path of the file a row comes from, as the listing names it (a scan reports it with escaped characters)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def relative_path(url: Column, base: str) -> Column:
     """Path below ``base``, whatever the scheme of the file system."""
     plain = re.sub(r"^[A-Za-z0-9]+:/+", "/", base).rstrip("/")
     return F.substr(F.regexp_replace(url, "^[A-Za-z0-9]+:/+", "/"), F.lit(len(plain) + 2))
 
 
+def only_files(raw: DataFrame, uris: tuple[str, ...] | None) -> DataFrame:
+    """The rows of some files of a reader; Spark prunes the others before it opens them.  None means all files."""
+    return raw if uris is None else raw.where(F.col("_metadata.file_path").isin(*uris)) if uris else raw.where(F.lit(False))
+
+
 def list_files(
     spark: SparkSession, base: str, settings: Settings, roots: list[dict] | None = None,
-    glob: str | None = None, with_text: bool = False,
+    glob: str | None = None, with_text: bool = False, uris: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """(path, url, kind, length, modified[, text]): indexable files, one row per path.
+    """(path, url, uri, kind, length, modified[, text]): indexable files, one row per path.
 
     Without ``with_text`` the content column is not selected, so the scan only lists.
     ``glob`` limits the listing by file name.  A file under two roots appears once,
@@ -65,10 +75,10 @@ def list_files(
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(base)
+    files = only_files(reader.load(base), uris)
     chosen = roots if roots is not None else list(settings.roots)
     path = relative_path(F.col("path"), base)
-    columns = [path.alias("path"), F.col("path").alias("url"), "length", F.col("modificationTime").alias("modified")]
+    columns = [path.alias("path"), F.col("path").alias("url"), F.col("_metadata.file_path").alias("uri"), "length", F.col("modificationTime").alias("modified")]
     if with_text:
         # the length filter is pushed into the scan: larger files are never read
         files = files.where(F.col("length") <= settings.max_text_bytes)
