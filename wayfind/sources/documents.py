@@ -21,6 +21,7 @@ from wayfind.operators import graph as g
 from wayfind.operators import symbols as sy
 from wayfind.operators.skew import first_per_key, top_per_key
 from wayfind.sources.config import Settings
+from wayfind.sources.graph_items import graph_items
 from wayfind.sources.listing import is_ignored, only_files, relative_path, root_kind, scanned_path
 
 DOCUMENT_COLUMNS = [
@@ -32,7 +33,7 @@ LINK = (
     "struct<source:string,target:string,`from`:string,`to`:string,relation:string,label:string,"
     "confidence:string,source_file:string,source_location:string>"
 )
-GRAPH_SCHEMA = f"nodes array<{NODE}>, links array<{LINK}>, edges array<{LINK}>"
+GRAPH_GLOB = "{graph.json,*.enrichment.json}"
 ROUTE_SCHEMA = "ui_file string, backend_controller string, backend string, route string"
 #: live source files whose lines are indexed
 SOURCE_GLOB = "*.{cs,tsx,ts,js}"
@@ -94,25 +95,20 @@ def text_documents(files: DataFrame, settings: Settings) -> Loaded:
     return Loaded(docs, files_of)
 
 
-def read_graphs(spark: SparkSession, base: str, settings: Settings, glob: str = "graph.json", uris: tuple[str, ...] | None = None) -> DataFrame:
-    """(path, length, nodes, links) of graph files; other JSON shapes and broken files drop out."""
-    raw = (
-        spark.read.schema(GRAPH_SCHEMA).option("multiLine", "true").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob).json(base)
-    )
-    shaped = only_files(raw, uris).where(F.col("nodes").isNotNull() | F.col("links").isNotNull() | F.col("edges").isNotNull())
-    links = F.when(F.size("links") > 0, F.col("links")).otherwise(F.coalesce("edges", F.array().cast(f"array<{LINK}>")))
-    nodes = F.coalesce("nodes", F.array().cast(f"array<{NODE}>"))
-    rows = shaped.select(
-        relative_path(scanned_path(), base).alias("path"), F.col("_metadata.file_size").alias("length"),
-        nodes.alias("nodes"), links.alias("links"),
-    )
-    return rows.where(root_kind(F.col("path"), list(settings.roots), settings).isNotNull())
+def read_graphs(
+    spark: SparkSession, base: str, settings: Settings, stage: Callable[[str, DataFrame], DataFrame], glob: str = GRAPH_GLOB,
+    uris: tuple[str, ...] | None = None,
+) -> DataFrame:
+    """(path, length, array, pos, item) of graph files, each read by as many tasks as it is long; other JSON shapes and broken
+    files drop out.  Edges come from ``links``; ``edges`` counts in files without any."""
+    rows = graph_items(spark, base, glob, stage, uris=uris).where(root_kind(F.col("path"), list(settings.roots), settings).isNotNull())
+    kinds = rows.where(F.col("array") == "links").select("path").distinct().withColumn("_linked", F.lit(True))
+    return rows.join(kinds, "path", "left").where((F.col("array") != "edges") | F.col("_linked").isNull()).drop("_linked")
 
 
 def graph_nodes(graphs: DataFrame, settings: Settings) -> DataFrame:
     """(graph, pos, node_id, label, source_file, raw_file, source_location)."""
-    rows = graphs.select(F.col("path").alias("graph"), F.posexplode("nodes").alias("pos", "n")).where(F.col("n").isNotNull())
+    rows = graphs.where(F.col("array") == "nodes").select(F.col("path").alias("graph"), "pos", F.from_json("item", NODE).alias("n"))
     raw = F.translate(pt.first_non_empty(F.col("n.source_file"), F.col("n.file")), "\\", "/")
     return rows.select(
         "graph", "pos", F.coalesce(F.trim("n.id"), F.lit("")).alias("node_id"),
@@ -124,7 +120,7 @@ def graph_nodes(graphs: DataFrame, settings: Settings) -> DataFrame:
 
 def graph_edges(graphs: DataFrame, settings: Settings) -> DataFrame:
     """(graph, pos, source_ref, target_ref, relation, confidence, source_file, source_location)."""
-    rows = graphs.select(F.col("path").alias("graph"), F.posexplode("links").alias("pos", "e")).where(F.col("e").isNotNull())
+    rows = graphs.where(F.col("array") != "nodes").select(F.col("path").alias("graph"), "pos", F.from_json("item", LINK).alias("e"))
     return rows.select(
         "graph", "pos",
         F.trim(pt.first_non_empty(F.col("e.source"), F.col("e.from"))).alias("source_ref"),
@@ -182,7 +178,8 @@ class GraphTables:
 
 def graph_tables(graphs: DataFrame, settings: Settings, stage: Callable[[str, DataFrame], DataFrame]) -> GraphTables:
     """``stage`` writes a table and reads it back, so that parsing and resolution run once."""
-    heads = stage("graphs", graphs.select("path", "length", F.size("nodes").alias("node_count"), F.size("links").alias("edge_count")))
+    is_node = (F.col("array") == "nodes").cast("int")
+    heads = stage("graphs", graphs.groupBy("path", "length").agg(F.sum(is_node).cast("int").alias("node_count"), F.sum(1 - is_node).cast("int").alias("edge_count")))
     nodes = stage("graph_nodes", graph_nodes(graphs, settings))
     edges = stage("graph_edges", graph_edges(graphs, settings))
     return GraphTables(heads, nodes, edges, stage("graph_hints", resolved_hints(nodes, edges, settings)))

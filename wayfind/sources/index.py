@@ -74,7 +74,7 @@ def build_index(
     listing = stage("listing", list_files(spark, base, settings))
     texts = list_files(spark, base, settings, glob="*.{md,txt,json}", with_text=True, uris=uris)
     is_graph = F.col("path").rlike(r"(^|/)graph\.json$") | F.col("path").endswith(".enrichment.json")
-    graphs = docs.read_graphs(spark, base, settings, uris=uris).unionByName(docs.read_graphs(spark, base, settings, "*.enrichment.json", uris))
+    graphs = docs.read_graphs(spark, base, settings, stage, uris=uris)
     tables = docs.graph_tables(graphs, settings, stage)
     loaded = [
         docs.text_documents(texts.where(~is_graph), settings),
