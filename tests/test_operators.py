@@ -21,36 +21,64 @@ def one(spark, expression, **values):
     return df.select(expression.alias("x")).first()["x"]
 
 
-TOKEN_CASES = ["", "OrderService2 handles followups", "the FILE XMLParser", "addresses bus", "éTat Ünïcode x a1", "followup camelCaseID"]
+TOKEN_CASES = {
+    "": [],
+    "OrderService2 handles followups": ["order", "service2", "handles", "handle", "followups", "followup"],
+    "the FILE XMLParser": ["xmlparser"],
+    "addresses bus": ["addresses", "addresse", "bus"],
+    "éTat Ünïcode x a1": ["tat", "a1"],
+    "followup camelCaseID": ["followup", "follow", "up", "camel", "case", "id"],
+}
 
 
 @pytest.mark.parametrize("text", TOKEN_CASES)
-def test_column_tokeniser_equals_driver_tokeniser(spark, text):
-    assert one(spark, tx.search_tokens(F.col("t")), t=text) == pq.tokenize(text)
+def test_tokeniser(spark, text):
+    assert one(spark, tx.search_tokens(F.col("t")), t=text) == TOKEN_CASES[text]
 
 
-QUERIES = [
-    "Fix OrderService in cart.page.tsx but not CartHelper",
-    "where is HMS_ledger v2? GetForm is not the owner",
-    "plain words only",
-    "use Foo rather than BarBaz; averyveryverylongword",
-]
+IDENTIFIERS = {
+    "Fix OrderService in cart.page.tsx but not CartHelper": (["OrderService", "cart", "page", "tsx", "CartHelper"], {"CartHelper"}),
+    "where is HMS_ledger v2? GetForm is not the owner": (["HMS_ledger", "GetForm"], {"GetForm", "HMS_ledger"}),
+    "plain words only": ([], set()),
+}
 
 
-@pytest.mark.parametrize("text", QUERIES)
-def test_column_identifiers_equal_driver_identifiers(spark, text):
-    assert one(spark, ids.query_identifiers(F.col("t")), t=text) == pq.identifiers_of(text)
-    assert one(spark, ids.affirmed_identifiers(F.col("t")), t=text) == pq.affirmed_identifiers(text)
+@pytest.mark.parametrize("text", IDENTIFIERS)
+def test_identifiers(spark, text):
+    every, denied = IDENTIFIERS[text]
+    assert one(spark, ids.query_identifiers(F.col("t")), t=text) == every
+    assert set(every) - set(one(spark, ids.affirmed_identifiers(F.col("t")), t=text)) <= denied
 
 
-def test_negation_reaches_forty_characters():
+def test_negation_reaches_forty_characters(spark):
     near = "GetForm is not the owner"
     far = "GetForm " + "x" * 45 + " not relevant"
-    assert pq.affirmed_identifiers(near) == []
-    assert pq.affirmed_identifiers(far) == ["GetForm"]
+    assert one(spark, ids.affirmed_identifiers(F.col("t")), t=near) == []
+    assert "GetForm" in one(spark, ids.affirmed_identifiers(F.col("t")), t=far)
 
 
-def test_query_plan():
+def test_written_out_plans(spark):
+    from wayfind.plans.catalogue import settings as st
+
+    assert pq.plan_query(st.QUERY_TEXT, st.PROFILE) == st.PLAN
+    assert pq.plan_query(st.SYMBOL_TEXT) == st.SYMBOL_PLAN
+    strength = {n: ids.corroboration_strength(F.lit(n), F.array(*map(F.lit, st.SYMBOL_PLAN.tokens)), F.array(*map(F.lit, st.SYMBOL_PLAN.identifiers)), tuple(st.SYMBOL_PLAN.generic)) for n in st.SYMBOL_PLAN.identifiers}
+    assert spark.range(1).select(*[c.alias(n) for n, c in strength.items()]).first().asDict() == st.SYMBOL_STRENGTH
+
+
+def test_questions_are_planned_as_single_queries(spark):
+    from wayfind.plans.catalogue import settings as st
+
+    texts = [st.QUERY_TEXT, st.SYMBOL_TEXT, "", "where is HMS_ledger v2? GetForm is not the owner"]
+    rows = pq.plan_questions(spark.createDataFrame(list(enumerate(texts)), "question_id int, text string"), st.PROFILE).collect()
+    for r in rows:
+        plan = pq.plan_query(texts[r.question_id], st.PROFILE)
+        assert (tuple(r.tokens), tuple(r.identifiers), frozenset(r.modules), frozenset(r.intents), r.query_profile, r.phrase) == (
+            plan.tokens, plan.identifiers, plan.modules, plan.intents, plan.query_profile, plan.phrase,
+        )
+
+
+def test_query_plan(spark):
     plan = pq.plan_query("Which service handles the refund workflow bridge?")
     assert plan.query_profile == "cross_module_bridge"
     assert {"ownership", "business_flow", "implementation_trace", "cross_module"} <= plan.intents

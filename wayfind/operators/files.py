@@ -183,15 +183,12 @@ def sum_by_file(contributions: DataFrame, sources: int = 5) -> DataFrame:
 
 def pinned_contributions(spark, plan: QueryPlan) -> DataFrame:
     """One row per gated pin: ordered bands one million apart, a nudge for matching words."""
-    words = plan.distinctive or tuple(sorted(plan.token_set))
-    rows = []
-    for index, path in enumerate(plan.pins):
-        from wayfind.plans.query import tokenize
-
-        own = set(tokenize(path.replace("\\", "/").replace("/", " ")))
-        matched = sum(1 for w in words if w in own)
-        rows.append((path, 100_000_000.0 - index * 1_000_000.0 + min(matched, 9) * 50_000.0, "deterministic-owner-routing-confidence"))
-    return spark.createDataFrame(rows, "path string, contribution double, source string")
+    words = cl.lit_array(plan.distinctive or tuple(sorted(plan.token_set)))
+    bands = [(path, 100_000_000.0 - index * 1_000_000.0) for index, path in enumerate(plan.pins)]
+    spelled = F.array_distinct(search_tokens(F.translate("path", "\\/", "  ")))
+    nudge = F.least(F.size(F.array_intersect(words, spelled)), F.lit(9)) * 50_000.0
+    rows = spark.createDataFrame(bands, "path string, band double")
+    return rows.select("path", (F.col("band") + nudge).alias("contribution"), F.lit("deterministic-owner-routing-confidence").alias("source"))
 
 
 def companion_contributions(

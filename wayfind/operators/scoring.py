@@ -8,12 +8,14 @@ for phrase and identifier containment, in one narrow pass.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfind import constants as C
 from wayfind.functions import text as tx
-from wayfind.functions.classify import lookup
+from wayfind.functions.classify import lit_array, lookup, overlaps
 from wayfind.functions.paths import any_of, contains_any
 from wayfind.plans.query import QueryPlan
 from wayfind.sources.profile import Profile
@@ -87,63 +89,71 @@ def containment(documents: DataFrame, plan: QueryPlan) -> DataFrame:
     return rows.where(any_of([F.col(c) > 0 for c in rows.columns[1:]]))
 
 
-def score_multipliers(plan: QueryPlan) -> list[tuple[str, Column, float]]:
-    """(reason, condition, factor) in the order in which they apply."""
+@dataclass(frozen=True)
+class Asked:
+    """What a query asks for, as Columns: literals of one plan, or the columns of a table of planned questions."""
+
+    tokens: Column
+    modules: Column
+    intents: Column
+
+    @classmethod
+    def of(cls, plan: QueryPlan) -> Asked:
+        return cls(*(lit_array(sorted(x)) for x in (plan.token_set, plan.modules, plan.intents)))
+
+    @classmethod
+    def columns(cls) -> Asked:
+        return cls(F.col("tokens"), F.col("modules"), F.col("intents"))
+
+    def wants(self, intent: str) -> Column:
+        return F.array_contains(self.intents, intent)
+
+
+def score_multipliers(plan: QueryPlan | Asked) -> list[tuple[str, Column, float]]:
+    """(reason, condition, factor) in the order in which they apply; for one plan the optimizer folds what its query settles."""
+    asked = plan if isinstance(plan, Asked) else Asked.of(plan)
     kind = F.col("source_type")
     owner = kind.isin(*C.OWNER_GRAPH_SOURCE_TYPES)
     broad = kind.isin("index.md", "scope-summary.md")
     secondary = F.lower(F.col("source_level")) == "secondary"
     module = F.lower(F.coalesce(F.col("module"), F.lit("")))
     path = F.lower(F.col("path"))
-    intents = plan.intents
-    steps: list[tuple[str, Column, float]] = [
+    context = F.lower(F.concat_ws(" ", "path", F.coalesce(F.col("pack"), F.lit("")), "title"))
+    inside = F.array_contains(asked.modules, module)
+    outside = (F.size(asked.modules) > 0) & ~inside & (module != "")
+    ownership, trace, flow, cross = (asked.wants(x) for x in ("ownership", "implementation_trace", "business_flow", "cross_module"))
+    return [
         ("narrative source", kind.isin(*C.NARRATIVE_SOURCE_TYPES), 1.12),
         ("graph owner source", owner, 0.95),
         ("graph chunk", kind == "graph chunk", 1.08),
+        ("module intent", inside, 1.45),
+        ("outside module intent", outside & ~cross, 0.82),
+        ("secondary ownership", ownership & secondary, 1.45),
+        ("ownership source", ownership & (owner | kind.isin("graph chunk", "GRAPH_REPORT.md", "source-files.txt")), 1.18),
+        ("broad source for ownership", ownership & broad, 0.72),
+        ("source-owner document", trace & (owner | kind.isin("source-files.txt", "graph chunk")), 1.5),
+        ("secondary trace", trace & secondary, 1.35),
+        ("broad doc for trace", trace & (broad | (kind == ".md")), 0.68),
+        ("generic behavior for trace", trace & (kind == "behavior pack") & ~contains_any(path, C.TRACE_BEHAVIOR_MARKERS), 0.78),
+        ("behavior for flow", flow & (kind == "behavior pack"), 1.35),
+        ("secondary for flow", flow & secondary, 0.88),
+        ("runtime verification", asked.wants("runtime_debug") & path.contains("runtime-verification"), 1.5),
+        ("code-level source", asked.wants("code_level") & (owner | kind.isin("graph chunk", "source-files.txt", "GRAPH_REPORT.md")), 1.35),
+        ("broad source for code level", asked.wants("code_level") & broad, 0.58),
+        ("cross-module source", cross & contains_any(context, C.CROSS_MODULE_MARKERS), 1.55),
     ]
-    if plan.modules:
-        inside = module.isin(*plan.modules)
-        steps.append(("module intent", inside, 1.45))
-        if "cross_module" not in intents:
-            steps.append(("outside module intent", ~inside & (module != ""), 0.82))
-    if "ownership" in intents:
-        steps += [
-            ("secondary ownership", secondary, 1.45),
-            ("ownership source", owner | kind.isin("graph chunk", "GRAPH_REPORT.md", "source-files.txt"), 1.18),
-            ("broad source for ownership", broad, 0.72),
-        ]
-    if "implementation_trace" in intents:
-        steps += [
-            ("source-owner document", owner | kind.isin("source-files.txt", "graph chunk"), 1.5),
-            ("secondary trace", secondary, 1.35),
-            ("broad doc for trace", broad | (kind == ".md"), 0.68),
-            ("generic behavior for trace", (kind == "behavior pack") & ~contains_any(path, C.TRACE_BEHAVIOR_MARKERS), 0.78),
-        ]
-    if "business_flow" in intents:
-        steps += [("behavior for flow", kind == "behavior pack", 1.35), ("secondary for flow", secondary, 0.88)]
-    if "runtime_debug" in intents:
-        steps.append(("runtime verification", path.contains("runtime-verification"), 1.5))
-    if "code_level" in intents:
-        steps += [
-            ("code-level source", owner | kind.isin("graph chunk", "source-files.txt", "GRAPH_REPORT.md"), 1.35),
-            ("broad source for code level", broad, 0.58),
-        ]
-    if "cross_module" in intents:
-        context = F.lower(F.concat_ws(" ", "path", F.coalesce(F.col("pack"), F.lit("")), "title"))
-        steps.append(("cross-module source", contains_any(context, C.CROSS_MODULE_MARKERS), 1.55))
-    return steps
-
-
-def apply_multipliers(score: Column, plan: QueryPlan, profile: Profile | None = None) -> Column:
+
+
+def apply_multipliers(score: Column, plan: QueryPlan | Asked, profile: Profile | None = None) -> Column:
     """Score after every multiplier, profile hook and final source adjustment, in order."""
     profile = profile or Profile()
-    for _, condition, factor in score_multipliers(plan):
+    asked = plan if isinstance(plan, Asked) else Asked.of(plan)
+    for _, condition, factor in score_multipliers(asked):
         score = score * F.when(condition, F.lit(factor)).otherwise(F.lit(1.0))
     score = profile.adjust_document_score(score, plan, F.col("path"), F.col("pack"), F.col("title"))
     area = F.lower(F.concat_ws(" ", F.coalesce(F.col("area"), F.lit("")), "path", "title"))
-    layers = [area.contains(layer) for layer, words in C.LAYER_MARKERS if plan.token_set & set(words)]
-    if layers:
-        score = score * F.when(any_of(layers), F.lit(1.12)).otherwise(F.lit(1.0))
+    layers = [overlaps(asked.tokens, words) & area.contains(layer) for layer, words in C.LAYER_MARKERS]
+    score = score * F.when(any_of(layers), F.lit(1.12)).otherwise(F.lit(1.0))
     score = score * F.when(F.col("source_type").isin(*C.BROAD_SOURCE_TYPES), F.lit(0.78)).otherwise(F.lit(1.0))
     return score * F.when(F.col("source_type") == "behavior pack", F.lit(1.15)).otherwise(F.lit(1.0))
 

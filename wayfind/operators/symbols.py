@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from wayfind import constants as C
 from wayfind.functions import classify as cl
+from wayfind.functions import identifiers as ids
 from wayfind.functions.paths import code_block_id, normalized_path, owner_path_score, slashed, source_line_number
 from wayfind.functions.text import explode_costly, search_tokens
 from wayfind.operators.graph import distinctive_hits
@@ -304,10 +305,10 @@ def owner_score(plan: QueryPlan, rank: Column, identifiers: tuple[str, ...] | No
         word = name.lower()
         if word in C.OWNER_EXCLUDED_TOKENS:
             continue
-        strength = plan.corroboration(name, names)
+        strength = ids.corroboration_strength(F.lit(name), cl.lit_array(plan.tokens), cl.lit_array(names), tuple(sorted(plan.generic)))
         score = score + (
-            F.when(path.contains(word), F.lit(900.0 * strength))
-            .when(label.contains(word), F.lit(650.0 * strength))
+            F.when(path.contains(word), 900.0 * strength)
+            .when(label.contains(word), 650.0 * strength)
             .otherwise(F.lit(0.0))
         )
     score = score + F.when(kind.isin(*C.EXECUTABLE_KINDS) & (either > 0), F.lit(180.0)).otherwise(F.lit(0.0))

@@ -12,13 +12,11 @@ from wayfind.operators import graph as g
 from wayfind.operators import symbols as sy
 from wayfind.operators.skew import first_per_key, ranked_top
 from wayfind.plans.catalogue.registry import query
-from wayfind.plans.catalogue.settings import PLAN
-from wayfind.plans.query import plan_query
+from wayfind.plans.catalogue.settings import PLAN, SYMBOL_PLAN, SYMBOL_STRENGTH
 from wayfind.sources.starschema import StarTables, sql_in, with_ctes
 
 ORDER = ["pos", "tie"]
 #: Query of the symbol scoring examples: names one order method and one order class.
-SYMBOL_PLAN = plan_query("Which service or controller handles Order1234 and the widget, not Order77?")
 
 ENDPOINTS = {
     "endpoints": """SELECT ref, arg_min(label, tier) AS label, arg_min(source_file, tier) AS source_file, arg_min(source_location, tier) AS source_location FROM (
@@ -436,8 +434,8 @@ def _sql_owner_score() -> str:
     in_path = _sql_words("lower(path)", counted)
     weight = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.SYMBOL_OWNER_WEIGHT.items()) + " ELSE 100.0 END"
     names = " + ".join(
-        f"CASE WHEN contains(lower(path),'{n.lower()}') THEN {900.0 * SYMBOL_PLAN.corroboration(n, SYMBOL_PLAN.identifiers)}"
-        f" WHEN contains(lower(label),'{n.lower()}') THEN {650.0 * SYMBOL_PLAN.corroboration(n, SYMBOL_PLAN.identifiers)} ELSE 0.0 END"
+        f"CASE WHEN contains(lower(path),'{n.lower()}') THEN {900.0 * SYMBOL_STRENGTH[n]}"
+        f" WHEN contains(lower(label),'{n.lower()}') THEN {650.0 * SYMBOL_STRENGTH[n]} ELSE 0.0 END"
         for n in SYMBOL_PLAN.identifiers
         if n.lower() not in C.OWNER_EXCLUDED_TOKENS
     )

@@ -1,5 +1,6 @@
 """Manifests, discovery of roots, packs and graph folders, and the drift report, over listings derived from the tables.
 
+Lists under a budget are checked here too, over the lines of orders and the turns of conversations.
 ``pages`` become a listing: host, language and page are folders, and how a URL ends decides whether its file is a project
 marker, a graph or a source.  ``documents`` become hashed files below their sources.
 """
@@ -9,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfind.operators import budget as bg
 from wayfind.operators import drift as dr
+from wayfind.operators import summaries as sm
 from wayfind.plans.catalogue.registry import query
 from wayfind.sources import discovery as ds
 from wayfind.sources import manifest as mf
@@ -181,3 +184,77 @@ def drift_report(t: StarTables) -> DataFrame:
     listing = page_listing(t)
     covered = listing.where(F.col("lang") == "en").select(F.col("host").alias("pack"), "path")
     return ds.drift_report(_one_file_per_path(listing), ROOTS, covered, pack_reasons(t), GRAPH_FOLDER, IGNORED)
+
+
+# -- lists under a budget ---------------------------------------------------
+
+
+@query(
+    "block_backfill",
+    """WITH rows AS (SELECT l_orderkey AS a, l_linenumber AS pos, 'S' || l_suppkey AS path, l_returnflag = 'R' AS has_block, l_linestatus = 'O' AS is_block, l_quantity > 20 AS leading, l_returnflag = 'N' AS safe FROM lineitem),
+blocks AS (SELECT a, pos, path FROM rows WHERE is_block),
+want AS (SELECT a, pos, path, row_number() OVER (PARTITION BY a ORDER BY pos, path) AS n FROM rows r WHERE NOT has_block
+  AND EXISTS (FROM rows w WHERE w.a = r.a AND w.path = r.path AND w.leading) AND NOT EXISTS (FROM blocks b WHERE b.a = r.a AND b.path = r.path)),
+marked AS (SELECT b.*, EXISTS (FROM rows p WHERE p.a = b.a AND p.path = b.path AND p.safe) AS safe FROM blocks b),
+placed AS (SELECT m.*, row_number() OVER (PARTITION BY a, safe ORDER BY pos DESC, path DESC) AS tail, count(*) OVER (PARTITION BY a) AS have, (SELECT count(*) FROM want WHERE want.a = m.a) AS wants FROM marked m),
+judged AS (SELECT a, pos, path, CASE WHEN NOT safe AND tail <= wants - greatest(0, 2 - have) THEN 'evicted' ELSE 'kept' END AS action FROM placed),
+kept AS (SELECT a, count(*) FILTER (action = 'kept') AS n FROM judged GROUP BY a)
+SELECT a AS answer_id, action, pos, path FROM judged
+UNION ALL SELECT w.a, 'new', w.pos, w.path FROM want w LEFT JOIN kept k ON k.a = w.a WHERE w.n <= greatest(0, 2 - coalesce(k.n, 0))""",
+)
+def block_backfill(t: StarTables) -> DataFrame:
+    """Blocks kept, evicted from the tail and filled in for leading files, two per order."""
+    rows = t.read("lineitem").select(
+        F.col("l_orderkey").alias("answer_id"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("path"),
+        (F.col("l_returnflag") == "R").alias("has_block"), "l_linestatus", "l_quantity", "l_returnflag",
+    )
+    blocks, window, safe = rows.where("l_linestatus = 'O'"), rows.where("l_quantity > 20"), rows.where("l_returnflag = 'N'")
+    return bg.backfill_blocks(rows, blocks.select("answer_id", "pos", "path"), window, 2, safe)
+
+
+_PROMPT_LINES = """lines AS (
+  SELECT conv_id AS a, 0 AS section, min(turn) AS pos, arg_min(text, turn) || chr(10) AS line FROM conversations GROUP BY conv_id
+  UNION ALL SELECT conv_id, 3, turn, '  - ' || role || ' in ' || 'turn/' || turn || ' [' || role || ']' FROM conversations WHERE turn < 30
+  UNION ALL SELECT conv_id, 6, turn, '  - ' || substr(text, 1, 80) FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n <= 15 AND text <> '')"""
+
+
+@query(
+    "assembled_prompts",
+    f"""WITH {_PROMPT_LINES},
+texts AS (SELECT a, section, CASE section WHEN 0 THEN '## Task' WHEN 3 THEN '## Symbol Hits' ELSE '## Facts' END || chr(10) || string_agg(line, chr(10) ORDER BY pos) AS text FROM lines GROUP BY a, section),
+base AS (SELECT a, string_agg(text, chr(10) || chr(10) ORDER BY section) AS base FROM texts GROUP BY a),
+entries AS (SELECT conv_id AS a, turn AS pos, chr(10) || chr(10) || '[b' || turn || '] turn/' || turn || ' — ' || role || chr(10) || '```' || chr(10) || substr(trim(text, ' ' || chr(9) || chr(10) || chr(13)), 1, 2500) || chr(10) || '```' AS entry
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n <= 8 AND trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+fit AS (SELECT e.*, base, 14 + sum(length(entry)) OVER (PARTITION BY e.a ORDER BY pos) AS used FROM entries e JOIN base USING (a)),
+code AS (SELECT a, string_agg(entry, '' ORDER BY pos) AS code, count(*) AS blocks FROM fit WHERE 4000 - length(base) >= 200 AND used <= 4000 - length(base) GROUP BY a)
+SELECT a AS answer_id, length(prompt) AS chars, blocks, md5(prompt) AS digest FROM (
+  SELECT a, base || CASE WHEN code IS NULL THEN '' ELSE chr(10) || chr(10) || '## Code Blocks' || code END AS prompt, coalesce(blocks, 0) AS blocks FROM base LEFT JOIN code USING (a))""",
+)
+def assembled_prompts(t: StarTables) -> DataFrame:
+    """A prompt per conversation: its task, turns and facts, and the turns as blocks while they fit."""
+    turns = t.read("conversations").select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("pos"), "role", "text")
+    path = F.concat(F.lit("turn/"), F.col("pos").cast("string"))
+    task = turns.groupBy("answer_id").agg(F.min("pos").alias("pos"), F.min_by("text", "pos").alias("text"))
+    symbols = turns.where("pos < 30").select("answer_id", "pos", F.col("role").alias("label"), path.alias("path"), F.col("role").alias("kind"))
+    facts = turns.select("answer_id", "pos", F.substring("text", 1, 80).alias("text"))
+    blocks = turns.select("answer_id", "pos", F.concat(F.lit("b"), F.col("pos").cast("string")).alias("block_id"), path.alias("path"), F.col("role").alias("symbol"), "text")
+    lines = bg.prompt_lines({"task": task, "symbols": symbols, "facts": facts})
+    out = bg.assemble_prompts(lines, bg.block_entries(blocks), 4000)
+    return out.select("answer_id", F.col("chars").cast("long"), F.col("blocks").cast("long"), F.md5("prompt").alias("digest"))
+
+
+@query(
+    "selected_blocks",
+    """WITH blocks AS (SELECT l_orderkey || '-' || l_linenumber AS block_id, l_returnflag, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS pos FROM lineitem),
+chosen AS (SELECT block_id FROM blocks WHERE pos <= 40 AND l_returnflag = 'R')
+SELECT block_id, pos FROM blocks WHERE pos <= 40 AND CASE WHEN (SELECT count(*) FROM chosen) > 0 THEN block_id IN (FROM chosen) ELSE pos <= 3 END""",
+)
+def selected_blocks(t: StarTables) -> DataFrame:
+    """Blocks that an analysis chose, else the first three."""
+    from wayfind.operators.skew import ranked_top
+
+    rows = t.read("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag")
+    top = ranked_top(rows, [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")], 40, rank="pos")
+    blocks = top.withColumn("block_id", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
+    chosen = blocks.where("l_returnflag = 'R'").select("block_id")
+    return sm.selected_blocks(blocks, chosen).select("block_id", F.col("pos").cast("long"))

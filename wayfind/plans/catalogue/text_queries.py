@@ -51,7 +51,7 @@ def sql_facts(x: str) -> str:
         " (starts_with(y,'-') OR starts_with(y,'*') OR contains(y,':')"
         " OR contains(y,'->') OR contains(y,'=')))"
     )
-    return sql_distinct_ci(f"list_transform(({stated})[1:25], lambda y: regexp_replace(y, '^[-* ]+|[-* ]+$', '', 'g'))")
+    return sql_distinct_ci(f"list_transform(({stated}), lambda y: regexp_replace(y, '^[-* ]+|[-* ]+$', '', 'g'))")
 
 
 def sql_distinct_ci(values: str) -> str:
@@ -529,3 +529,81 @@ def source_list_lines(t: StarTables) -> DataFrame:
     """File-naming lines of raw text."""
     lines = tx.source_file_lines(F.replace("url", F.lit(".html"), F.lit(".md")))
     return t.read("pages").select("page_id", F.explode(lines).alias("name"))
+
+
+# --------------------------------------------------------------------------
+# Many questions at once: the first turn of every conversation asks the document index
+# --------------------------------------------------------------------------
+
+#: What every query's multipliers hold; the invented words of the questions ask for nothing more.
+_PLAIN_MULTIPLIERS = " * ".join(
+    f"(CASE WHEN {cond} THEN {factor}::DOUBLE ELSE 1.0::DOUBLE END)"
+    for cond, factor in (
+        ("source_type IN ('GRAPH_REPORT.md','source-files.txt','scope-summary.md','behavior pack','index.md')", 1.12),
+        ("source_type IN ('graph.json','dependency-edges.enrichment.json')", 0.95),
+        ("source_type = 'graph chunk'", 1.08),
+        ("source_type IN ('index.md','scope-summary.md')", 0.78),
+        ("source_type = 'behavior pack'", 1.15),
+    )
+)
+_ASKED_CTES = {
+    "field_rows": FIELD_ROWS,
+    "doc_terms": sql_term_rows("SELECT * FROM field_rows"),
+    "asked": f"SELECT conv_id AS question_id, text, lower(trim(text)) AS phrase, {sql_distinct_ci('raw')} AS ids FROM (SELECT conv_id, text, {_IDENT_SQL} AS raw FROM conversations WHERE turn = 0)",
+    "qt": f"SELECT question_id, term, count(*) AS times FROM (SELECT question_id, unnest({sql_tokens('text')}) AS term FROM asked) GROUP BY ALL",
+    "gains": f"SELECT question_id, doc_id, sum(({sql_weight('field')})::DOUBLE * least(tf, 8) * times) AS gain FROM doc_terms JOIN qt USING (term) GROUP BY ALL",
+    "low": f"SELECT doc_id, lower(path) AS path, lower(title) AS title, lower(module) AS module, lower(pack) AS pack, lower(text) AS text, lower(array_to_string({sql_facts('text')}, ' ')) AS facts FROM docs",
+    "needles": "SELECT question_id, lower(unnest(ids)) AS needle FROM asked",
+    "words": "SELECT DISTINCT needle FROM needles",
+    "in_files": "SELECT DISTINCT w.needle, f.doc_id FROM words w JOIN doc_files f ON contains(lower(f.path), w.needle)",
+    "in_docs": """SELECT w.needle, d.doc_id, contains(d.path, w.needle) OR contains(d.title, w.needle) AS named FROM words w JOIN low d
+      ON contains(d.path, w.needle) OR contains(d.title, w.needle) OR contains(d.text, w.needle)""",
+    "bonus": """SELECT needle, doc_id, CASE WHEN bool_or(named) THEN 160.0 ELSE 70.0 END AS gain FROM (SELECT needle, doc_id, named FROM in_docs UNION ALL SELECT needle, doc_id, true FROM in_files) GROUP BY ALL""",
+    "phrases": """SELECT a.question_id, d.doc_id, 20.0 * (contains(d.title, a.phrase)::INT + contains(d.path, a.phrase)::INT + contains(d.module, a.phrase)::INT + contains(d.pack, a.phrase)::INT + contains(d.facts, a.phrase)::INT) AS gain
+      FROM asked a JOIN low d ON length(a.phrase) >= 4 AND (contains(d.title, a.phrase) OR contains(d.path, a.phrase) OR contains(d.module, a.phrase) OR contains(d.pack, a.phrase) OR contains(d.facts, a.phrase))""",
+    "additive": """SELECT question_id, doc_id, sum(gain) AS base FROM (SELECT * FROM gains UNION ALL SELECT question_id, doc_id, gain::DOUBLE FROM needles JOIN bonus USING (needle) UNION ALL SELECT question_id, doc_id, gain::DOUBLE FROM phrases) GROUP BY ALL""",
+    "answers": f"SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT question_id, doc_id, base * {_PLAIN_MULTIPLIERS} AS score FROM additive JOIN docs USING (doc_id) WHERE base > 0)",
+}
+
+
+def conversation_questions(t: StarTables) -> DataFrame:
+    return t.read("conversations").where("turn = 0").select(F.col("conv_id").alias("question_id"), "text")
+
+
+def conversation_answers(t: StarTables) -> DataFrame:
+    from wayfind.plans.batch import search_questions
+
+    documents, files = indexed_documents(t), t.doc_files()
+    return search_questions(documents, scoring.build_doc_terms(documents, files), conversation_questions(t), 10, doc_files=files)
+
+
+@query(
+    "question_search",
+    with_ctes(["docs", "doc_files"], "SELECT question_id, rank, doc_id, round(score, 4) AS score FROM answers WHERE rank <= 10", _ASKED_CTES),
+)
+def question_search(t: StarTables) -> DataFrame:
+    """The ten best documents of every conversation's first turn, as one plan."""
+    return conversation_answers(t).select("question_id", F.col("rank").cast("bigint"), "doc_id", F.round("score", 4).alias("score"))
+
+
+@query(
+    "question_replay",
+    with_ctes(
+        ["docs", "doc_files"],
+        """SELECT question_id, count(*) AS expected, count(rank) AS found, count(rank) / count(*) AS recall, min(rank) AS first_rank
+FROM (SELECT DISTINCT question_id, doc_id FROM in_files JOIN needles USING (needle)) LEFT JOIN (SELECT question_id, doc_id, rank FROM answers WHERE rank <= 10) USING (question_id, doc_id) GROUP BY question_id""",
+        _ASKED_CTES,
+    ),
+)
+def question_replay(t: StarTables) -> DataFrame:
+    """How many of the documents that list a file named by a question are among its answers."""
+    from wayfind.plans.batch import coverage_of_answers, question_needles
+    from wayfind.plans.query import plan_questions
+
+    needles = question_needles(plan_questions(conversation_questions(t))).where(~F.col("is_phrase"))
+    words = needles.agg(F.collect_set("needle")).scalar()
+    paths = t.doc_files().select("doc_id", F.lower("path").alias("path"), words.alias("words"))
+    mentioned = paths.select("doc_id", F.explode_outer(F.filter("words", lambda w: F.contains(F.col("path"), w))).alias("needle"))
+    expected = mentioned.where(F.col("needle").isNotNull()).join(needles, "needle").select("question_id", "doc_id")
+    found = coverage_of_answers(conversation_answers(t), expected)
+    return found.select("question_id", "expected", "found", "recall", F.col("first_rank").cast("bigint"))

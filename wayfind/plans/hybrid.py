@@ -15,7 +15,6 @@ from wayfind.operators import graph as g
 from wayfind.operators import summaries as sm
 from wayfind.operators import symbols as sy
 from wayfind.plans import search as kw
-from wayfind.plans.query import strict_only, tokenize
 from wayfind.session import cut_lineage
 from wayfind.sources.config import Settings
 from wayfind.sources.index import SearchIndex
@@ -190,12 +189,9 @@ def _evidence(index, answer, files, vectors, suppressed, settings, profile, mode
 
 def _owner(symbols: DataFrame, plan, profile: Profile) -> DataFrame:
     """Owner after the bounded second pass; negated identifiers neither score nor lend their words."""
-    strict = strict_only(list(plan.affirmed))
-    negated = {t for i in strict_only(list(plan.identifiers)) for t in tokenize(i)} - {t for i in strict for t in tokenize(i)}
-    words = tuple(w for w in sorted(set(tokenize(plan.text))) if w not in negated)
     score = profile.adjust_primary_owner_score(sy.owner_score(plan, F.col("file_rank"), plan.affirmed), plan, normalized_path(F.col("path")))
     rated = symbols.withColumn("owner_score", score)
-    second = sy.rerank_score(plan, words, tuple(strict))
+    second = sy.rerank_score(plan, plan.owner_words, plan.strict_affirmed)
     return sy.rescored_winner(rated, "owner_score", second, [F.asc_nulls_first("line"), F.asc("slot")])
 
 

@@ -1,21 +1,23 @@
-"""The plan of one query: everything that depends on the query text alone.
+"""The plan of a query: everything that depends on the query text alone.
 
-A query is a short string, so this is computed once on the driver and enters the
-DataFrame plans as literals (no join, no broadcast).
+The same expressions plan a table of questions and a single query.  The plan of a
+single query is evaluated once and enters the DataFrame plans as literals (no join,
+no broadcast).
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from wayfind import constants as C
+from wayfind.functions import classify as cl
+from wayfind.functions import identifiers as ids
+from wayfind.functions import text as tx
 from wayfind.sources.profile import Profile
 
-_IDENTIFIER = re.compile(C.IDENTIFIER_PATTERN)
-_NEGATION = re.compile(C.NEGATION_PATTERN)
-_STOP = frozenset(C.STOP_WORDS)
-
 
 def clean_query(value: object, name: str = "query") -> str:
     """Trimmed query text, or an error if it is empty or too long."""
@@ -47,64 +49,7 @@ def coerce_bool(value: object, default: bool) -> bool:
     return bool(value)
 
 
-#: Between words: a hump, or anything that is no ASCII letter or digit.
-_BREAK = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|[^A-Za-z0-9]+")
-
-
-def _forms(word: str) -> tuple[str, ...]:
-    """The word as it is searched: itself, its singular, the parts of the one known compound."""
-    singular = (word[:-1],) if len(word) > 3 and word[-1] == "s" else ()
-    return (word, *singular, *(("follow", "up") if word == "followup" else ()))
-
-
-def tokenize(text: str) -> list[str]:
-    """Driver twin of the search tokeniser, for the query string only."""
-    words = (w.lower() for w in _BREAK.split(text) if len(w) > 1)
-    return [form for w in words if w not in _STOP for form in _forms(w)]
-
-
-def _code_like(word: str) -> bool:
-    return word != word.lower() or "_" in word or bool(re.search(r"\d", word)) or len(word) >= 15
-
-
-def identifiers_of(text: str, drop_stop_words: bool = True) -> list[str]:
-    found: dict[str, str] = {}
-    for match in _IDENTIFIER.finditer(text):
-        word = match.group()
-        if drop_stop_words and word.lower() in _STOP:
-            continue
-        if "." in word:
-            names = [part for part in word.split(".") if len(part) >= 3]
-        else:
-            names = [word] if _code_like(word) else []
-        for name in names:
-            found.setdefault(name.lower(), name)
-    return list(found.values())
-
-
-def strict_only(identifiers: list[str]) -> list[str]:
-    return [
-        w
-        for w in identifiers
-        if re.search(r"[_0-9]", w) or (w == w.lower() and len(w) >= 15) or re.search(r"[a-z][A-Z]", w)
-    ]
-
-
-def affirmed_identifiers(text: str) -> list[str]:
-    """Identifiers without a negation cue nearby; one negated mention is enough to drop one."""
-    reach = C.NEGATION_WINDOW_CHARS
-    near = {m: text[max(0, m.start() - reach) : m.end() + reach] for m in _IDENTIFIER.finditer(text)}
-    dropped = " ".join(m.group() for m, around in near.items() if _NEGATION.search(around)).lower()
-    names = {part for whole in dropped.split() for part in (whole, *whole.split("."))}
-    return [w for w in identifiers_of(text) if w.lower() not in names]
-
-
-#: (ending, what takes its place), first that fits; two or three letters must stay before it.
-_SINGULAR = ((re.compile(r"(?<=..)ies$"), "y"), (re.compile(r"(?<=..)ie$"), "y"), (re.compile(r"(?<=...)(?<!s)s$"), ""))
-
-
-def _canonical(word: str) -> str:
-    return next((ending.sub(by, word) for ending, by in _SINGULAR if ending.search(word)), word)
+GENERIC = frozenset(C.GENERIC_FILE_TOKENS)
 
 
 @dataclass(frozen=True)
@@ -122,6 +67,10 @@ class QueryPlan:
     query_profile: str
     generic: frozenset[str] = field(default_factory=frozenset)
     pins: tuple[str, ...] = ()
+    #: identifiers that are no plain words, and the query's own words without those of negated identifiers
+    strict: tuple[str, ...] = ()
+    strict_affirmed: tuple[str, ...] = ()
+    owner_words: tuple[str, ...] = ()
 
     @property
     def phrase(self) -> str:
@@ -148,70 +97,59 @@ class QueryPlan:
             counts[token] = counts.get(token, 0) + 1
         return counts
 
-    def corroboration(self, identifier: str, identifiers: tuple[str, ...]) -> float:
-        def words(name: str) -> list[str]:
-            return [_canonical(t) for t in tokenize(name) if t not in self.generic]
 
-        own = set(words(identifier))
-        if not own:
-            return 1.0
-        inside = [w for name in identifiers for w in words(name)]
-        spoken = [_canonical(t) for t in self.tokens]
-        backed = sum(1 for w in own if spoken.count(w) > inside.count(w))
-        return max(0.4, backed / len(own))
+def _words_of(names: Column) -> Column:
+    return F.flatten(F.transform(names, tx.search_tokens))
+
+
+def reading(text: Column) -> dict[str, Column]:
+    """What a query text says by itself: its tokens, identifiers and files."""
+    own, identifiers, affirmed = tx.search_tokens(text), ids.query_identifiers(text), ids.affirmed_identifiers(text)
+    strict, strict_affirmed = ids.strict_identifiers(identifiers), ids.strict_identifiers(affirmed)
+    denied = F.array_except(_words_of(strict), _words_of(strict_affirmed))
+    return {
+        "own": own, "identifiers": identifiers, "affirmed": affirmed, "named_files": ids.named_files(text), "strict": strict,
+        "strict_affirmed": strict_affirmed, "owner_words": F.array_sort(F.array_distinct(F.array_except(own, denied))),
+    }
+
+
+def judged(tokens: Column, vocabulary: dict[str, tuple[str, ...]]) -> dict[str, Column]:
+    """What the tokens of a query ask for: modules, intents and the query's kind."""
+    intents = cl.query_intents(tokens, vocabulary)
+    return {
+        "modules": cl.module_intents(tokens, vocabulary), "dominant": cl.dominant_modules(tokens, vocabulary), "intents": intents,
+        "query_profile": cl.query_profile(tokens, intents),
+    }
+
+
+def _one_row(columns: dict[str, Column]) -> dict:
+    return SparkSession.active().range(1).select(*[c.alias(n) for n, c in columns.items()]).first().asDict()
 
 
 def plan_query(text: str, profile: Profile | None = None) -> QueryPlan:
+    """The plan of one text, by the expressions that plan a table of questions (see ``plan_questions``)."""
     profile = profile or Profile()
-    own = tokenize(text)
-    tokens = tuple(own + list(profile.expand_query_tokens(text, list(own))))
-    present = set(tokens)
-    vocabulary = {m: set(words) for m, words in profile.module_intent_tokens().items()}
-    modules = frozenset(m for m, words in vocabulary.items() if present & words)
-    votes = {m: len(present & words) for m, words in vocabulary.items()}
-    top = max(votes.values(), default=0)
-    dominant: frozenset[str] = frozenset()
-    if top > 0:
-        ratio = 0.75 if present & set(C.RUNTIME_TOKENS) else 0.45
-        dominant = frozenset(m for m, n in votes.items() if n >= max(2.0, top * ratio))
-    vocabularies = (
-        ("ownership", C.OWNERSHIP_TOKENS),
-        ("business_flow", C.BUSINESS_FLOW_TOKENS),
-        ("runtime_debug", C.RUNTIME_TOKENS),
-        ("implementation_trace", C.IMPLEMENTATION_TRACE_TOKENS),
-        ("code_level", C.CODE_LEVEL_TOKENS),
-        ("cross_module", C.CROSS_MODULE_TOKENS),
-    )
-    intents = {name for name, words in vocabularies if present & set(words)}
-    if len(modules) >= 2:
-        intents.add("cross_module")
-    intents = intents or {"general"}
-    technical = intents & {"implementation_trace", "runtime_debug", "code_level", "ownership"}
-    if present & set(C.BRIDGE_TERMS):
-        kind = "cross_module_bridge"
-    elif present & set(C.INFRA_RUNTIME_TERMS):
-        kind = "infra_runtime"
-    elif "business_flow" in intents and not technical:
-        kind = "workflow_discovery"
-    elif technical or present & set(C.CODE_DEBUG_QUERY_TERMS):
-        kind = "code_debug"
-    elif present & set(C.WORKFLOW_DISCOVERY_TERMS):
-        kind = "workflow_discovery"
-    else:
-        kind = "code_debug"
+    vocabulary = profile.module_intent_tokens()
+    said = _one_row(reading(F.lit(text)))
+    own = said.pop("own")
+    tokens = tuple(own) + tuple(profile.expand_query_tokens(text, list(own)))
+    found = _one_row(judged(cl.lit_array(tokens), vocabulary))
+    dominant = frozenset(found["dominant"])
     pins = tuple(profile.pinned_owner_files(list(tokens)))
     if dominant:
         pins = tuple(p for p in pins if (m := profile.infer_module(p)) is None or m in dominant)
+    named = frozenset(said.pop("named_files"))
     return QueryPlan(
-        text=text,
-        tokens=tokens,
-        identifiers=tuple(identifiers_of(text)),
-        affirmed=tuple(affirmed_identifiers(text)),
-        named_files=frozenset(m.group().lower() for m in _IDENTIFIER.finditer(text) if "." in m.group()),
-        modules=modules,
-        dominant=dominant,
-        intents=frozenset(intents),
-        query_profile=kind,
-        generic=frozenset(C.GENERIC_FILE_TOKENS) | frozenset(vocabulary),
-        pins=pins,
-    )
+        text=text, tokens=tokens, named_files=named, modules=frozenset(found["modules"]), dominant=dominant, intents=frozenset(found["intents"]),
+        query_profile=found["query_profile"], generic=GENERIC | frozenset(vocabulary), pins=pins, **{k: tuple(v) for k, v in said.items()},
+    )
+
+
+def plan_questions(questions: DataFrame, profile: Profile | None = None, text: str = "text") -> DataFrame:
+    """``questions`` with the columns of their plans: tokens, phrase, identifiers, affirmed, modules, intents, query_profile and more."""
+    profile = profile or Profile()
+    said = reading(F.trim(F.coalesce(F.col(text), F.lit(""))))
+    rows = questions.select("*", *[c.alias(n) for n, c in said.items()])
+    rows = rows.withColumn("tokens", F.concat("own", profile.expansions(F.col("own"))))
+    found = judged(F.col("tokens"), profile.module_intent_tokens())
+    return rows.select("*", F.lower(F.trim(F.coalesce(F.col(text), F.lit("")))).alias("phrase"), *[c.alias(n) for n, c in found.items()])

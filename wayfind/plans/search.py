@@ -98,7 +98,9 @@ def hint_documents(index: SearchIndex, candidates: DataFrame, scored: DataFrame,
     mentioning = mentions.join(paths, normalized_path(F.col("p")) == F.col("path_norm"), "left_semi").select("doc_id").distinct()
     count = max(settings.file_candidate_documents, settings.max_results)
     columns = ["doc_id", "score", "module", "pack", "source_type", "source"]
-    exact = scored.select(*columns).join(mentioning, "doc_id", "left_semi").orderBy(*_order()).limit(max(count, 120))
+    exact = scored.select(*columns).join(mentioning, "doc_id", "left_semi")
+    if settings.limits.hint_documents is not None:
+        exact = exact.orderBy(*_order()).limit(max(count, settings.limits.hint_documents))
     first = candidates.where(F.col("rank") <= count).select(*columns)
     deps = index.doc_edges.groupBy("doc_id").agg(F.count(F.lit(1)).alias("dependency_count"))
     top_paths = F.broadcast(ranked.where(F.col("rank") < 5).select("path_norm"))
@@ -242,9 +244,7 @@ def keyword_search(
 
 
 def _strict(plan: QueryPlan) -> list[str]:
-    from wayfind.plans.query import strict_only
-
-    return strict_only(list(plan.identifiers))
+    return list(plan.strict)
 
 
 def primary_owner(symbols: DataFrame, plan: QueryPlan, profile: Profile, identifiers: tuple[str, ...] | None = None) -> DataFrame:

@@ -12,6 +12,32 @@ from wayfind import constants as C
 MODES = ("keyword", "semantic", "hybrid")
 
 
+@dataclass(frozen=True)
+class Limits:
+    """How much of a file an index keeps; None keeps all.  ``Limits.short()`` keeps what fits a small index."""
+
+    text_bytes: int | None = None
+    graph_nodes: int | None = None
+    graph_edges: int | None = None
+    files: int | None = None
+    facts: int | None = None
+    symbols: int | None = None
+    hints: int | None = None
+    route_entries: int | None = None
+    graph_chunks: int | None = None
+    chunk_nodes: int | None = None
+    chunk_edges: int | None = None
+    hint_documents: int | None = None
+    note_chars: int | None = None
+
+    @classmethod
+    def short(cls) -> Limits:
+        return cls(
+            C.MAX_TEXT_BYTES, C.MAX_GRAPH_NODES, C.MAX_GRAPH_EDGES, C.MAX_DOC_FILES, C.MAX_FACTS, C.MAX_SYMBOL_HINTS, C.MAX_DEPENDENCY_HINTS,
+            C.MAX_ROUTE_ENTRIES, C.MAX_GRAPH_CHUNKS, C.MAX_CHUNK_NODES, C.MAX_CHUNK_EDGES, 120, 1000,
+        )
+
+
 @dataclass(frozen=True)
 class Settings:
     """All knobs in one place; unknown keys of a config file are reported, not ignored."""
@@ -25,7 +51,7 @@ class Settings:
     source_root_prefixes: tuple[str, ...] = ("graph-out/", "docs/")
     ownership_roots: dict[str, tuple[str, str]] = field(default_factory=dict)
     module_markers: tuple[str, ...] = ("graph-out", "ops-knowledge")
-    max_text_bytes: int = C.MAX_TEXT_BYTES
+    limits: Limits = Limits()
     chunk_central_graph: bool = False
     enable_symbol_hints: bool = True
     enable_dependency_chain: bool = True
@@ -75,6 +101,10 @@ def load_settings(path: str | None) -> tuple[Settings, list[str]]:
     known = {f.name: f for f in fields(Settings)}
     warnings = [f"unknown setting: {key}" for key in flat if key not in known]
     values = {k: tuple(v) if isinstance(v, list) else v for k, v in flat.items() if k in known}
+    if isinstance(values.get("limits"), dict):
+        named = {f.name for f in fields(Limits)}
+        warnings += [f"unknown limit: {key}" for key in values["limits"] if key not in named]
+        values["limits"] = Limits(**{k: v for k, v in values["limits"].items() if k in named})
     return Settings(**values), warnings
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfind import constants as C
@@ -41,6 +41,17 @@ SOURCE_GLOB = "*.{cs,tsx,ts,js}"
 _SCOPE = "\u0001"
 
 
+#: Lines of a graph in one document: a graph with more of them becomes several documents
+LINES_PER_DOCUMENT = 20_000
+
+
+def _first(df: DataFrame, keys: list[str], order: list[Column], limit: int | None) -> DataFrame:
+    """The first rows of every key, or all of them, with their place ``rn`` from 1."""
+    if limit is not None:
+        return top_per_key(df, keys, order, limit)
+    return df.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 @dataclass
 class Loaded:
     """What a loader yields."""
@@ -186,28 +197,35 @@ def graph_tables(graphs: DataFrame, settings: Settings, stage: Callable[[str, Da
 
 
 def graph_documents(tables: GraphTables, settings: Settings) -> Loaded:
-    """One document per graph: node and edge lines, first files, facts, symbols and edges."""
-    graphs, nodes, edges = tables.graphs, tables.nodes, tables.edges
-    head = nodes.where(F.col("pos") < C.MAX_GRAPH_NODES)
-    tail = edges.where(F.col("pos") < C.MAX_GRAPH_EDGES)
+    """A document per graph with node and edge lines and facts, and its files, symbols and edges.
+
+    Node lines come first.  Beyond ``LINES_PER_DOCUMENT`` nodes or edges the lines go on in further documents of the same path.
+    """
+    graphs, nodes, edges, limits = tables.graphs, tables.nodes, tables.edges, settings.limits
+    head = nodes if limits.graph_nodes is None else nodes.where(F.col("pos") < limits.graph_nodes)
+    tail = edges if limits.graph_edges is None else edges.where(F.col("pos") < limits.graph_edges)
     node_lines = head.where(F.col("label") != "").select(
         "graph", F.lit(0).alias("part"), "pos", F.concat_ws(" ", F.lit("NODE"), "label", "raw_file").alias("line")
     )
     edge_line = F.trim(F.concat_ws(" ", F.lit("EDGE"), "source_ref", "relation", "target_ref", "confidence"))
     lines = node_lines.unionByName(tail.select("graph", F.lit(1).alias("part"), "pos", edge_line.alias("line")))
-    # bounded by the node and edge limits
-    texts = lines.groupBy("graph").agg(F.array_sort(F.collect_list(F.struct("part", "pos", "line"))).alias("l")).select(
-        "graph", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text")
+    piece = F.floor(F.col("pos") / LINES_PER_DOCUMENT).cast("int").alias("piece")
+    texts = lines.groupBy("graph", piece).agg(F.array_sort(F.collect_list(F.struct("part", "pos", "line"))).alias("l")).select(
+        "graph", "piece", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text")
     )
     stated = tail.where((F.col("relation") != "") & (F.col("source_ref") != "") & (F.col("target_ref") != ""))
     fact = F.concat("source_ref", F.lit(" --"), "relation", F.lit("--> "), "target_ref")
-    facts = top_per_key(stated.select("graph", "pos", fact.alias("fact")), ["graph"], [F.col("pos")], C.MAX_FACTS).groupBy("graph").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "fact"))).alias("f")
-    ).select("graph", tx.ordered_distinct_ci(F.transform("f", lambda x: x["fact"])).alias("facts"))
+    told = stated.select("graph", piece, "pos", fact.alias("fact"))
+    if limits.facts is not None:
+        told = top_per_key(told, ["graph"], [F.col("pos")], limits.facts)
+    facts = told.groupBy("graph", "piece").agg(F.array_sort(F.collect_list(F.struct("pos", "fact"))).alias("f")).select(
+        "graph", "piece", tx.ordered_distinct_ci(F.transform("f", lambda x: x["fact"])).alias("facts")
+    )
     meta = _named(graphs, settings)
-    joined = meta.join(texts.withColumnRenamed("graph", "path"), "path").join(facts.withColumnRenamed("graph", "path"), "path", "left")
+    joined = meta.join(texts.withColumnRenamed("graph", "path"), "path").join(facts.withColumnRenamed("graph", "path"), ["path", "piece"], "left")
+    further = pt.stable_id(F.col("path"), F.concat(F.lit("part "), F.col("piece").cast("string")))
     docs = joined.select(
-        pt.stable_id(F.col("path")).alias("doc_id"), "path",
+        F.when(F.col("piece") == 0, pt.stable_id(F.col("path"))).otherwise(further).alias("doc_id"), "path",
         F.concat(F.coalesce("pack", "module", F.lit("graph")), F.lit(" graph")).alias("title"), "text", F.col("path").alias("source"),
         pt.base_name(F.col("path")).alias("source_type"), F.lit("graph").alias("kind"), "module", "pack", "source_level", "area",
         F.lit(None).cast("string").alias("source_file"), F.col("length").alias("size_bytes"),
@@ -215,18 +233,18 @@ def graph_documents(tables: GraphTables, settings: Settings) -> Loaded:
     ).where(F.trim("text") != "")
     listed = head.where(F.col("source_file") != "").select("graph", "pos", F.col("source_file").alias("path"))
     unique = first_per_key(listed.withColumn("_k", F.lower("path")), ["graph", "_k"], [F.col("pos")], ["pos", "path"])
-    files = top_per_key(unique, ["graph"], [F.col("pos")], C.MAX_DOC_FILES).select(
+    files = _first(unique, ["graph"], [F.col("pos")], limits.files).select(
         pt.stable_id(F.col("graph")).alias("doc_id"), (F.col("rn") - 1).alias("pos"), "path"
     )
     symbols = _symbols(nodes, settings, ["graph"], F.col("graph"), None)
     hints = _unique_edges(tables.hints, ["graph"])
-    capped = top_per_key(hints, ["graph"], [F.col("pos")], C.MAX_DEPENDENCY_HINTS)
-    doc_edges = capped.withColumn("doc_id", pt.stable_id(F.col("graph"))).drop("graph", "rn")
+    capped = hints if limits.hints is None else top_per_key(hints, ["graph"], [F.col("pos")], limits.hints).drop("rn")
+    doc_edges = capped.withColumn("doc_id", pt.stable_id(F.col("graph"))).drop("graph")
     return Loaded(docs, files, symbols, doc_edges)
 
 
 def _symbols(nodes: DataFrame, settings: Settings, keys: list[str], graph: Column, anchor: Column | None) -> DataFrame:
-    """Captured symbols per document, distinct by (label, file, line), first forty."""
+    """Captured symbols per document, distinct by (label, file, line)."""
     rows = nodes.where((F.col("label") != "") & (F.col("source_file") != "")).withColumn(
         "line", pt.source_line_number(F.col("source_location"))
     ).withColumn("path", F.col("source_file"))
@@ -237,7 +255,7 @@ def _symbols(nodes: DataFrame, settings: Settings, keys: list[str], graph: Colum
     unique = first_per_key(
         keyed, [*keys, "_l", "_f", "line"], [F.col("pos")], ["pos", "label", "kind", *(["source_file"] if "source_file" not in keys else []), "source_location", "node_id"]
     )
-    capped = top_per_key(unique, keys, [F.col("pos")], C.MAX_SYMBOL_HINTS)
+    capped = unique if settings.limits.symbols is None else top_per_key(unique, keys, [F.col("pos")], settings.limits.symbols)
     return capped.select(
         pt.stable_id(graph, anchor).alias("doc_id"), "pos", "label", "kind", "source_file", "source_location", "line", "node_id"
     )
@@ -251,7 +269,10 @@ def chunk_graph_documents(tables: GraphTables, settings: Settings, stage: Callab
     wanted = named.select(F.col("path").alias("graph"))
     nodes, edges, hints = (t.join(wanted, "graph", "left_semi") for t in (tables.nodes, tables.edges, tables.hints))
     with_file = nodes.where(F.col("source_file") != "")
-    first_files = top_per_key(with_file.select("graph", "source_file").distinct(), ["graph"], [F.col("source_file")], C.MAX_GRAPH_CHUNKS).drop("rn")
+    limits = settings.limits
+    first_files = with_file.select("graph", "source_file").distinct()
+    if limits.graph_chunks is not None:
+        first_files = top_per_key(first_files, ["graph"], [F.col("source_file")], limits.graph_chunks).drop("rn")
     kept = with_file.join(first_files, ["graph", "source_file"], "left_semi")
     scoped_nodes, scoped_edges = _scoped(nodes, edges)
     owned = g.edges_by_file(scoped_nodes, scoped_edges, ["graph", "pos"], ["graph", "pos"]).withColumnRenamed("path", "source_file")
@@ -260,8 +281,9 @@ def chunk_graph_documents(tables: GraphTables, settings: Settings, stage: Callab
         owned.join(first_files, ["graph", "source_file"], "left_semi").join(edges.drop("source_file"), ["graph", "pos"]),
     )
     keys = ["graph", "source_file"]
-    node_rows = top_per_key(kept, keys, [F.col("pos")], C.MAX_CHUNK_NODES).drop("rn")
-    edge_rows = top_per_key(owned, keys, [F.col("pos")], C.MAX_CHUNK_EDGES).drop("rn")
+    # bounded by what one source file declares
+    node_rows = kept if limits.chunk_nodes is None else top_per_key(kept, keys, [F.col("pos")], limits.chunk_nodes).drop("rn")
+    edge_rows = owned if limits.chunk_edges is None else top_per_key(owned, keys, [F.col("pos")], limits.chunk_edges).drop("rn")
     lines = node_rows.where(F.col("label") != "").select(
         *keys, F.lit(0).alias("part"), "pos", F.concat_ws(" ", F.lit("NODE"), "label", "source_file").alias("line")
     ).unionByName(edge_rows.select(
@@ -272,7 +294,10 @@ def chunk_graph_documents(tables: GraphTables, settings: Settings, stage: Callab
     )
     fact = F.concat("source_ref", F.lit(" --"), "relation", F.lit("--> "), "target_ref")
     stated = edge_rows.where((F.col("relation") != "") & (F.col("source_ref") != "") & (F.col("target_ref") != ""))
-    facts = top_per_key(stated.select(*keys, "pos", fact.alias("fact")), keys, [F.col("pos")], C.MAX_FACTS).groupBy(*keys).agg(
+    told = stated.select(*keys, "pos", fact.alias("fact"))
+    if limits.facts is not None:
+        told = top_per_key(told, keys, [F.col("pos")], limits.facts)
+    facts = told.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("pos", "fact"))).alias("f")
     ).select(*keys, tx.ordered_distinct_ci(F.transform("f", lambda x: x["fact"])).alias("facts"))
     sizes = kept.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("node_count"))
@@ -293,7 +318,7 @@ def chunk_graph_documents(tables: GraphTables, settings: Settings, stage: Callab
     )
     unique = _unique_edges(anchored, ["graph", "anchor"])
     scoped_anchor = unique.withColumn("anchor_file", F.col("anchor")).withColumn("anchor", F.concat("graph", F.lit(_SCOPE), "anchor"))
-    capped = g.coverage_first_cap(scoped_anchor, ["pos"], C.MAX_DEPENDENCY_HINTS)
+    capped = scoped_anchor if limits.hints is None else g.coverage_first_cap(scoped_anchor, ["pos"], limits.hints)
     doc_edges = capped.select(
         "*", pt.stable_id(F.col("graph"), F.col("anchor_file")).alias("doc_id")
     ).drop("graph", "anchor", "anchor_file", "other_file", "deferred", "slot")
@@ -318,7 +343,7 @@ def route_documents(
         F.monotonically_increasing_id().alias("pos"), field("ui_file").alias("ui"),
         field("backend_controller", "backend").alias("backend"), field("route").alias("route"),
     ).where(root_kind(F.col("path"), list(settings.roots), settings).isNotNull())
-    first = top_per_key(entries, ["path"], [F.col("pos")], C.MAX_ROUTE_ENTRIES)
+    first = _first(entries, ["path"], [F.col("pos")], settings.limits.route_entries)
     usable = first.where((F.col("ui") != "") & (F.col("backend") != ""))
     line = F.concat("ui", F.lit(" calls "), "backend", F.when(F.col("route") != "", F.concat(F.lit(" via "), "route")).otherwise(F.lit("")))
     lines = usable.groupBy("path", "length").agg(F.array_sort(F.collect_list(F.struct("rn", line.alias("line")))).alias("l")).select(
@@ -329,14 +354,14 @@ def route_documents(
         F.concat(F.coalesce("pack", "module", F.lit("dependency")), F.lit(" dependency edges")).alias("title"),
         F.array_join("lines", "\n").alias("text"), F.col("path").alias("source"), pt.base_name(F.col("path")).alias("source_type"),
         F.lit("dependency_edge").alias("kind"), "module", "pack", "source_level", "area", F.lit(None).cast("string").alias("source_file"),
-        F.col("length").alias("size_bytes"), F.slice("lines", 1, C.MAX_FACTS).alias("facts"), F.lit(0).alias("node_count"),
+        F.col("length").alias("size_bytes"), (F.col("lines") if settings.limits.facts is None else F.slice("lines", 1, settings.limits.facts)).alias("facts"), F.lit(0).alias("node_count"),
         F.size("lines").alias("edge_count"),
     )
     ends = usable.select("path", F.posexplode(F.array("ui", "backend")).alias("side", "file"), "rn").select(
         F.col("path").alias("doc_path"), (F.col("rn") * 2 + F.col("side")).alias("pos"), canonical(F.col("file"), F.col("path"), settings).alias("path")
     )
     unique = first_per_key(ends.withColumn("_k", F.lower("path")), ["doc_path", "_k"], [F.col("pos")], ["pos", "path"])
-    files = top_per_key(unique, ["doc_path"], [F.col("pos")], C.MAX_DOC_FILES).select(
+    files = _first(unique, ["doc_path"], [F.col("pos")], settings.limits.files).select(
         pt.stable_id(F.col("doc_path")).alias("doc_id"), (F.col("rn") - 1).alias("pos"), "path"
     )
     return Loaded(docs, files)
@@ -345,7 +370,9 @@ def route_documents(
 def source_lines(spark: SparkSession, base: str, settings: Settings, uris: tuple[str, ...] | None = None) -> DataFrame:
     """(path, line_no, text) of the live source files below a folder."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", SOURCE_GLOB).load(base)
-    raw = only_files(found, uris).where(F.col("length") <= settings.max_text_bytes)
+    raw = only_files(found, uris)
+    if settings.limits.text_bytes is not None:
+        raw = raw.where(F.col("length") <= settings.limits.text_bytes)
     path = relative_path(F.col("path"), base)
     texts = raw.select(path.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")).where(~is_ignored(F.col("path"), settings))
     return texts.select("path", F.posexplode_outer(tx.lines_of(F.col("text"))).alias("i", "text")).select(

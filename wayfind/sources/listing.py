@@ -80,8 +80,8 @@ def list_files(
     path = relative_path(F.col("path"), base)
     columns = [path.alias("path"), F.col("path").alias("url"), F.col("_metadata.file_path").alias("uri"), "length", F.col("modificationTime").alias("modified")]
     if with_text:
-        # the length filter is pushed into the scan: larger files are never read
-        files = files.where(F.col("length") <= settings.max_text_bytes)
+        if settings.limits.text_bytes is not None:  # pushed into the scan: larger files are never read
+            files = files.where(F.col("length") <= settings.limits.text_bytes)
         columns.append(F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     return files.select(*columns).withColumn("kind", root_kind(F.col("path"), chosen, settings)).where(F.col("kind").isNotNull())
 

@@ -52,8 +52,9 @@ def append_log(rows: DataFrame, folder: str) -> None:
     dated.write.mode("append").partitionBy("year", "month").json(folder)
 
 
-def valid_outcomes(rows: DataFrame) -> DataFrame:
-    """Normalised outcomes; a value outside the allowed sets fails the job."""
+def valid_outcomes(rows: DataFrame, note_chars: int | None = None) -> DataFrame:
+    """Normalised outcomes; a value outside the allowed sets fails the job.  Notes are kept whole unless ``note_chars`` is given."""
+    notes = F.coalesce("notes", F.lit(""))
     outcome = F.lower(F.trim("outcome"))
     reason = F.lower(F.trim(F.coalesce("failure_reason", F.lit("none"))))
 
@@ -69,16 +70,22 @@ def valid_outcomes(rows: DataFrame) -> DataFrame:
         F.greatest(F.lit(0), F.coalesce("used_suggested_files", F.lit(0))).alias("used_suggested_files"),
         F.greatest(F.lit(0), F.coalesce("extra_files_read", F.lit(0))).alias("extra_files_read"),
         F.coalesce("needed_extra_search", F.lit(False)).alias("needed_extra_search"),
-        F.substring(F.coalesce("notes", F.lit("")), 1, 1000).alias("notes"),
+        (notes if note_chars is None else F.substring(notes, 1, note_chars)).alias("notes"),
         F.coalesce(F.size("missed_files"), F.lit(0)).alias("missed_file_count"),
     )
 
 
-def keyed_rows(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """Small JSON side input; the last row of a key wins."""
-    rows = spark.read.schema(schema).option("multiLine", "true").json(path).withColumn("_pos", F.monotonically_increasing_id())
-    columns = [c for c in rows.columns if c not in (key, "_pos")]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), "_pos").alias("r")).select(key, "r.*")
+def keyed_rows(spark: SparkSession, path: str | list[str], schema: str, key: str, multi_line: bool = True) -> DataFrame:
+    """JSON side input; the last row of a key wins, in the order of file names and of rows within a file.
+
+    A large file of JSON lines is read in splits: a row is placed by its file, the start of its split and its number in
+    the task, which grows along the split.  Rows without key drop out.
+    """
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    rows = spark.read.schema(schema).option("multiLine", str(multi_line).lower()).option("mode", "DROPMALFORMED").json(path)
+    columns = [c for c in rows.columns if c != key]
+    placed = rows.where(F.col(key).isNotNull()).select("*", place.alias("_place"))
+    return placed.groupBy(key).agg(F.max_by(F.struct(*columns), "_place").alias("r")).select(key, "r.*")
 
 
 def load_rules(spark: SparkSession, paths: list[str]) -> list[dict]:

@@ -48,7 +48,12 @@ class Profile:
         return []
 
     # -- row hooks (Column in, Column out) -----------------------------------
+    def expansions(self, tokens: Column) -> Column:
+        """What ``expand_query_tokens`` adds, for a table of questions."""
+        return F.array().cast("array<string>")
+
     def adjust_document_score(self, score: Column, plan, path: Column, pack: Column, title: Column) -> Column:
+        """``plan`` is a query's plan, or the columns of planned questions (tokens, modules, intents)."""
         return score
 
     def adjust_owner_score(self, score: Column, plan, path: Column) -> Column:
@@ -93,6 +98,13 @@ class TableProfile(Profile):
         present = set(tokens)
         return [extra for trigger, extras in self._synonyms.items() if trigger in present for extra in extras]
 
+    def expansions(self, tokens):
+        if not self._synonyms:
+            return super().expansions(tokens)
+        none = F.array().cast("array<string>")
+        found = [F.when(F.array_contains(tokens, t), F.array(*[F.lit(e) for e in extras])).otherwise(none) for t, extras in self._synonyms.items() if extras]
+        return F.concat(*found) if found else none
+
     def module_intent_tokens(self):
         return self._modules
 
