@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -72,6 +73,29 @@ def test_redaction(spark):
     assert out == {1: "mail [EMAIL], ip [IP] and [PHONE] end 😀", 2: None, 3: "", 4: "nothing here"}
 
 
+def test_redaction_of_very_many_spans_is_linear(spark):
+    pieces = [f"é{i} a{i}@b.org 10.0.0.{i % 250}" for i in range(50_000)]
+    docs = spark.createDataFrame([(1, "\n".join(pieces))], "doc_id long, text string")
+    began = time.time()
+    assert redact(docs).first().text == "\n".join(f"é{i} [EMAIL] [IP]" for i in range(50_000))
+    assert time.time() - began < 120
+
+
+def test_overlapping_spans_become_one(spark):
+    docs = spark.createDataFrame([(1, "x +4111111111111111 y"), (2, "a@1.2.3.4 b"), (3, "1.2.3.4@c.de")], "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in find_personal_data(docs).collect()}
+    for r in redact(docs).collect():
+        text, spans, out, at = {1: "x +4111111111111111 y", 2: "a@1.2.3.4 b", 3: "1.2.3.4@c.de"}[r.doc_id], [], "", 0
+        for kind, start, end in (s.split(":") for s in found[r.doc_id].split(",")):
+            if spans and spans[-1][2] > int(start):
+                spans[-1][2] = max(spans[-1][2], int(end))
+            else:
+                spans.append([kind, int(start), int(end)])
+        for kind, start, end in spans:
+            out, at = out + text[at:start] + f"[{kind.upper()}]", end
+        assert r.text == out + text[at:]
+
+
 def test_odd_rows(odd, odd_rows, empty):
     check(find_personal_data(odd).collect(), [(r[0], r[1] or "") for r in odd_rows])
     assert redact(odd).columns == odd.columns and redact(odd).count() == len(odd_rows)

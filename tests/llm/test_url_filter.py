@@ -63,3 +63,12 @@ def test_empty_lists_and_tables(spark):
     assert {r.verdict for r in filter_urls(pages(spark, URLS), nothing).collect()} == {"allow"}
     rules = spark.createDataFrame(list(URL_RULES), "rule string, verdict string")
     assert filter_urls(pages(spark, URLS).limit(0), rules).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1 << 28, 0])
+def test_equally_long_rules(spark, limit):
+    rules = spark.createDataFrame([("a.org/", "block"), ("org/ab", "allow"), ("org/abc", "block"), ("a.org/a", "allow")], "rule string, verdict string")
+    out = filter_urls(pages(spark, ["http://a.org/ab", "http://a.org/", "http://a.org/abc"]), rules, max_mapped_bytes=limit)
+    assert {(r.path, r.rule, r.verdict) for r in out.collect()} == {("/ab", "a.org/a", "allow"), ("/", "a.org/", "block"), ("/abc", "a.org/a", "allow")}
+    out = filter_urls(pages(spark, ["http://a.org/ab"]), rules.where("rule <> 'a.org/a'"), max_mapped_bytes=limit)
+    assert [(r.rule, r.verdict) for r in out.collect()] == [("a.org/", "block")]

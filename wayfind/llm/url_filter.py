@@ -6,7 +6,8 @@ file to every node, tasks map it into memory (one page cache per node) and probe
 digest that is found counts only if the stored string equals the probe, so colliding digests never decide.
 
 The keys that a URL may meet are its host and all parent domains, each with the prefixes of its path that have the length
-of some rule path.  The longest rule that fits wins; where none fits, the verdict is ``default``.
+of some rule path.  The longest rule that fits wins, of equally long ones that with
+the longer host, then the greater text; where none fits, the verdict is ``default``.
 
 Lists above ``max_mapped_bytes`` are never shipped: those are joined on digest and string instead, with the same result.
 
@@ -31,7 +32,8 @@ from pyspark.sql import types as T
 
 from wayfind.llm.common import shared_folder
 
-MAX_MAPPED_BYTES = 256 << 20
+#: The rules pass through the driver once; longer lists than this are joined.
+MAX_MAPPED_BYTES = 32 << 20
 SEED = 42  # of Spark's xxhash64, so both sides may compute digests
 VERDICTS = ("allow", "block")
 
@@ -119,6 +121,11 @@ def candidate_keys(host: str, path: str, lengths: np.ndarray) -> list[str]:
     return [".".join(labels[i:]) + p for i in range(len(labels)) for p in prefixes]
 
 
+def _precedence(key: str) -> tuple[int, int, str]:
+    """The longest rule wins; of equally long ones that with the longer host, then the greater text."""
+    return len(key), key.index("/"), key
+
+
 def judge(hosts: list[str], paths: list[str], array: DigestArray) -> tuple[list[str | None], list[str | None]]:
     """The winning rule and its verdict for every URL: the longest key found."""
     distinct: dict[tuple[str, str], int] = {}
@@ -135,7 +142,7 @@ def judge(hosts: list[str], paths: list[str], array: DigestArray) -> tuple[list[
         codes = array.find(keys)
         for k in np.flatnonzero(codes >= 0):
             i = owner[k]
-            if rule[i] is None or len(keys[k]) > len(rule[i]):
+            if rule[i] is None or _precedence(keys[k]) > _precedence(rule[i]):
                 rule[i], verdict[i] = keys[k], VERDICTS[codes[k]]
     return [rule[i] for i in rows], [verdict[i] for i in rows]
 
@@ -189,7 +196,8 @@ def _joined(parts: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     urls = parts.select("host", "path").where("host <> ''").distinct()
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
     probes = urls.withColumn("rule", F.explode(keys)).withColumn("code", F.xxhash64("rule"))
-    best = probes.join(rules, ["code", "rule"]).groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.length("rule")).alias("_w"))
+    precedence = F.struct(F.length("rule"), F.length(F.substring_index("rule", "/", 1)), F.col("rule"))
+    best = probes.join(rules, ["code", "rule"]).groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), precedence).alias("_w"))
     kept = parts.drop("rule", "verdict")
     joined = kept.alias("k").join(best.alias("b"), ["host", "path"], "left")
     own = [F.col(f"k.`{c}`") for c in kept.columns]
