@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -70,7 +71,7 @@ def test_memo_gives_the_ids_of_whole_texts():
     ]
     coder = Encoder(PATH)
     for _ in range(2):  # unknown, then from the memo
-        flat, sizes = coder.encode(texts)
+        flat, sizes = coder.encode(pa.array(texts))
         parts = np.split(flat, np.cumsum(sizes)[:-1])
         for t, ids in zip(texts, parts, strict=True):
             assert ids.tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
@@ -80,7 +81,7 @@ def test_added_tokens_in_texts_keep_their_ids():
     texts = ["end of page <|endoftext|> next page", "<|endoftext|>", "a<|endoftext|><|endoftext|>b c\n d", "no end here", "<|endoftext |> x", "<| endoftext|> x"]
     plain, coder = Tokenizer.from_file(PATH), Encoder(PATH)
     for _ in range(2):
-        flat, sizes = coder.encode(texts)
+        flat, sizes = coder.encode(pa.array(texts))
         parts = [p.tolist() for p in np.split(flat, np.cumsum(sizes)[:-1])]
         assert parts == [plain.encode(t, add_special_tokens=False).ids for t in texts]
     assert [p.count(50256) for p in parts] == [1, 1, 2, 0, 0, 0]
@@ -88,8 +89,8 @@ def test_added_tokens_in_texts_keep_their_ids():
 
 def test_other_tokenizers_get_whole_texts():
     coder = Encoder(public_tokenizers.path("word_bpe_49k.json"))
-    assert not coder.chunked
-    flat, _ = coder.encode(["Hello  World again"])
+    assert coder.cutter is None
+    flat, _ = coder.encode(pa.array(["Hello  World again"]))
     assert flat.tolist() == coder.tokenizer.encode("Hello  World again", add_special_tokens=False).ids
 
 

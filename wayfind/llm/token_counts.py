@@ -197,10 +197,9 @@ class ArrayMerger:
         counts = self.merge(flat, parts)
         return np.add.reduceat(counts, np.searchsorted(parts, total))
 
-    def count(self, data: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        """Tokens of the texts that start at ``edges`` in ``data`` (UTF-8 bytes; texts may be empty)."""
-        if not len(data):
-            return np.zeros(len(edges), np.int64)
+    def split(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pre-tokens of the texts that start at ``edges`` in ``data`` (not empty): where each starts, its size, the places of a list
+        without repeats among them, which of that list each one is, and the places of added tokens."""
         inner = edges[edges < len(data)]
         marks = np.zeros((0, 2), np.int64)
         if self.added and self.added.search(data):
@@ -227,10 +226,15 @@ class ArrayMerger:
         same = np.logical_and.reduceat(data == data[like], starts) & (sizes == sizes[first[group]])
         other = np.flatnonzero(~same)
         group[other] = len(first) + np.arange(len(other))
-        chosen = np.concatenate([first, other])
+        return starts, sizes, np.concatenate([first, other]), group, np.searchsorted(starts, marks[:, 0])
+
+    def count(self, data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Tokens of the texts that start at ``edges`` in ``data`` (UTF-8 bytes; texts may be empty)."""
+        if not len(data):
+            return np.zeros(len(edges), np.int64)
+        starts, sizes, chosen, group, marks = self.split(data, edges)
         tokens = self._count_distinct(data, starts[chosen], sizes[chosen])[group]
-        if len(marks):
-            tokens[np.searchsorted(starts, marks[:, 0])] = 1
+        tokens[marks] = 1
         total = np.concatenate([[0], np.cumsum(tokens)])
         place = np.searchsorted(starts, np.append(edges, len(data)))
         return np.diff(total[place])

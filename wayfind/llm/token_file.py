@@ -19,8 +19,6 @@ empty table gives an empty file.
 
 from __future__ import annotations
 
-import json
-import re
 import struct
 import uuid
 import zlib
@@ -36,11 +34,12 @@ from pyspark.sql import functions as F
 
 from wayfind.llm.common import shared_folder
 from wayfind.llm.texts import slices
+from wayfind.llm.token_counts import ArrayMerger, flat_bytes
 
 SCALE = 20
 LOWEST = 1 << 31
 LANES, BLOCK, SEGMENT, CHECKPOINT = 4096, 1 << 20, 1 << 22, 128
-MEMO_CHUNKS = 1_000_000
+MEMO_WORDS, MEMO_BYTES = 1_000_000, 32 << 20
 FILE_SCHEMA = "shard int, part int, n_tokens long, table binary, blocks array<binary>, doc_ids array<long>, doc_tokens array<long>"
 _U = np.uint64
 
@@ -142,95 +141,64 @@ def decode_block(data: bytes, table: Table, slots: np.ndarray | None = None, che
 class Encoder:
     """Encodes texts with a tokenizers file.
 
-    With byte-level pre-tokenising a space or a line end between two non-spaces always starts a new pre-token, so a text is
-    the sequence of its chunks between those; chunks seen before are looked up in a memo of bounded size.  A chunk that
-    starts a line keeps the line end, any other one stands for itself with a space in front.  Texts with other white space
-    are only cut at spaces between non-spaces.  Other tokenizers get whole texts.
+    With plain byte-level pre-tokenising, a text is the sequence of its pre-tokens; they are found on arrays (see
+    ``token_counts``), made distinct per slice, and encoded by the library once: those seen before are looked up in a memo
+    whose number and bytes are bounded.  Other tokenizers get whole texts.
 
-    Added tokens (such as an end-of-text mark) found in a text get their own ids, as in a plain call of the library; a text
-    with one is encoded whole.
+    Added tokens (such as an end-of-text mark) found in a text get their own ids, as in a plain call of the library.
     """
 
-    CUT = re.compile(r"(?<=\S) (?=\S)")
-    PAIRS = ("  ", " \n", "\n ", "\n\n")
-
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        spec = json.loads(self.tokenizer.to_str())
-        pre = spec["pre_tokenizer"] or {}
-        self.chunked = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec["normalizer"]
-        added = [t["content"] for t in spec["added_tokens"]]
-        # one with white space could also arise where chunks meet
-        self.chunked = self.chunked and not any(c.isspace() for t in added for c in t)
-        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
-        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids if self.chunked else []
+        try:
+            self.cutter: ArrayMerger | None = ArrayMerger(path)
+        except ValueError:  # not a plain byte-level model
+            self.cutter = None
         self.reset()
 
     def reset(self) -> None:
-        self.memo: dict[str, int] = {}
+        self.memo: dict[bytes, int] = {}
+        self.memo_bytes = 0
         self.flat, self.ends = array("I"), array("Q", [0])
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if "\n" not in c[1:] and not c[-1].isspace()] if len(self.newline) == 1 else []
-        for low in range(0, len(plain), 2000):  # many chunks in one call, told apart by the line ends before them
-            some = plain[low : low + 2000]
-            ids = np.array(self._ids(["".join(c if c[0] == "\n" else "\n " + c for c in some)])[0], np.uint32)
-            edge = np.append(np.flatnonzero(ids == self.newline[0]), len(ids)).tolist()
-            every = ids.tolist()
-            for i, (chunk, at) in enumerate(zip(some, edge, strict=False)):
-                self._add(chunk, every[at + (chunk[0] != "\n") : edge[i + 1]])
-        rest = [c for c in chunks if c not in self.memo]
-        for chunk, ids in zip(rest, self._ids([c if c[0] == "\n" else " " + c for c in rest]), strict=True):
-            self._add(chunk, ids)
-
-    def _chunks(self, text: str) -> list[str]:
-        """The head of the text, then its chunks."""
-        ends = text[:1].isspace() or text[-1:].isspace()
-        if ends or any(p in text for p in self.PAIRS) or not text.replace("\n", "").isprintable():
-            return self.CUT.split(text)
-        return text.replace("\n", " \n").split(" ")
-
-    def _add(self, chunk: str, ids: list[int]) -> None:
-        self.memo[chunk] = len(self.memo)
-        self.flat.extend(ids)
-        self.ends.append(len(self.flat))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, ids of each text)"""
-        if not self.chunked:
-            each = self._ids(texts)
+    def _known(self, words: list[bytes]) -> np.ndarray:
+        """The memo's numbers of distinct pre-tokens; new ones are encoded."""
+        at = np.fromiter(map(self.memo.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0).tolist()
+        for low in range(0, len(new), 20_000):
+            some = new[low : low + 20_000]
+            for i, ids in zip(some, self._ids([words[i].decode(errors="replace") for i in some]), strict=True):
+                at[i] = self.memo[words[i]] = len(self.memo)
+                self.memo_bytes += len(words[i])
+                self.flat.extend(ids)
+                self.ends.append(len(self.flat))
+        return at
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, ids of each text); null is empty"""
+        if self.cutter is None:
+            each = self._ids(["" if t is None else t for t in column.to_pylist()])
             return np.fromiter((i for x in each for i in x), np.uint32), np.array([len(x) for x in each], np.int64)
-        if len(self.memo) > MEMO_CHUNKS:
+        data, edges = flat_bytes(column)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
+        if len(self.memo) > MEMO_WORDS or self.memo_bytes > MEMO_BYTES:
             self.reset()
-        heads: list[str] = []
-        chunks: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            parts = [text] if self.added.search(text) else self._chunks(text)
-            heads.append(parts[0])
-            chunks += parts[1:]
-            counts[i] = len(parts) - 1
-        at = np.fromiter(map(self.memo.get, chunks, repeat(-1)), np.int64, len(chunks))
-        new = np.flatnonzero(at < 0).tolist()
-        self._learn(list(dict.fromkeys(chunks[i] for i in new)))
-        at[new] = [self.memo[chunks[i]] for i in new]
-        first = self._ids(heads)
+        starts, sizes, chosen, group, _ = self.cutter.split(data, edges[:-1])
+        raw = data.tobytes()
+        low, high = starts[chosen].tolist(), (starts[chosen] + sizes[chosen]).tolist()
+        at = self._known([raw[a:b] for a, b in zip(low, high, strict=True)])[group]
         ends, flat = np.frombuffer(self.ends, np.uint64).astype(np.int64), np.frombuffer(self.flat, np.uint32)
         size, begin = ends[at + 1] - ends[at], ends[at]
         total = np.concatenate([[0], np.cumsum(size)])
-        body = flat[np.repeat(begin - total[:-1], size) + np.arange(total[-1])] if len(at) else np.zeros(0, np.uint32)
-        edge = np.concatenate([[0], np.cumsum(counts)])
-        pieces = []
-        for i, head in enumerate(first):
-            pieces += [np.array(head, np.uint32), body[total[edge[i]] : total[edge[i + 1]]]]
-        lengths = np.array([len(h) for h in first], np.int64) + total[edge[1:]] - total[edge[:-1]]
+        ids = flat[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
         del flat, ends  # their buffers must be free before the arrays grow again
-        return np.concatenate(pieces) if pieces else np.zeros(0, np.uint32), lengths
+        return ids, np.diff(total[np.searchsorted(starts, edges)])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -263,9 +231,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, segmen
         lengths: list[np.ndarray] = []
         coder = encoder(tokenizer)
         for batch in batches:
-            for some in slices(batch, "text", 256):
-                texts = ["" if t is None else t for t in some.column(1).to_pylist()]
-                flat, sizes = coder.encode(texts)
+            for some in slices(batch, "text", 4096):
+                flat, sizes = coder.encode(some.column(1))
                 ends = np.cumsum(sizes)
                 ids.append(np.insert(flat, ends, end_id).astype(np.uint32))
                 doc_ids += some.column(0).to_pylist()
