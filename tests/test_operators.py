@@ -224,3 +224,46 @@ def test_gates_see_whole_chunks_and_all_files(spark):
     )
     row = hybrid.vector_candidates(index, text, settings).first()
     assert row["snippet"].endswith("RefundPolicy") and len(row["files"]) == 50
+
+
+def test_missed_files_without_times(spark):
+    from wayfind.operators import usage
+
+    events = spark.createDataFrame(
+        [("e1", 10, ["A.cs"]), ("e2", 30, ["a.cs", "b.cs"]), ("e0", None, ["c.cs"]), ("e3", 5, ["d.cs"])], "event_id string, t long, top_files array<string>"
+    ).withColumn("ts", F.timestamp_seconds("t"))
+    outcomes = spark.createDataFrame(
+        [("o1", 10, ["a.cs", "c.cs", "d.cs", "none.cs"]), ("o2", None, ["a.cs", "d.cs", "c.cs", "none.cs"])], "outcome_id string, t long, missed_files array<string>"
+    ).withColumn("ts", F.timestamp_seconds("t"))
+    found = {(r.outcome_id, r.file): r.resolved_by_event for r in usage.missed_files(events, outcomes).collect()}
+    assert found == {
+        ("o1", "a.cs"): "e2", ("o1", "c.cs"): "e0", ("o1", "d.cs"): None, ("o1", "none.cs"): None,
+        ("o2", "a.cs"): "e1", ("o2", "d.cs"): "e3", ("o2", "c.cs"): "e0", ("o2", "none.cs"): None,
+    }
+
+
+def test_scoped_scores_see_the_leading_results(spark):
+    """A profile may score files by the modules and packs of the first 25 results."""
+    from wayfind.operators import files as fl
+    from wayfind.plans.catalogue.settings import PLAN
+    from wayfind.sources.profile import Profile
+
+    class Scoped(Profile):
+        def adjust_scoped_score(self, score, path, modules, packs):
+            return score * F.when(F.array_contains(modules, "m0") & F.array_contains(packs, "p24") & ~F.array_contains(packs, "p25"), 2.0).otherwise(0.0)
+
+    schema = "doc_id string, rank int, score double, module string, pack string, source string, source_type string, source_level string, source_file string, title string"
+    results = spark.createDataFrame([(f"d{i}", i + 1, 100.0 - i, f"M{i}", f"p{i}", f"s{i}", "graph.json", "central", None, "t") for i in range(30)], schema)
+    listed = spark.createDataFrame([(f"d{i}", 0, f"app/Services/F{i}.cs") for i in range(30)], "doc_id string, pos int, path string")
+    plain = {r.path: r.contribution for r in fl.file_contributions(results, listed, PLAN).collect()}
+    scoped = {r.path: r.contribution for r in fl.file_contributions(results, listed, PLAN, Scoped()).collect()}
+    assert len(plain) == 30 and set(scoped) == set(plain) and all(scoped[p] > plain[p] > 0 for p in plain)
+
+
+def test_table_function_of_a_profile(spark):
+    from wayfind.plans.hooks import injected_files
+    from wayfind.sources.profile import TableProfile
+
+    profile = TableProfile(pack_files=[(("a", "b"), ("x.cs", "y.cs")), (("c",), ("y.cs", "z.cs"))])
+    planned = spark.createDataFrame([(1, ["a", "c"]), (2, ["c"]), (3, ["q"]), (4, [])], "question_id int, tokens array<string>")
+    assert sorted(map(tuple, injected_files(planned, profile).collect())) == [(1, 0, "x.cs"), (1, 1, "y.cs"), (1, 2, "z.cs"), (2, 0, "y.cs"), (2, 1, "z.cs")]

@@ -143,6 +143,10 @@ def file_contribution(plan: QueryPlan, profile: Profile | None = None) -> Column
     return step(s, outside, 0.45)
 
 
+#: Results whose modules and packs a profile may score files by.
+SCOPE_RESULTS = 25
+
+
 def _scopes(profile: Profile) -> bool:
     return type(profile).adjust_scoped_score is not Profile.adjust_scoped_score
 
@@ -154,6 +158,12 @@ def file_contributions(
     """(path, contribution, source) for every (document, file) of the ranked results."""
     listed = packs if packs is not None else top_specific_packs(results)
     rows = with_top_packs(results.drop("path"), listed).join(doc_files.select("doc_id", "pos", "path"), "doc_id")
+    if _scopes(profile or Profile()):
+        # the modules and packs of the leading results, two short lists
+        leading = results.where(F.col("rank") <= SCOPE_RESULTS)
+        for name in ("module", "pack"):
+            scope = leading.agg(F.collect_set(F.lower(F.when(F.col(name) != "", F.col(name)))).alias("s")).scalar()
+            rows = rows.withColumn(f"scoped_{name}s", scope)
     secondary = (F.col("pack") == C.SECONDARY_PACK) & (F.lower("source_level") == "secondary")
     rows = rows.where(~secondary | (F.col("pos") < secondary_file_limit(F.col("source_type"))))
     if max_files_per_document:

@@ -193,9 +193,8 @@ def proof_states(
     ``pack_files``: module, pack, name (lower).  All steps are equi joins on
     exploded names.
     """
-    by_event = audits.where(F.col("event_id").isNotNull()).select(
-        "event_id", F.struct("verdict", "top_files").alias("by_event")
-    ).dropDuplicates(["event_id"])
+    # of several audits of an event the greatest verdict counts, whatever order they are read in
+    by_event = audits.where(F.col("event_id").isNotNull()).groupBy("event_id").agg(F.max(F.struct("verdict", "top_files")).alias("by_event"))
     by_question = audits.groupBy(F.col("question").alias("query")).agg(
         F.max_by(F.struct("verdict", "top_files"), F.coalesce(F.col("event_id").cast("string"), F.lit(""))).alias("by_question")
     )

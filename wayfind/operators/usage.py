@@ -109,14 +109,25 @@ def first_later(
 
 
 def missed_files(events: DataFrame, outcomes: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
-    """Every missed file of an outcome and the first later event that returned it, if any."""
+    """Every missed file of an outcome and the first later event that returned it, if any.
+
+    Where a time is missing nothing says that the event was earlier: an outcome without time is resolved by the first event with
+    the file, and an event without time resolves what no dated event does.
+    """
     wanted = outcomes.select("outcome_id", "ts", F.explode(F.array_distinct("missed_files")).alias("file")).withColumn(
         "file", F.lower(slashed(F.col("file")))
     )
     returned = events.select("event_id", "ts", F.explode(F.array_distinct("top_files")).alias("file")).withColumn(
         "file", F.lower(slashed(F.col("file")))
     )
-    resolved = first_later(wanted, returned, "file", ["outcome_id"], ["event_id"], bucket_seconds)
+    dated = first_later(wanted.where("ts is not null"), returned.where("ts is not null"), "file", ["outcome_id"], ["event_id"], bucket_seconds)
+    dated = dated.select("outcome_id", "file", "next_event_id", F.lit(True).alias("_dated"))
+    undated = wanted.where("ts is null").select("outcome_id", "file", F.lit(None).cast(dated.schema["next_event_id"].dataType).alias("next_event_id"), F.lit(False).alias("_dated"))
+    found = returned.groupBy("file").agg(
+        F.min_by("event_id", F.struct(F.col("ts").isNull(), "ts", "event_id")).alias("_any"), F.min(F.when(F.col("ts").isNull(), F.col("event_id"))).alias("_undated")
+    )
+    rows = dated.unionByName(undated).join(found, "file", "left")
+    resolved = rows.withColumn("next_event_id", F.coalesce("next_event_id", F.when(~F.col("_dated"), F.col("_any")), "_undated"))
     status = F.when(F.col("next_event_id").isNull(), "open_or_not_retested").otherwise("resolved_by_later_search")
     return resolved.select("outcome_id", "file", status.alias("status"), F.col("next_event_id").alias("resolved_by_event"))
 

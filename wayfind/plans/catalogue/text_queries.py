@@ -607,3 +607,24 @@ def question_replay(t: StarTables) -> DataFrame:
     expected = mentioned.where(F.col("needle").isNotNull()).join(needles, "needle").select("question_id", "doc_id")
     found = coverage_of_answers(conversation_answers(t), expected)
     return found.select("question_id", "expected", "found", "recall", F.col("first_rank").cast("bigint"))
+
+
+_PACK_FILES = [(("tion", "thth", "erth"), ("app/pack/First.cs", "app/pack/Second.cs")), (("thing", "thti", "thea"), ("app/pack/Second.cs", "app/pack/Third.tsx"))]
+
+
+@query(
+    "injected_pack_files",
+    f"""WITH q AS (SELECT conv_id AS question_id, {sql_tokens('text')} AS ts FROM conversations WHERE turn = 0),
+hit AS (SELECT question_id, len(list_intersect(ts, ['tion', 'thth', 'erth'])) > 0 AS a, len(list_intersect(ts, ['thing', 'thti', 'thea'])) > 0 AS b FROM q),
+files AS (SELECT question_id, list_distinct_in_order AS paths FROM (SELECT question_id, CASE WHEN a AND b THEN ['app/pack/First.cs', 'app/pack/Second.cs', 'app/pack/Third.tsx'] WHEN a THEN ['app/pack/First.cs', 'app/pack/Second.cs']
+  WHEN b THEN ['app/pack/Second.cs', 'app/pack/Third.tsx'] ELSE [] END AS list_distinct_in_order FROM hit))
+SELECT question_id, i AS pos, paths[i + 1] AS path FROM files, unnest(range(len(paths))) r(i)""",
+)
+def injected_pack_files(t: StarTables) -> DataFrame:
+    """Files that a profile adds to questions by their words, from its table function."""
+    from wayfind.plans.hooks import injected_files
+    from wayfind.plans.query import plan_questions
+    from wayfind.sources.profile import TableProfile
+
+    planned = plan_questions(conversation_questions(t))
+    return injected_files(planned, TableProfile(pack_files=_PACK_FILES)).select("question_id", F.col("pos").cast("long"), "path")

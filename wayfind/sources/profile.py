@@ -83,6 +83,7 @@ class TableProfile(Profile):
         noise: dict[str, tuple[str, ...]] | None = None,
         gaps: list[tuple[tuple[str, ...], str]] | None = None,
         owner_patterns: tuple[str, ...] = (),
+        pack_files: list[tuple[tuple[str, ...], tuple[str, ...]]] | None = None,
     ) -> None:
         self.name = name
         self._synonyms = synonyms or {}
@@ -93,6 +94,7 @@ class TableProfile(Profile):
         self._noise = noise or {}
         self._gaps = gaps or []
         self._patterns = owner_patterns
+        self._pack_files = pack_files or []
 
     def expand_query_tokens(self, query, tokens):
         present = set(tokens)
@@ -136,6 +138,10 @@ class TableProfile(Profile):
     def extra_owner_file_patterns(self):
         return self._patterns
 
+    def pack_files_for_intents(self, tokens):
+        present = set(tokens)
+        return list(dict.fromkeys(path for triggers, paths in self._pack_files if present & set(triggers) for path in paths))
+
 
 def load_profile(module_name: str) -> Profile:
     """Profile object ``PROFILE`` of an importable module; any failure gives the neutral profile."""
