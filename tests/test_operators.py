@@ -157,17 +157,6 @@ def test_first_later_equals_brute_force_with_a_hot_key(spark):
     assert {r["l"]: r["next_r"] for r in found.collect()} == expected
 
 
-def test_salted_join_equals_join(spark):
-    rows = [("hot" if i % 3 else f"k{i}", i) for i in range(300)]
-    big = spark.createDataFrame(rows, "key string, n int")
-    lookup = spark.createDataFrame([("hot", "H"), ("k0", "Z"), ("k9", "N"), ("none", "X")], "key string, v string")
-    for how in ("left", "inner", "left_semi", "left_anti"):
-        plain = sorted(map(tuple, big.join(lookup, "key", how).collect()), key=repr)
-        salted = sorted(map(tuple, skew.salted_join(big, lookup, "key", how, salts=4, min_rows=10).collect()), key=repr)
-        assert salted == plain
-    assert [r["key"] for r in skew.hot_keys(big, "key", min_rows=10).collect()] == ["hot"]
-
-
 def test_coverage_first_cap_keeps_one_edge_per_file_first(spark):
     rng = random.Random(1)
     rows = [("hub", rng.choice(["a", "a", "a", "b", ""]), i) for i in range(90)] + [("hub", "last", 90), ("leaf", "a", 1)]
@@ -267,3 +256,19 @@ def test_table_function_of_a_profile(spark):
     profile = TableProfile(pack_files=[(("a", "b"), ("x.cs", "y.cs")), (("c",), ("y.cs", "z.cs"))])
     planned = spark.createDataFrame([(1, ["a", "c"]), (2, ["c"]), (3, ["q"]), (4, [])], "question_id int, tokens array<string>")
     assert sorted(map(tuple, injected_files(planned, profile).collect())) == [(1, 0, "x.cs"), (1, 1, "y.cs"), (1, 2, "z.cs"), (2, 0, "y.cs"), (2, 1, "z.cs")]
+
+
+def test_actionable_parts_and_written_statistics(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from wayfind.operators import summaries as sm
+
+    symbols = spark.range(100).select(F.col("id").cast("double").alias("score"), F.lit("p").alias("path"), F.lit(None).cast("int").alias("line"), F.col("id").cast("string").alias("label"))
+    answer = SimpleNamespace(plan="hidden", files=spark.createDataFrame([("a.cs", None)], "path string, why string"), symbols=symbols, vectors=symbols)
+    parts = sm.actionable_parts(answer)
+    assert set(parts) == {"files", "symbols", "symbol_count"} and parts["symbol_count"].first()[0] == 100
+    assert sorted(r.score for r in parts["symbols"].collect()) == [float(i) for i in range(20, 100)]
+    for _ in range(2):
+        sm.write_statistics(parts, str(tmp_path))
+    assert [r.value for r in spark.read.text(str(tmp_path / "files")).collect()] == ['{"path":"a.cs","why":null}']
+    assert spark.read.json(str(tmp_path / "symbols")).count() == 80

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wayfind import constants as C
 from wayfind.functions.classify import lit_array, lookup
 from wayfind.functions.paths import first_non_empty, normalized_path, owner_path_score, source_line_number
-from wayfind.operators.skew import first_per_key, hot_keys, salted_join, top_per_key
+from wayfind.operators.skew import first_per_key, top_per_key
 from wayfind.plans.query import QueryPlan
 
 _PAYLOAD = ["label", "source_file", "source_location"]
@@ -54,10 +54,9 @@ def endpoint_lookup(nodes: DataFrame, order: list[str], last_label_wins: bool =
 
 
 def _join_endpoints(refs: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """Both endpoint lookups; hub references are counted on the edges themselves and salted."""
-    hot_targets = hot_keys(refs, "target_ref")
-    with_source = salted_join(refs, sources, "source_ref")
-    return salted_join(with_source, targets, "target_ref", hot=hot_targets)
+    """Both endpoint lookups."""
+    # hubs are hot keys of the references, whose other side has one row per key: adaptive execution splits them
+    return refs.join(sources, "source_ref", "left").join(targets, "target_ref", "left")
 
 
 def resolve_edges(

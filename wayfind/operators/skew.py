@@ -6,49 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Keys holding more than this share of the rows are split; so there are at most
-#: ``1 / HOT_SHARE`` of them and the list of hot keys may be broadcast.
-HOT_SHARE = 0.01
-#: Below this many rows per key nothing is split.
-HOT_MIN_ROWS = 100_000
-DEFAULT_SALTS = 32
-
-
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """Keys above the share, at most ``1 / share`` rows (counts are combined map-side)."""
-    counts = df.groupBy(key).count()
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return counts.where(F.col("count") > F.greatest(F.lit(min_rows), total * share)).select(key)
-
-
-def salted_join(
-    big: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    how: str = "left",
-    salts: int = DEFAULT_SALTS,
-    share: float = HOT_SHARE,
-    min_rows: int = HOT_MIN_ROWS,
-    hot: DataFrame | None = None,
-) -> DataFrame:
-    """Equi join whose hot keys are spread over ``salts`` tasks.
-
-    ``lookup`` rows of hot keys are replicated once per salt, all other rows go
-    through once.  The salt is a hash of the row itself, so a retried task
-    produces the same rows again.  ``how`` is ``inner``, ``left``, ``left_semi``
-    or ``left_anti``.  ``hot`` may pass the hot keys where ``big`` is itself the
-    result of joins that keep its rows, so that counting does not repeat them.
-    """
-    # The number of hot keys is bounded by 1 / share, which is what allows the broadcast.
-    found = hot if hot is not None else hot_keys(big, key, share, min_rows)
-    hot = F.broadcast(found.withColumn("_hot", F.lit(True)))
-    hashable = [c for c, t in big.dtypes if not t.startswith("map") and t != "variant"]
-    row_salt = F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")
-    left = big.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), row_salt).otherwise(F.lit(0))).drop("_hot")
-    spread = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = lookup.join(hot, key, "left").withColumn("_salt", F.explode(spread)).drop("_hot")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
-
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:
     """First row of every key: an aggregate with map-side combine, no per-key sort or list."""

@@ -165,3 +165,28 @@ def upper_median(df: DataFrame, key: str, value: str, buckets: int = 1000) -> Da
     values = cells.join(chosen, [key, "b"]).groupBy(key, "v", "offset").agg(F.count(F.lit(1)).alias("c"))
     upto = F.sum("c").over(Window.partitionBy(key).orderBy("v"))
     return values.withColumn("end", upto).where(F.col("end") > F.col("offset")).groupBy(key).agg(F.min("v").alias("median"))
+
+
+#: The parts of an answer that a reader acts on; the rest explains how it was found.
+ACTIONABLE_PARTS = (
+    "files", "primary_owner", "symbols", "locations", "code_blocks", "dependencies", "related", "modules", "packs", "facts", "confidence",
+)
+ACTIONABLE_SYMBOLS = 80
+
+
+def actionable_parts(answer: object, symbols: int = ACTIONABLE_SYMBOLS) -> dict[str, DataFrame]:
+    """The actionable parts of an answer, one DataFrame each; symbols are cut to the leading ones and ``symbol_count`` tells how many
+    there were."""
+    parts = {name: getattr(answer, name) for name in ACTIONABLE_PARTS if getattr(answer, name, None) is not None}
+    if "symbols" in parts:
+        every = parts["symbols"]
+        order = [F.col(c).desc() if c == "score" else F.col(c).asc_nulls_first() for c in ("score", "path", "line", "label") if c in every.columns]
+        parts["symbols"] = every.orderBy(*order).limit(symbols)
+        parts["symbol_count"] = every.agg(F.count(F.lit(1)).alias("symbols"))
+    return parts
+
+
+def write_statistics(parts: dict[str, DataFrame], folder: str) -> None:
+    """Every statistic of a usage summary as JSON lines in a folder of its own, nulls written out; a rerun replaces them."""
+    for name, rows in parts.items():
+        rows.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/{name}")

@@ -89,6 +89,10 @@ class Engine:
             "recent_events": usage.recent(graded),
         }
 
+    def write_usage_summary(self, events: DataFrame, outcomes: DataFrame, folder: str) -> None:
+        """The usage summary as files, one folder per statistic."""
+        sm.write_statistics(self.get_usage_summary(events, outcomes), folder)
+
     def record_outcome(self, event_id: str, outcome: str, **details: Any) -> DataFrame:
         """Validated outcome row; appended to the log if the engine has one."""
         row = {
