@@ -272,3 +272,15 @@ def test_actionable_parts_and_written_statistics(spark, tmp_path):
         sm.write_statistics(parts, str(tmp_path))
     assert [r.value for r in spark.read.text(str(tmp_path / "files")).collect()] == ['{"path":"a.cs","why":null}']
     assert spark.read.json(str(tmp_path / "symbols")).count() == 80
+
+
+def test_hints_shuffle_names_once_and_columns_in_use(spark):
+    from wayfind.operators import graph as g
+
+    rows = [(2, "A", "Calls", "b", "X.cs", "y.cs", "L1"), (1, "a", "Calls", "B", "x.cs", "z.cs", "L2"), (3, "a", "uses", "B", "x.cs", "z.cs", "L3"), (4, "a", "uses", "c", "x.cs", "X.CS", "L4")]
+    names = "pos long, source_label string, relation string, target_label string, source_file string, target_file string, source_location string"
+    hints = g.dependency_hints(spark.createDataFrame(rows, names), ["pos"])
+    assert sorted(r["pos"] for r in hints.collect()) == [1, 3] and hints.columns == [n.split()[0] for n in names.split(", ")]
+    plan = hints.select("pos", "target_file")._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange") :]
+    assert "source_location" not in below.split("Scan")[0] and " AS _k" not in below and plan.count("Exchange") == 1
