@@ -284,3 +284,21 @@ def test_hints_shuffle_names_once_and_columns_in_use(spark):
     plan = hints.select("pos", "target_file")._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("Exchange") :]
     assert "source_location" not in below.split("Scan")[0] and " AS _k" not in below and plan.count("Exchange") == 1
+
+
+def test_symbols_are_read_once_and_relevance_counts_tokens(spark):
+    from wayfind.functions.text import search_tokens
+    from wayfind.operators import symbols as sy
+    from wayfind.plans.catalogue.settings import SYMBOL_PLAN
+
+    words = ("order", "follow", "item")
+    labels = ["OrderItems()", "followup", "Reorder", "ITEM_Order", "none", "orders"]
+    rows = spark.createDataFrame([(x,) for x in labels], "label string")
+    counted = F.size(F.array_intersect(search_tokens(F.col("label")), F.array(*[F.lit(w) for w in words])))
+    assert all(a == b for a, b in rows.select(sy.relevance(F.col("label"), words), counted).collect())
+    symbols = spark.range(40).select(
+        F.concat(F.lit("Order"), F.col("id") % 9).alias("label"), F.lit("service_method").alias("kind"), F.concat(F.lit("p"), F.col("id") % 3).alias("path"),
+        F.col("id").alias("line"), F.lit(1.0).alias("score"), F.col("id").alias("pos"),
+    )
+    hits = sy.symbol_hits(symbols, SYMBOL_PLAN, ["pos"], identifiers=("Order3",), strict=("Order3",))
+    assert "Range" not in hits._jdf.queryExecution().executedPlan().toString() and hits.count() == 20

@@ -9,11 +9,12 @@ from pyspark.sql import Window
 from wayfind import constants as C
 from wayfind.functions import classify as cl
 from wayfind.functions import identifiers as ids
-from wayfind.functions.paths import code_block_id, normalized_path, owner_path_score, slashed, source_line_number
+from wayfind.functions.paths import any_of, code_block_id, normalized_path, owner_path_score, slashed, source_line_number
 from wayfind.functions.text import explode_costly, search_tokens
 from wayfind.operators.graph import distinctive_hits
 from wayfind.operators.skew import first_per_key, top_per_key
 from wayfind.plans.query import QueryPlan
+from wayfind.session import cut_lineage
 
 _NAME = "([A-Za-z_][A-Za-z0-9_]*)"
 
@@ -231,7 +232,10 @@ def symbol_hints(nodes: DataFrame, order: list[str], limit: int = C.MAX_SYMBOL_H
 def relevance(label: Column, words: tuple[str, ...]) -> Column:
     """Distinctive query words (three letters or more) that are whole tokens of a label."""
     long_words = [w for w in words if len(w) >= 3]
-    return F.size(F.array_intersect(search_tokens(label), cl.lit_array(long_words)))
+    counted = F.size(F.array_intersect(search_tokens(label), cl.lit_array(long_words)))
+    # a token is a part of its lower-cased label, so that most labels need no tokens
+    lowered = F.lower(label)
+    return F.when(any_of([lowered.contains(w) for w in long_words]), counted).otherwise(F.lit(0))
 
 
 def symbol_hits(
@@ -252,7 +256,8 @@ def symbol_hits(
     useful = symbols.where((F.col("path") != "") & ~cl.is_low_value_symbol(F.col("label"), F.col("kind")))
     keyed = useful.withColumn("_l", F.lower("label")).withColumn("_p", F.lower("path"))
     columns = [c for c in useful.columns if c != "line"]
-    unique = first_per_key(keyed, ["_l", "_p", "line"], [F.col(c) for c in order], columns)
+    # read three times below: for the cap, for confirmed files and for named symbols
+    unique = cut_lineage(first_per_key(keyed, ["_l", "_p", "line"], [F.col(c) for c in order], columns))
     unique = unique.withColumn("relevance", relevance(F.col("label"), plan.distinctive)).withColumn(
         "bare", cl.bare_label(F.col("label"))
     )
