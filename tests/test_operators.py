@@ -302,3 +302,12 @@ def test_symbols_are_read_once_and_relevance_counts_tokens(spark):
     )
     hits = sy.symbol_hits(symbols, SYMBOL_PLAN, ["pos"], identifiers=("Order3",), strict=("Order3",))
     assert "Range" not in hits._jdf.queryExecution().executedPlan().toString() and hits.count() == 20
+
+
+def test_suffix_dedup_sends_nothing_to_the_driver(spark):
+    from wayfind.operators import dedup as dd
+
+    rows = [(i, p) for i, p in enumerate(["a/b/c.cs", "b/c.cs", "c.cs", "x/c.cs", "d.cs"])]
+    kept = dd.suffix_dedup(spark.createDataFrame(rows, "n int, path string"), "path", [F.col("n")])
+    assert sorted(r["path"] for r in kept.collect()) == ["a/b/c.cs", "d.cs", "x/c.cs"]
+    assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()
