@@ -12,6 +12,7 @@ from wayfind.functions import paths as pt
 from wayfind.functions import text as tx
 from wayfind.functions import vectors as vec
 from wayfind.operators import chunks, dedup, graph, skew, summaries, usage
+from wayfind.operators import symbols as sy
 from wayfind.plans import query as pq
 
 
@@ -311,3 +312,25 @@ def test_suffix_dedup_sends_nothing_to_the_driver(spark):
     kept = dd.suffix_dedup(spark.createDataFrame(rows, "n int, path string"), "path", [F.col("n")])
     assert sorted(r["path"] for r in kept.collect()) == ["a/b/c.cs", "d.cs", "x/c.cs"]
     assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_symbols_meet_lines_without_a_join_by_name(spark):
+    symbols = spark.createDataFrame(
+        [
+            (1, "a.cs", "Run()", "method", 20), (2, "a.cs", "Run()", "method", None), (3, "a.cs", "op.Do()", "method", 1),
+            (4, "a.cs", "Run", "service_class", 20), (5, "b.cs", "Run()", "method", 3), (6, "a.cs", "a.cs", "file", 1), (7, None, "Run()", "method", 1),
+        ],
+        "slot int, path string, label string, kind string, line int",
+    )
+    lines = spark.createDataFrame(
+        [("a.cs", 2, "Run (1); Run(2)"), ("a.cs", 30, "x = Run<int>()"), ("a.cs", 31, "return op.Do(1);"), ("a.cs", 32, ""), (None, 1, "Run()")],
+        "path string, line_no int, text string",
+    )
+    checked = sy.verify_symbols(symbols, lines, ["slot"])
+    assert {r.slot: (r.line, r.line_status, r.line_delta) for r in checked.collect()} == {
+        1: (30, "adjusted", 10), 2: (2, "located", None), 3: (31, "adjusted", 30), 4: (20, "not_found", None),
+        5: (3, "file_missing", None), 6: (1, "not_verifiable", None), 7: (1, "file_missing", None),
+    }
+    # one exchange by file; the only join left is that of labels with a pattern of their own
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("RepartitionByExpression") == 1

@@ -22,42 +22,44 @@ _NAME = "([A-Za-z_][A-Za-z0-9_]*)"
 # Names found in live source lines: one pass over the lines, then equi joins
 # --------------------------------------------------------------------------
 
-#: shape of an occurrence -> pattern with the name in group 1
+#: shape of an occurrence -> pattern with the name in group 1; a call's name never gives characters back, which could not match
 OCCURRENCE_PATTERNS = {
-    "call": rf"\b{_NAME}\s*[(<=]",
+    "call": r"\b([A-Za-z_][A-Za-z0-9_]*+)\s*+[(<=]",
     "function": rf"\bfunction\s+{_NAME}\b",
     "const": rf"\bconst\s+{_NAME}\b",
     "class": rf"\bclass\s+{_NAME}\b",
     "interface": rf"\binterface\s+{_NAME}\b",
     "type": rf"\btype\s+{_NAME}\b",
 }
-
-
-def shapes_for(kind: Column) -> Column:
-    """Which occurrence shapes confirm a symbol of a kind."""
-    return (
-        F.when(kind.isin(*C.CLASS_KINDS), cl.lit_array(["class"]))
-        .when(kind == "ui_component", cl.lit_array(["function", "const"]))
-        .when(
-            kind.isin("controller_action", "service_method", "job_method", "ui_function", "method"),
-            cl.lit_array(["call", "function", "const"]),
-        )
-        .when(kind == "file", cl.lit_array([]))
-        .otherwise(cl.lit_array(["interface", "type", "class", "const"]))
-    )
+#: sets of shapes that confirm a symbol, and the bits of their shapes; the last bit of a set marks what a pattern of its own has found
+SHAPE_SETS = ((), ("class",), ("function", "const"), ("call", "function", "const"), ("interface", "type", "class", "const"))
+_BITS = {shape: 1 << i for i, shape in enumerate(OCCURRENCE_PATTERNS)}
+_OWN = [1 << (len(_BITS) + i) for i in range(len(SHAPE_SETS))]
+_MASKS = [sum(_BITS[shape] for shape in shapes) + own for shapes, own in zip(SHAPE_SETS, _OWN, strict=True)]
+
+
+def shape_set(kind: Column) -> Column:
+    """Which set of occurrence shapes confirms a symbol of a kind; a file has none."""
+    of_kind = {
+        **dict.fromkeys(C.CLASS_KINDS, 1), "ui_component": 2, "file": 0,
+        **dict.fromkeys(("controller_action", "service_method", "job_method", "ui_function", "method"), 3),
+    }
+    return cl.lookup(of_kind, kind, 4)
 
 
 def name_occurrences(source_lines: DataFrame) -> DataFrame:
-    """(path, name, shape, line_no): names a line calls or declares, distinct per line."""
+    """(path, name, shape, line_no): names a line calls or declares, ``shape`` as a bit; one row without a name for a line without any."""
 
     def of_shape(shape: str, pattern: str) -> Column:
         names = F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
-        return F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(shape).alias("shape")))
+        found = F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(_BITS[shape]).alias("shape")))
+        if shape == "call":
+            return found
+        # most lines hold no keyword: looking for it is much cheaper than the pattern
+        return F.when(F.col("text").contains(shape), found).otherwise(F.array().cast("array<struct<name:string,shape:int>>"))
 
-    found = F.flatten(F.array(*[of_shape(shape, pattern) for shape, pattern in OCCURRENCE_PATTERNS.items()]))
-    return source_lines.select("path", "line_no", explode_costly(F.array_distinct(found)).alias("o")).where(
-        F.col("o").isNotNull()
-    ).select("path", "o.name", "o.shape", "line_no")
+    found = F.concat(*[of_shape(shape, pattern) for shape, pattern in OCCURRENCE_PATTERNS.items()])
+    return source_lines.select("path", "line_no", explode_costly(found).alias("o")).select("path", "o.name", "o.shape", "line_no")
 
 
 def searched_name(label: Column) -> Column:
@@ -75,52 +77,56 @@ def verify_symbols(symbols: DataFrame, source_lines: DataFrame, keys: list[str],
 
     ``symbols``: keys, path, label, kind, line.  Adds graph_line, line (verified),
     line_status and line_delta.  The first match inside the window wins, else the
-    first match of the file.  Lines are matched by name with an equi join on
-    (path, name); only labels that are not plain identifiers are matched by pattern.
+    first match of the file.  Symbols and the names found in lines are dealt by file,
+    once, and meet in windows over (file, name), so that a name used n times by n symbols
+    makes no n x n rows; only labels that are not plain identifiers are matched by pattern.
     """
-    named = symbols.select(
-        *keys,
-        F.col("path"),
-        F.col("line").alias("graph_line"),
-        searched_name(F.col("label")).alias("name"),
-        shapes_for(F.col("kind")).alias("shapes"),
-    )
+    named = symbols.withColumnRenamed("line", "graph_line").withColumns({
+        "_name": searched_name(F.col("label")), "_set": shape_set(F.col("kind")), "_at": F.col("graph_line").cast("long"),
+    }).withColumn("_symbol", F.lit(True))
+    lines = source_lines.where(F.col("path").isNotNull())
     plain = F.col("name").rlike("^[A-Za-z_][A-Za-z0-9_]*$")
-    near = F.col("graph_line").isNotNull() & F.col("line_no").between(
-        F.col("graph_line") - max(1, window), F.col("graph_line") + max(1, window)
-    )
-    by_name = (
-        named.where(plain)
-        .join(name_occurrences(source_lines), ["path", "name"])
-        .where(F.array_contains("shapes", F.col("shape")))
-        .select(*keys, "line_no", near.alias("near"))
-    )
+    odd = named.select("path", F.col("_name").alias("name"), F.col("_set").alias("set")).where(~plain & (F.col("name") != "") & (F.col("set") > 0))
     quoted = F.concat(F.lit("\\Q"), F.col("name"), F.lit("\\E"))
+    words = F.get(cl.lit_array(["|".join(shapes) for shapes in SHAPE_SETS]), F.col("set"))
     pattern = (
-        F.when(F.array_contains("shapes", "call"), F.concat(quoted, F.lit(r"\s*[(<=]|\b(function|const)\s+"), quoted, F.lit(r"\b")))
-        .otherwise(F.concat(F.lit(r"\b("), F.array_join("shapes", "|"), F.lit(r")\s+"), quoted, F.lit(r"\b")))
-    )
-    odd = named.where(~plain & (F.col("name") != "") & (F.size("shapes") > 0)).withColumn("pattern", pattern)
-    by_pattern = (
-        odd.join(source_lines, "path").where(F.expr("text RLIKE pattern")).select(*keys, "line_no", near.alias("near"))
+        F.when(F.col("set") == 3, F.concat(quoted, F.lit(r"\s*[(<=]|\b(function|const)\s+"), quoted, F.lit(r"\b")))
+        .otherwise(F.concat(F.lit(r"\b("), words, F.lit(r")\s+"), quoted, F.lit(r"\b")))
     )
-    best = by_name.unionByName(by_pattern).groupBy(*keys).agg(
-        F.min(F.when(F.col("near"), F.col("line_no"))).alias("near_line"), F.min("line_no").alias("any_line")
+    # the lines travel for patterns only if there is a label that needs one
+    any_odd = odd.agg(F.count(F.lit(1)).alias("n")).scalar() > 0
+    by_pattern = odd.distinct().withColumn("pattern", pattern).join(lines.where(any_odd), "path").where(F.expr("text RLIKE pattern"))
+    found = name_occurrences(lines).unionByName(
+        by_pattern.select("path", "name", F.get(F.array(*[F.lit(x) for x in _OWN]), F.col("set")).alias("shape"), "line_no")
     )
-    files = source_lines.select("path").distinct().withColumn("has_lines", F.lit(True))
-    joined = symbols.withColumnRenamed("line", "graph_line").join(files, "path", "left").join(best, keys, "left")
+    found = found.select("path", F.col("name").alias("_name"), F.col("shape").alias("_shape"), F.col("line_no").alias("_line"))
+    met = named.unionByName(found.withColumn("_at", F.col("_line").cast("long")), allowMissingColumns=True)
+    # sorted by a number first, because paths begin alike
+    met = met.repartition("path").withColumn("_code", F.xxhash64("path")).sortWithinPartitions("_code", "path", "_name", "_at")
+    by_name = Window.partitionBy("_code", "path", "_name").orderBy("_at")
+    around, anywhere = by_name.rangeBetween(-max(1, window), max(1, window)), by_name.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sets = range(1, len(SHAPE_SETS))
+    hit = {i: F.when(F.col("_shape").bitwiseAND(_MASKS[i]) != 0, F.col("_line")) for i in sets}
+    located = met.withColumns({
+        **{f"_near{i}": F.min(hit[i]).over(around) for i in sets}, **{f"_any{i}": F.min(hit[i]).over(anywhere) for i in sets},
+        "has_lines": F.count(F.when(F.col("_symbol").isNull(), 1)).over(Window.partitionBy("_code", "path")) > 0,
+    }).where(F.col("_symbol"))
+    near_line, any_line = (F.coalesce(*[F.when(F.col("_set") == i, F.col(f"{name}{i}")) for i in sets]) for name in ("_near", "_any"))
+    joined = located.withColumns({
+        "near_line": F.when(F.col("graph_line").isNotNull(), near_line), "any_line": any_line,
+        "verifiable": (F.col("_name") != "") & (F.col("_set") > 0),
+    })
     line = F.coalesce("near_line", "any_line")
-    verifiable = (searched_name(F.col("label")) != "") & (F.size(shapes_for(F.col("kind"))) > 0)
     status = (
-        F.when(F.col("has_lines").isNull(), F.lit("file_missing"))
-        .when(~verifiable, F.lit("not_verifiable"))
+        F.when(~F.col("has_lines"), F.lit("file_missing"))
+        .when(~F.col("verifiable"), F.lit("not_verifiable"))
         .when(line.isNull(), F.lit("not_found"))
         .when(F.col("graph_line").isNull(), F.lit("located"))
         .when(F.col("near_line") == F.col("graph_line"), F.lit("exact"))
         .otherwise(F.lit("adjusted"))
     )
     return joined.select(
-        *[c for c in joined.columns if c not in ("has_lines", "near_line", "any_line")],
+        *["graph_line" if c == "line" else c for c in symbols.columns],
         F.coalesce(line, F.col("graph_line")).alias("line"),
         status.alias("line_status"),
         (line - F.col("graph_line")).alias("line_delta"),
