@@ -334,3 +334,22 @@ def test_symbols_meet_lines_without_a_join_by_name(spark):
     # one exchange by file; the only join left is that of labels with a pattern of their own
     plan = checked._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and plan.count("RepartitionByExpression") == 1
+
+
+def test_hints_around_some_edges_equal_those_among_all(spark):
+    """Labels in several spellings and under several ids: an edge of another document may take the hint."""
+    rng = random.Random(5)
+    names = ["Load", "load", "SAVE", "save", "n1", "N2", "lone"]
+    nodes = [(i, f"n{i % 9}", rng.choice([*names, ""]), rng.choice(["a.cs", "A.cs", "b.cs", ""]), f"L{i}") for i in range(14)]
+    refs = [f"n{i}" for i in range(9)] + [*names, "gone", "GONE", " n3 "]
+    edges = [(i, rng.choice(refs), rng.choice(refs), rng.choice(["calls", "Calls", "uses", "mentions"]), "") for i in range(160)]
+    nodes.append((99, "far", "Far", "far.cs", "L1"))
+    edges.append((200, "far", "n1", "calls", ""))
+    nodes = spark.createDataFrame(nodes, "pos int, node_id string, label string, source_file string, source_location string")
+    edges = spark.createDataFrame(edges, "pos int, source_ref string, target_ref string, relation string, source_location string")
+    full = {tuple(r) for r in graph.dependency_hints(graph.resolve_edges(nodes, edges, ["pos"]), ["pos"]).collect()}
+    for rest in range(8):
+        own = edges.where((F.col("pos") % 8 == rest) & (F.col("pos") < 200))
+        found = {tuple(r) for r in graph.hints_around(nodes, edges, own, ["pos"]).collect()}
+        assert {r for r in found if r[0] % 8 == rest and r[0] < 200} == {r for r in full if r[0] % 8 == rest and r[0] < 200}
+        assert 200 not in {r[0] for r in found}
