@@ -33,3 +33,50 @@ def test_files_that_questions_name(spark, monkeypatch):
     needles = spark.createDataFrame([(7, "cart", False), (8, "lib/", False), (9, "none", False)], "question_id int, needle string, is_phrase boolean")
     found = batch.files_with_needles(files, needles)
     assert sorted(map(tuple, found.collect())) == [(1, "cart"), (2, "cart"), (2, "lib/"), (3, "lib/")]
+
+
+def test_coverage_counts_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(batch, "HITS", 5)
+    hits = [(d, n) for d in range(20) for n, step in (("ring", 2), ("app", 1), ("cs", 3)) if d % step == 0] * 2
+    named = [(1, "ring"), (1, "cs"), (1, "ring"), (2, "app"), (2, "none"), (3, "none"), (4, "cs"), (4, "ring"), (None, "cs")]
+    answers = [(1, 2, 1), (1, 5, 2), (1, 3, 3), (2, 7, 1), (2, 7, 1), (3, 1, 1), (4, 1, 1), (9, 2, 1)]
+    hits = spark.createDataFrame(hits, "doc_id long, needle string")
+    named = spark.createDataFrame(named, "question_id int, needle string")
+    answers = spark.createDataFrame(answers, "question_id int, doc_id long, rank int")
+    wanted = batch.coverage_of_answers(answers, hits.distinct().join(named, "needle").select("question_id", "doc_id"))
+    found = batch.coverage_of_named(answers, hits, named)
+    assert found.columns == wanted.columns and {r.question_id: tuple(r) for r in found.collect()} == {r.question_id: tuple(r) for r in wanted.collect()}
+
+
+def test_replay_makes_no_row_for_a_question_and_a_document(spark, tmp_path):
+    """120 questions name what all of 120 documents list: 14,400 pairs, of which no stage may write rows."""
+    import json
+
+    from wayfind.plans.catalogue import QUERIES
+
+    folder, many = str(tmp_path), 120
+    ids = spark.range(many).coalesce(1)
+    ids.selectExpr("id as p_partkey", "'red bolt' as p_name", "'Brand#1' as p_brand", "'LARGE' as p_type", "1 as p_size").write.parquet(f"{folder}/part.parquet")
+    ids.selectExpr("id as l_orderkey", "id as l_partkey", "id as l_suppkey", "1 as l_linenumber").write.parquet(f"{folder}/lineitem.parquet")
+    ids.selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang", "'s' as source").write.parquet(f"{folder}/documents.parquet")
+    ids.selectExpr("id as conv_id", "0 as turn", "'user' as role", "concat('about RedBolt and ', id) as text").write.parquet(f"{folder}/conversations.parquet")
+    plan = QUERIES["question_replay"](spark, folder)
+    rows = {r.question_id: (r.expected, r.found) for r in plan.collect()}
+    assert rows == {i: (many, 10) for i in range(many)}
+    made: list[int] = []
+
+    def walk(node) -> None:
+        metrics = node.metrics()
+        if metrics.contains("numOutputRows"):
+            made.append(metrics.apply("numOutputRows").value())
+        children = list(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(node.children()))
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            children = [node.executedPlan()]
+        elif "QueryStage" in name:
+            children = [node.plan()]
+        for child in children:
+            walk(child)
+
+    walk(plan._jdf.queryExecution().executedPlan())
+    assert made and max(made) < many * many / 2, json.dumps(made)
