@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from wayfind.operators.skew import top_per_key
@@ -80,3 +83,43 @@ def test_replay_makes_no_row_for_a_question_and_a_document(spark, tmp_path):
 
     walk(plan._jdf.queryExecution().executedPlan())
     assert made and max(made) < many * many / 2, json.dumps(made)
+
+
+def test_many_needles_take_one_pass(spark):
+    files = spark.createDataFrame([(1, "app/name29999x.cs"), (2, "lib/long_name_of_a_needle_77.ts"), (3, "lib/long_name_of_a_needle_7.ts")], "doc_id long, path string")
+    texts = [f"name{i}" for i in range(29_990, 30_010)] + [f"long_name_of_a_needle_{i}" for i in range(60, 80)] + [f"n{i}z" for i in range(30_000)]
+    needles = spark.createDataFrame([(1, t) for t in texts], "question_id int, needle string")
+    found = batch.files_with_needles(files, needles)
+    assert sorted(map(tuple, found.collect())) == [(1, "name29999"), (2, "long_name_of_a_needle_77")]
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("big", [False, True], ids=["small sums", "large sums"])
+def test_tile_holds_the_leading_documents(big, monkeypatch):
+    monkeypatch.setattr(batch, "COLUMNS", 8)
+    rng = np.random.default_rng(5)
+    docs, asking, keys, steps = 700, 60, 90, [1.12, 0.95, 1.45]
+    have = rng.random((docs, keys)) < np.linspace(0.004, 0.9, keys)
+    kind = np.where(np.arange(keys) < 60, batch.TERMS, np.where(np.arange(keys) < 75, batch.NAMED, batch.TOLD))
+    gain = np.where(kind == batch.TERMS, rng.integers(1, 40, (docs, keys)), np.where(kind == batch.NAMED, 160, 70)) * have
+    times = (rng.random((asking, keys)) < 0.2) * rng.integers(1, 3, (asking, keys)) * (500 if big else 1)
+    bits = rng.integers(0, 8, (2, docs))
+    rows = []
+    for d in range(docs):
+        of = {k: [int(x) for x in np.flatnonzero(have[d] & (kind == k))] for k in (batch.TERMS, batch.NAMED, batch.TOLD)}
+        rows.append((d, batch.TERMS, of[batch.TERMS], [float(gain[d, x]) for x in of[batch.TERMS]], None))
+        rows += [(d, k, of[k], None, None) for k in (batch.NAMED, batch.TOLD, batch.TOLD)]  # a name may be told twice
+        rows.append((d, batch.CLASSES, [3, 9], None, bits[:, d].tolist()))
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    fields = [("doc_id", pa.int64()), ("kind", pa.int32()), ("keys", pa.list_(pa.int64())), ("gains", pa.list_(pa.float64())), ("bits", pa.list_(pa.int64()))]
+    left = pa.table({name: pa.array([r[i] for r in rows], t) for i, (name, t) in enumerate(fields)})
+    asked = [(q, (3, 9)[q % 2], np.flatnonzero(times[q]).tolist(), times[q][times[q] > 0].tolist()) for q in range(asking)]
+    fields = [("question_id", pa.int64()), ("class", pa.int64()), ("keys", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]
+    right = pa.table({name: pa.array([r[i] for r in asked], t) for i, (name, t) in enumerate(fields)})
+    found = batch._tile(10, steps)(left, right).to_pylist()
+    for q in range(asking):
+        score = (gain @ times[q]).astype(float)
+        for i, step in enumerate(steps):
+            score *= np.where(bits[q % 2] >> i & 1, step, 1.0)
+        best = np.lexsort((np.arange(docs), -score))[:10]
+        assert [(r["doc_id"], r["score"]) for r in found if r["question_id"] == q] == [(d, score[d]) for d in best if score[d] > 0]
