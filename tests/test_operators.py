@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +173,34 @@ def test_coverage_first_cap_keeps_one_edge_per_file_first(spark):
     assert "last" in {h[2] for h in hub}
 
 
+def test_coverage_first_cap_deals_hints_once(spark):
+    rng = random.Random(3)
+    others = ["", "A", "a", "b", "B/x", None, *(f"f{i}" for i in range(12))]
+    rows = [(rng.choice(["hub", "hub", "hub", "HUB", "leaf", None]), rng.choice(others), pos) for pos in rng.sample(range(9000), 3000)]
+    df = spark.createDataFrame(rows, "anchor string, other_file string, pos int").repartition(3, "pos")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        capped = graph.coverage_first_cap(df, ["pos"], 10)
+        found = sorted(((r["anchor"] or "-", r["slot"], r["pos"], r["other_file"]) for r in capped.collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected = []
+    for anchor in {r[0] for r in rows}:
+        seen, lines = set(), []
+        for _, other, pos in sorted((r for r in rows if r[0] == anchor), key=lambda r: r[2]):
+            key = None if other is None else other.lower()
+            # without a name, the first row is neither deferred nor not, and nulls come first
+            lines.append((2 if key in seen or key == "" else 0 if key is None else 1, pos, other))
+            seen.add(key)
+        expected += [(anchor or "-", slot, pos, other) for slot, (_, pos, other) in enumerate(sorted(lines, key=lambda x: x[:2])[:10], 1)]
+    assert found == sorted(expected, key=str)
+    plan = graph.coverage_first_cap(spark.createDataFrame(rows, "anchor string, other_file string, pos int"), ["pos"], 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    hub = pa.RecordBatch.from_pydict({"anchor": ["hub"] * 5000, "other_file": [f"f{i}" for i in range(5000)], "pos": list(range(5000)), "_other": [f"f{i}" for i in range(5000)]})
+    (sent,) = graph._leading_of_batches(["pos"], 10)(iter([hub]))
+    assert sent.num_rows == 10 and sent.schema.names == ["anchor", "other_file", "pos"]
+
+
 def test_upper_median(spark):
     rows = [("a", v) for v in (5.0, 1.0, 3.0, 2.0)] + [("b", 7.0)] * 9 + [("c", float(v)) for v in range(101)]
     df = spark.createDataFrame(rows, "k string, v double")
