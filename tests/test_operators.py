@@ -196,7 +196,7 @@ def test_coverage_first_cap_deals_hints_once(spark):
     assert found == sorted(expected, key=str)
     plan = graph.coverage_first_cap(spark.createDataFrame(rows, "anchor string, other_file string, pos int"), ["pos"], 10)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
-    hub = pa.RecordBatch.from_pydict({"anchor": ["hub"] * 5000, "other_file": [f"f{i}" for i in range(5000)], "pos": list(range(5000)), "_other": [f"f{i}" for i in range(5000)]})
+    hub = pa.RecordBatch.from_pydict({"anchor": ["hub"] * 5000, "other_file": [f"f{i}" for i in range(5000)], "pos": list(range(5000)), "_other": [f"f{i}" for i in range(5000)], "_turn": [0] * 5000})
     (sent,) = graph._leading_of_batches(["pos"], 10)(iter([hub]))
     assert sent.num_rows == 10 and sent.schema.names == ["anchor", "other_file", "pos"]
 
