@@ -107,7 +107,8 @@ def test_tile_holds_the_leading_documents(big, monkeypatch):
     rows = []
     for d in range(docs):
         of = {k: [int(x) for x in np.flatnonzero(have[d] & (kind == k))] for k in (batch.TERMS, batch.NAMED, batch.TOLD)}
-        rows.append((d, batch.TERMS, of[batch.TERMS], [float(gain[d, x]) for x in of[batch.TERMS]], None))
+        fields = [(x, float(part)) for x in of[batch.TERMS] for part in (gain[d, x] - 1, 1) if part]  # a term's fields are added up
+        rows.append((d, batch.TERMS, [x for x, _ in fields], [part for _, part in fields], None))
         rows += [(d, k, of[k], None, None) for k in (batch.NAMED, batch.TOLD, batch.TOLD)]  # a name may be told twice
         rows.append((d, batch.CLASSES, [3, 9], None, bits[:, d].tolist()))
     rows = [rows[i] for i in rng.permutation(len(rows))]
